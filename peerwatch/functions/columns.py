@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from peerwatch import labels
 
-MASK32 = 0xFFFFFFFF
-# Multipliers of a public-domain 32-bit integer finaliser.
-MIX = 0x45D9F3B
-STRIDE = 0x9E3779B1
+# Moduli and multipliers of the row hash; products stay below 2**63.
+PRIME31 = 2147483647
+PRIME32 = 4294967291
+MULTIPLIERS = (433494437, 715827883, 1431655777)
 
 
 def col(c: str | Column) -> Column:
@@ -74,24 +74,24 @@ def band(c, cuts: list[float]) -> Column:
     return reduce(lambda acc, cut: acc + (value > F.lit(cut)).cast("int"), cuts, F.lit(0))
 
 
-def mix32(c: Column) -> Column:
-    """Avalanche a 32-bit value held in a bigint; the products stay below 2**60."""
-    for _ in range(2):
-        c = (F.shiftright(c, 16).bitwiseXOR(c) * F.lit(MIX)).bitwiseAND(F.lit(MASK32))
-    return F.shiftright(c, 16).bitwiseXOR(c)
-
-
 def fold32(*parts) -> Column:
-    """Uniform 32-bit hash of integer parts: same value on any partitioning and in plain SQL."""
+    """Hash of integer parts, uniform below PRIME32.
+
+    The same value on any partitioning and in plain SQL: multiplications under
+    alternating prime moduli, then two rounds of shift and xor.  Steps that use
+    their input twice come only at the end, which keeps the expression short.
+    """
+    a, b, c = MULTIPLIERS
     acc = F.lit(0).cast("bigint")
     for part in parts:
         value = (part if isinstance(part, Column) else F.lit(part)).cast("bigint")
-        low = value.bitwiseAND(F.lit(MASK32))
-        high = F.shiftright(value, 32).bitwiseAND(F.lit(MASK32))
-        acc = mix32((acc + low + high * 3 + F.lit(STRIDE)).bitwiseAND(F.lit(MASK32)))
+        acc = ((acc + F.pmod(value, F.lit(PRIME31))) * F.lit(a) + F.lit(12345)) % F.lit(PRIME32)
+        acc = (acc * F.lit(b) + F.lit(1)) % F.lit(PRIME31)
+    acc = (acc.bitwiseXOR(F.shiftright(acc, 15)) * F.lit(c)) % F.lit(PRIME32)
+    acc = (acc.bitwiseXOR(F.shiftright(acc, 13)) * F.lit(b)) % F.lit(PRIME32)
     return acc
 
 
 def uniform(hashed: Column) -> Column:
-    """Open interval (0, 1) from a 32-bit hash."""
-    return (hashed.cast("double") + 0.5) / float(2**32)
+    """Open interval (0, 1) from a hash."""
+    return (hashed.cast("double") + 0.5) / float(PRIME32)

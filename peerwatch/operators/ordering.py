@@ -72,5 +72,5 @@ def hashed_sample(
     hashed = df.withColumn("_hash", C.fold32(*keys, F.lit(seed)))
     expected = 4 * n + 1000
     if total > expected:
-        hashed = hashed.where(F.col("_hash") < int(2**32 * (expected / total)))
+        hashed = hashed.where(F.col("_hash") < int(C.PRIME32 * (expected / total)))
     return hashed.orderBy("_hash", *order_keys).limit(n)

@@ -149,7 +149,7 @@ def fit_peers(df: DataFrame, column: str = "log_total", k: int = labels.PEER_COU
     return fit_many(df, column, [k], **options)[k]
 
 
-def fit_lloyd(df: DataFrame, column: str, k: int = labels.PEER_COUNT, iterations: int = 5) -> PeerModel:
+def fit_lloyd(df: DataFrame, column: str = "log_total", k: int = labels.PEER_COUNT, iterations: int = 5) -> PeerModel:
     """Deterministic variant: a fixed number of iterations from evenly spaced quantiles."""
     hist, mean, std = _histogram(df, column)
     starts = quantile_values(df, column, [(i + 0.5) / k for i in range(k)])

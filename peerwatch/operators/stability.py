@@ -63,10 +63,11 @@ def persistence_bands(stable: DataFrame) -> DataFrame:
     counts = stable.where(F.col("persistence").isNotNull()).agg(
         *[F.count_if(band == name).alias(f"b{i}") for i, name in enumerate(names)], F.count(F.lit(1)).alias("all_n")
     )
+    lines = [(name, f"b{i}") for i, name in enumerate(names)] + [(labels.TOTAL_ROW, "all_n")]
     rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("band"), F.col(f"b{i}").alias("entities_n"))
-        for i, name in enumerate(names)
-    ], F.struct(F.lit(len(names) + 1).alias("position"), F.lit(labels.TOTAL_ROW).alias("band"), F.col("all_n").alias("entities_n")))
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("band"), F.col(n).alias("entities_n"))
+        for i, (name, n) in enumerate(lines, 1)
+    ])
     share = F.when(F.col("r.band") == labels.TOTAL_ROW, F.lit(100.0)).otherwise(C.percent("r.entities_n", "all_n"))
     return counts.select("all_n", F.explode(rows).alias("r")).select(
         "r.position", "r.band", "r.entities_n", share.alias("entities_pct")

@@ -10,8 +10,6 @@ from peerwatch.functions import columns as C
 from peerwatch.operators import ordering
 from peerwatch.operators.quantiles import group_quantiles
 
-SCORE_ORDER = ("priority", "if_intensity", "entity_id", "month")
-
 
 def alert_order() -> list[Column]:
     """Priority, then intensity, both falling; the key settles the rest."""
@@ -46,31 +44,40 @@ def explanation() -> Column:
     return _joined(" | ", [_level(labels.EXPLAIN_CRITICAL, labels.EXPLAIN_MODERATE), forest], labels.EXPLAIN_NONE)
 
 
-def justification(group: str = "peer_group") -> Column:
-    """Sentence with the numbers behind the alert, rounded half to even before formatting."""
+def _evidence(group: str = "peer_group") -> Column:
+    """The numbers behind the alert, rounded half to even before formatting; empty without evidence."""
     high = F.col("flag_z_moderate")
-    parts = [
+    return F.concat_ws(
+        "; ",
         F.when(high, F.format_string(labels.JUSTIFY_RATE, F.bround(F.col("rate") * 100, 4))),
         F.when(high, F.format_string(labels.JUSTIFY_MEAN, F.bround(F.col("rate_mean") * 100, 4), F.col(group))),
         F.when(high, F.format_string(labels.JUSTIFY_Z, F.bround("z", 2))),
         F.when(F.col("flag_forest"), F.lit(labels.JUSTIFY_FOREST)),
-    ]
-    text = F.concat_ws("; ", *parts)
-    sentence = F.concat(F.upper(F.substring(text, 1, 1)), F.expr("substring(_text, 2)"), F.lit("."))
-    return text, sentence
+    )
+
+
+def justification(group: str = "peer_group") -> Column:
+    """One sentence: capital first letter, final full stop."""
+    text = _evidence(group)
+    rest = F.substr(text, F.lit(2))
+    sentence = F.concat(F.upper(F.substring(text, 1, 1)), rest, F.lit("."))
+    return F.when(text == "", F.lit(labels.JUSTIFY_NONE)).otherwise(sentence)
+
+
+def priority() -> Column:
+    """Positive part of z plus one for a forest alert."""
+    return F.greatest(F.col("z"), F.lit(0.0)) + F.col("flag_forest").cast("int")
 
 
 def classify(df: DataFrame) -> DataFrame:
     """Status, reason, explanation, justification and priority from z and the flags."""
-    text, sentence = justification()
-    return (
-        df.withColumns({"status": status(), "reason": reason_category(), "explanation": explanation(), "_text": text})
-        .withColumns({
-            "justification": F.when(F.col("_text") == "", F.lit(labels.JUSTIFY_NONE)).otherwise(sentence),
-            "priority": F.greatest(F.col("z"), F.lit(0.0)) + F.col("flag_forest").cast("int"),
-        })
-        .drop("_text")
-    )
+    return df.withColumns({
+        "status": status(),
+        "reason": reason_category(),
+        "explanation": explanation(),
+        "justification": justification(),
+        "priority": priority(),
+    })
 
 
 def alerts(classified: DataFrame) -> DataFrame:
