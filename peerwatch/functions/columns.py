@@ -92,6 +92,18 @@ def fold32(*parts) -> Column:
     return acc
 
 
-def uniform(hashed: Column) -> Column:
-    """Open interval (0, 1) from a hash."""
-    return (hashed.cast("double") + 0.5) / float(PRIME32)
+def fold32_int(*parts: int) -> int:
+    """The same hash of plain integers, for use inside a task."""
+    a, b, c = MULTIPLIERS
+    acc = 0
+    for part in parts:
+        acc = ((acc + part % PRIME31) * a + 12345) % PRIME32
+        acc = (acc * b + 1) % PRIME31
+    acc = ((acc ^ (acc >> 15)) * c) % PRIME32
+    return ((acc ^ (acc >> 13)) * b) % PRIME32
+
+
+def uniform(hashed):
+    """Open interval (0, 1) from a hash, column or number."""
+    wide = hashed.cast("double") if isinstance(hashed, Column) else float(hashed)
+    return (wide + 0.5) / float(PRIME32)

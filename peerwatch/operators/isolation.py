@@ -1,10 +1,10 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
 Fitting touches the fact twice: once for the scale and once to draw the
-training sample, which is bounded by trees x psi rows.  Trees grow together,
-one level per window over (tree, node), on rows partitioned by tree.  All random
-choices are hashes of row key, tree and node, so a forest depends on the data and
-the seed only, not on partitioning or retries.
+training sample, which is bounded by trees x psi rows.  Trees grow in parallel, a
+task taking the psi rows of each of its trees.  All random choices are hashes of
+row key, tree and node, so a forest depends on the data and the seed only, not on
+partitioning or retries.
 
 Nodes are numbered as a heap: the root is 1, the children of i are 2i and 2i+1.
 """
@@ -25,7 +25,7 @@ from peerwatch.functions import columns as C
 from peerwatch.functions.special import average_path
 from peerwatch.operators.ordering import hashed_sample
 from peerwatch.operators.quantiles import quantile_values
-from peerwatch.sources.staging import bounded_rows, stage
+from peerwatch.sources.staging import pin, stage
 
 PSI = 256
 SCORE_DIGITS = 12
@@ -34,7 +34,10 @@ FEATURES = ("log_total", "rate")
 
 @dataclass
 class Forest:
-    """Nodes as a DataFrame (tree, node, feature, threshold, n) with scale and size."""
+    """Nodes as a DataFrame (tree, node, feature, threshold, n) with scale and size.
+
+    It holds at most trees x 2^(height + 1) nodes, whatever the size of the data.
+    """
 
     nodes: DataFrame
     columns: tuple[str, ...]
@@ -46,6 +49,11 @@ class Forest:
     def height(self) -> int:
         return math.ceil(math.log2(self.psi)) if self.psi > 1 else 0
 
+    @property
+    def slots(self) -> int:
+        """Places in the node array of a tree."""
+        return 2 ** (self.height + 1)
+
 
 def _row_keys() -> list[Column]:
     return [F.col("entity_id"), C.month_index("month")]
@@ -80,48 +88,38 @@ def training_rows(df: DataFrame, columns, trees: int, psi: int, total: int, seed
     return rows, psi
 
 
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, n int"
+
+
+def _grow_tree(points: np.ndarray, tree: int, height: int, seed: int) -> Iterator[tuple]:
+    """Nodes of one isolation tree over its training points."""
+    waiting = [(1, 0, points)]
+    while waiting:
+        node, level, here = waiting.pop()
+        lo, hi = here.min(axis=0), here.max(axis=0)
+        usable = np.flatnonzero(hi > lo)
+        if level == height or not len(usable):
+            yield tree, node, -1, None, len(here)
+            continue
+        feature = int(usable[C.fold32_int(tree, node, seed, 1) % len(usable)])
+        u = C.uniform(C.fold32_int(tree, node, seed, 2))
+        threshold = lo[feature] + u * (hi[feature] - lo[feature])
+        right = here[:, feature] > threshold
+        yield tree, node, feature, float(threshold), len(here)
+        waiting.append((2 * node, level + 1, here[~right]))
+        waiting.append((2 * node + 1, level + 1, here[right]))
+
+
 def grow(rows: DataFrame, columns, height: int, seed: int) -> DataFrame:
-    """Nodes of all trees from rows (tree, columns...)."""
-    state = rows.repartition("tree").withColumn("node", F.lit(1))
-    steps = []
-    for level in range(height + 1):
-        here = Window.partitionBy("tree", "node")
-        state = state.select(
-            "*",
-            F.count(F.lit(1)).over(here).alias("n"),
-            *[F.min(c).over(here).alias(f"lo_{c}") for c in columns],
-            *[F.max(c).over(here).alias(f"hi_{c}") for c in columns],
-        )
-        varied = [F.col(f"hi_{c}") > F.col(f"lo_{c}") for c in columns]
-        usable = F.filter(
-            F.array(*[F.when(v, F.lit(i)) for i, v in enumerate(varied)]), lambda i: i.isNotNull()
-        )
-        pick = C.fold32(F.col("tree"), F.col("node"), F.lit(seed), F.lit(1))
-        open_node = F.size(usable) > 0 if level < height else F.lit(False)
-        feature = F.when(
-            open_node, F.element_at(usable, (F.pmod(pick, F.greatest(F.size(usable), F.lit(1))) + 1).cast("int"))
-        ).otherwise(F.lit(-1))
-        state = state.withColumn("feature", feature)
-
-        def chosen(prefix: str) -> Column:
-            return F.coalesce(*[
-                F.when(F.col("feature") == i, F.col(f"{prefix}{c}")) for i, c in enumerate(columns)
-            ])
-
-        u = C.uniform(C.fold32(F.col("tree"), F.col("node"), F.lit(seed), F.lit(2)))
-        threshold = chosen("lo_") + u * (chosen("hi_") - chosen("lo_"))
-        step, after = f"step{level}", (F.col("node") * 2 + (chosen("") > F.col("threshold")).cast("int"))
-        steps.append(step)
-        state = state.withColumn("threshold", F.when(F.col("feature") >= 0, threshold))
-        state = state.select(
-            "tree",
-            *columns,
-            *steps[:-1],
-            F.struct("node", "feature", "threshold", "n").alias(step),
-            F.when(F.col("feature") >= 0, after).otherwise(F.col("node")).cast("int").alias("node"),
-        )
-    visited = state.select("tree", F.explode(F.array(*steps)).alias("s"))
-    return visited.select("tree", "s.*").distinct()
+    """Nodes of all trees from rows (tree, columns...); a group is the psi rows of one tree."""
+
+    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = _grow_tree(pdf[list(columns)].to_numpy(), int(pdf["tree"].iloc[0]), height, seed)
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "n"])
+
+    # An explicit count keeps the trees spread out although the sample is small.
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "tree").groupBy("tree").applyInPandas(one_tree, NODE_SCHEMA)
 
 
 def fit(
@@ -142,26 +140,24 @@ def fit(
     scaled = sample.select(
         "tree", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in scale.items()]
     )
-    forest.nodes = stage(grow(scaled, columns, forest.height, seed), "forest")
+    forest.nodes, _ = pin(grow(scaled, columns, forest.height, seed), trees * forest.slots)
     return forest
 
 
 def _arrays(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature, threshold and leaf depth per tree and node; bounded by trees x 2^(height+1)."""
-    slots = 2 ** (forest.height + 1)
-    nodes = bounded_rows(forest.nodes, forest.trees * slots)
-    feature = np.full((forest.trees, slots), -1, dtype=np.int32)
-    threshold = np.zeros((forest.trees, slots))
-    depth = np.zeros((forest.trees, slots))
-    seen = np.zeros(forest.trees)
-    for node in nodes:
-        at = node["tree"], node["node"]
-        if node["feature"] >= 0:
-            feature[at], threshold[at] = node["feature"], node["threshold"]
-        else:
-            depth[at] = math.floor(math.log2(node["node"])) + average_path(node["n"])
-            seen[node["tree"]] += node["n"]
-    if not (seen == forest.psi).all():
+    """Feature, threshold and leaf depth per tree and node."""
+    nodes = forest.nodes.toPandas()
+    shape = forest.trees, forest.slots
+    feature = np.full(shape, -1, dtype=np.int32)
+    threshold, depth = np.zeros(shape), np.zeros(shape)
+    split = nodes[nodes["feature"] >= 0]
+    feature[split["tree"], split["node"]] = split["feature"]
+    threshold[split["tree"], split["node"]] = split["threshold"]
+    leaf = nodes[nodes["feature"] < 0]
+    added = leaf["n"].map({n: average_path(n) for n in leaf["n"].unique()})
+    depth[leaf["tree"], leaf["node"]] = np.floor(np.log2(leaf["node"])) + added
+    trained = leaf.groupby("tree")["n"].sum()
+    if len(trained) != forest.trees or not (trained == forest.psi).all():
         raise ValueError("a tree did not receive its full training sample")
     return feature, threshold, depth
 
@@ -173,7 +169,7 @@ def score(df: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
     batch.  Scores carry 12 decimals, so equal paths compare equal.
     """
     shared = df.sparkSession.sparkContext.broadcast(_arrays(forest))
-    height, trees, slots = forest.height, forest.trees, 2 ** (forest.height + 1)
+    height, trees, slots = forest.height, forest.trees, forest.slots
     norm = average_path(forest.psi) or 1.0
     offsets = (np.arange(trees) * slots)[:, None]
 

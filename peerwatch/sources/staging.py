@@ -46,12 +46,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_rows(df: DataFrame, bound: int = BOUNDED_ROWS) -> list | None:
-    """Rows of a result that has at most `bound` of them, else None."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
 def pin(df: DataFrame, bound: int = BOUNDED_ROWS) -> tuple[DataFrame, bool]:
     """Hold a small result as a local relation; staged instead when it exceeds the bound.
 
