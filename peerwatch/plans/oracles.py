@@ -254,7 +254,7 @@ def _mean_path(n: str) -> str:
 
 
 CTES["point_scores"] = (
-    f"""SELECT log_total, rate, round_even(-pow(2.0::DOUBLE, -(sum(floor(log2(node) + 1e-9) + {_mean_path('n')}) / {TREES})
+    f"""SELECT log_total, rate, round_even(-pow(2.0::DOUBLE, -(sum(floor(log2(node) + 1e-9) + {_mean_path('nodes.n')}) / {TREES})
     / any_value({_mean_path('psi')})), 12) AS score FROM walk{HEIGHT} JOIN nodes USING (tree, node), size GROUP BY 1, 2""",
     (f"walk{HEIGHT}", "nodes", "size"),
 )
