@@ -39,7 +39,7 @@ class Forest:
     It holds at most trees x 2^(height + 1) nodes, whatever the size of the data.
     """
 
-    nodes: DataFrame
+    nodes: DataFrame | None
     columns: tuple[str, ...]
     scale: dict[str, tuple[float, float]]
     trees: int
@@ -136,7 +136,7 @@ def fit(
         raise ValueError("no rows to fit on")
     scale = {c: (row[f"{c}_mean"], row[f"{c}_std"] or 1.0) for c in columns}
     sample, psi = training_rows(df, columns, trees, psi, row["n"], seed)
-    forest = Forest(sample, columns, scale, trees, psi)
+    forest = Forest(None, columns, scale, trees, psi)
     scaled = sample.select(
         "tree", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in scale.items()]
     )

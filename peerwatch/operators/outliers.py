@@ -31,7 +31,7 @@ def peer_stats(
         spread.alias("rate_std"),
         F.avg(total).alias("total_mean"),
     )
-    return attach(summary, places, [group]).select(
+    return summary.join(places, group).select(
         group, "group_n", "rate_mean", "rate_median", "rate_std", "rate_p90", "total_mean", "total_median"
     )
 
@@ -103,7 +103,7 @@ def mad_diagnostics(df: DataFrame, value: str = "rate", group: str = "peer_group
         F.max(value).alias("value_max"),
         (F.avg((F.col(value) == 0).cast("int")) * 100).alias("zero_pct"),
     )
-    return attach(spread, mad(df, value, group), [group]).select(
+    return spread.join(mad(df, value, group), group).select(
         group, "rows_n", "value_median", "mad", "value_min", "value_max", "zero_pct", (F.col("mad") == 0).alias("mad_zero")
     ).orderBy(group)
 

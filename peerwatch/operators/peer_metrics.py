@@ -180,7 +180,7 @@ def characterise(df: DataFrame, group: str = "peer_group") -> DataFrame:
         F.avg("rate").alias("rate_mean"),
     )
     base = F.sum("rows_n").over(Window.partitionBy())
-    return attach(profile, medians, [group]).select(
+    return profile.join(medians, group).select(
         group,
         "rows_n",
         "entities_n",

@@ -9,6 +9,7 @@ so the result does not depend on partitioning.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -57,14 +58,15 @@ def _histogram(df: DataFrame, column: str) -> tuple[DataFrame, float, float]:
         raise ValueError(f"no values in {column}")
     spread = counts.agg(F.sum(F.col("w") * (F.col("v") - mean) * (F.col("v") - mean)) / n).first()[0]
     std = spread**0.5 or 1.0
-    return counts.select(((F.col("v") - mean) / std).alias("x"), "w"), mean, std
+    scaled = counts.select(((F.col("v") - mean) / std).alias("x"), "w")
+    return scaled, mean, std
 
 
-def _runs_column(runs: dict[int, list[float]]):
-    return F.explode(F.array(*[
-        F.struct(F.lit(r).alias("run"), F.array(*[F.lit(c) for c in centres]).alias("centres"))
-        for r, centres in runs.items()
-    ]))
+def _spread(hist: DataFrame, runs: dict[int, list[float]]) -> DataFrame:
+    """Every value once per run, beside the centres of that run."""
+    text = json.dumps([{"run": r, "centres": centres} for r, centres in runs.items()])
+    listed = F.from_json(F.lit(text), "array<struct<run: int, centres: array<double>>>")
+    return hist.select("x", "w", F.explode(listed).alias("r")).select("x", "w", "r.run", "r.centres")
 
 
 def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dict[int, list[float]]:
@@ -79,7 +81,7 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
         open_runs = {r: centres[r] for r in size if len(centres[r]) == step < size[r]}
         if not open_runs:
             break
-        spread = hist.select("x", "w", _runs_column(open_runs).alias("r")).select("x", "w", "r.run", "r.centres")
+        spread = _spread(hist, open_runs)
         gap = F.array_min(F.transform("centres", lambda c: (F.col("x") - c) * (F.col("x") - c)))
         weight = F.col("w") * (gap if step else F.lit(1.0))
         u = C.uniform(C.fold32(F.xxhash64("x"), F.col("run"), F.lit(step), F.lit(seed)))
@@ -96,13 +98,13 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
 
 def _step(hist: DataFrame, runs: dict[int, list[float]]) -> dict[int, tuple[list[float], float]]:
     """One Lloyd iteration of every run: new centres and the cost at the old ones."""
-    spread = hist.select("x", "w", _runs_column(runs).alias("r")).select("x", "w", "r.run", "r.centres")
     pairs = F.transform(
         "centres", lambda c: F.struct(F.abs(F.col("x") - c).alias("gap"), c.alias("centre"))
     )
     near = F.array_min(pairs)
     sums = (
-        spread.select("run", "x", "w", near.alias("near"))
+        _spread(hist, runs)
+        .select("run", "x", "w", near.alias("near"))
         .groupBy("run", F.col("near.centre").alias("centre"))
         .agg(
             F.sum("w").alias("w"),

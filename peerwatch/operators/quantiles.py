@@ -46,7 +46,8 @@ def group_quantiles(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("v", F.array(*[F.lit(e) for e in _grid(probs, accuracy)]), F.lit(accuracy)).alias("edges"),
     )
-    edged = attach(long, sketch, keys, how="inner")
+    # Without groups the sketch has one row per column, whatever the data.
+    edged = attach(long, sketch, keys, how="inner") if by else long.join(F.broadcast(sketch), keys)
 
     lows = [F.col("edges")[2 * i] for i in range(len(probs))]
     highs = [F.col("edges")[2 * i + 1] for i in range(len(probs))]
