@@ -66,3 +66,11 @@ def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left", bo
     """
     held, small = pin(stats, bound)
     return df.join(F.broadcast(held) if small else held, on=on, how=how)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove what this application staged, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
