@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,57 +35,46 @@ def group_quantiles(
 
     `q` is an array in the order of `probs`; NULL values do not count.
     """
-    keys = [*by, "variable"]
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("variable"), F.col(name).cast("double").alias("v")) for name in values
-    ])
-    long = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.variable", "p.v").where(F.col("v").isNotNull())
-
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(e) for e in _grid(probs, accuracy)]), F.lit(accuracy)).alias("edges"),
+    probs = [float(p) for p in probs]
+    keys = [*(f"`{name}`" for name in by), "variable"]
+    pairs = ", ".join(f"struct('{name}' AS variable, CAST(`{name}` AS double) AS v)" for name in values)
+    long = df.selectExpr(*keys[:-1], f"inline(array({pairs}))").where("v IS NOT NULL")
+
+    grid = ", ".join(f"{edge!r}D" for edge in _grid(probs, accuracy))
+    sketch = long.groupBy(*by, "variable").agg(
+        F.expr("count(1) AS n"), F.expr(f"percentile_approx(v, array({grid}), {accuracy}) AS edges")
     )
     # Without groups the sketch has one row per column, whatever the data.
-    edged = attach(long, sketch, keys, how="inner") if by else long.join(F.broadcast(sketch), keys)
+    names = [*by, "variable"]
+    edged = attach(long, sketch, names, how="inner") if by else long.join(F.broadcast(sketch), names)
 
-    lows = [F.col("edges")[2 * i] for i in range(len(probs))]
-    highs = [F.col("edges")[2 * i + 1] for i in range(len(probs))]
-    inside = reduce(
-        lambda a, b: a | b, [F.col("v").between(lo, hi) for lo, hi in zip(lows, highs)], F.col("n") <= accuracy
-    )
+    brackets = range(len(probs))
+    inside = " OR ".join([f"n <= {accuracy}", *(f"v BETWEEN edges[{2 * i}] AND edges[{2 * i + 1}]" for i in brackets)])
     # A row outside every bracket only counts towards the next bracket above it.
-    above = F.array_min(F.array(*[F.when(lo > F.col("v"), lo) for lo in lows]))
+    above = ", ".join(f"if(edges[{2 * i}] > v, edges[{2 * i}], NULL)" for i in brackets)
     counted = (
-        edged.select(*keys, "n", inside.alias("exact"), F.when(inside, F.col("v")).otherwise(above).alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy(*keys, "n", "v", "exact")
-        .agg(F.count(F.lit(1)).alias("rows_n"))
+        edged.selectExpr(*keys, "n", f"({inside}) AS exact", f"if({inside}, v, array_min(array({above}))) AS v")
+        .where("v IS NOT NULL")
+        .groupBy(*names, "n", "v", "exact")
+        .agg(F.expr("count(1) AS rows_n"))
     )
-    running = counted.withColumn(
-        "upto",
-        F.sum("rows_n").over(
-            Window.partitionBy(*keys).orderBy("v", "exact").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-
-    place = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    picks = []
-    for i, at in enumerate(place):
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = F.when(F.col("upto") > rank, F.struct("v", "exact"))
-            picks.append(F.min(hit).alias(f"{side}{i}"))
-    picked = running.groupBy(*keys, "n").agg(*picks)
-
-    results = []
-    sound = F.lit(True)
-    for i, at in enumerate(place):
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        sound = sound & lo["exact"] & hi["exact"]
-        results.append(lo["v"] + (hi["v"] - lo["v"]) * (at - F.floor(at)))
-    checked = F.when(F.coalesce(sound, F.lit(False)), F.array(*results)).otherwise(
-        F.raise_error(F.lit("a quantile fell outside its bracket")).cast("array<double>")
+    within = Window.partitionBy(*names).orderBy("v", "exact").rowsBetween(Window.unboundedPreceding, 0)
+    running = counted.withColumn("upto", F.sum("rows_n").over(within))
+
+    place = [f"((n - 1) * {p!r}D)" for p in probs]
+    picked = running.groupBy(*names, "n").agg(*[
+        F.expr(f"min(if(upto > {rank}({at}), struct(v, exact), NULL)) AS {side}{i}")
+        for i, at in enumerate(place)
+        for side, rank in (("lo", "floor"), ("hi", "ceil"))
+    ])
+    sound = " AND ".join(f"lo{i}.exact AND hi{i}.exact" for i in brackets)
+    results = ", ".join(f"lo{i}.v + (hi{i}.v - lo{i}.v) * ({at} - floor({at}))" for i, at in enumerate(place))
+    return picked.selectExpr(
+        *keys,
+        "n",
+        f"if(coalesce({sound}, false), array({results}), "
+        "CAST(raise_error('a quantile fell outside its bracket') AS array<double>)) AS q",
     )
-    return picked.select(*keys, "n", checked.alias("q"))
 
 
 def quantile_columns(
