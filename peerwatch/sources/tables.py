@@ -10,10 +10,14 @@ from pyspark.sql import types as T
 def read_source(spark: SparkSession, location: str, fmt: str | None = None, **options) -> DataFrame:
     """Transactions from files or from a database.
 
-    A `jdbc:` location is read over `numPartitions` ranges of `partitionColumn`
-    (pass `dbtable`, `partitionColumn`, `lowerBound`, `upperBound`).
+    A `jdbc:` location is read over `numPartitions` ranges of `partitionColumn`;
+    without them the whole table would pass through one task, so they are required.
     """
     if location.startswith("jdbc:"):
+        needed = ("dbtable", "partitionColumn", "lowerBound", "upperBound", "numPartitions")
+        absent = [name for name in needed if name not in options]
+        if absent:
+            raise ValueError("a database table is read in ranges; missing options: " + ", ".join(absent))
         return spark.read.format("jdbc").option("url", location).options(**options).load()
     return spark.read.format(fmt or "parquet").options(**options).load(location)
 
