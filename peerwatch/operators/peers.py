@@ -84,7 +84,7 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
         spread = _spread(hist, open_runs)
         gap = F.array_min(F.transform("centres", lambda c: (F.col("x") - c) * (F.col("x") - c)))
         weight = F.col("w") * (gap if step else F.lit(1.0))
-        u = C.uniform(C.fold32(F.xxhash64("x"), F.col("run"), F.lit(step), F.lit(seed)))
+        u = C.uniform(C.fold32(F.round(F.col("x") * 1e9), F.col("run"), F.lit(step), F.lit(seed)))
         drawn = (
             spread.withColumn("weight", weight)
             .where(F.col("weight") > 0)
@@ -142,7 +142,8 @@ def fit_many(
     models = {}
     for i, k in enumerate(ks):
         runs = range(i * n_init, (i + 1) * n_init)
-        best = min(runs, key=lambda r: (final[r][1], r))
+        # Twelve digits: restarts that end in the same groups tie whatever order their sums took.
+        best = min(runs, key=lambda r: (float(f"{final[r][1]:.12g}"), r))
         models[k] = PeerModel(column, mean, std, centres[best], final[best][1])
     return models
 

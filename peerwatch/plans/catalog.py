@@ -393,6 +393,18 @@ def percentile_rule(spark, sf_dir):
     ))
 
 
+@query
+def event_robust_zscore(spark, sf_dir):
+    """The same score on another table: event values against their event type."""
+    rows = outliers.robust_zscore(D.table(spark, sf_dir, "events"), "value", "event_type")
+    return rounded(rows.select("event_id", "event_type", "robust_z", "flag_robust"))
+
+
+@query
+def event_limits(spark, sf_dir):
+    return rounded(outliers.percentile_limits(D.table(spark, sf_dir, "events"), "value", "event_type"))
+
+
 # Isolation forest --------------------------------------------------------------------
 
 
@@ -542,7 +554,7 @@ def spearman(spark, sf_dir):
 
 @query
 def spearman_report(spark, sf_dir):
-    return sensitivity.spearman_report(compared(spark, sf_dir))
+    return rounded(sensitivity.spearman_report(compared(spark, sf_dir)))
 
 
 @query

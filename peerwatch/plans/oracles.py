@@ -362,6 +362,58 @@ def _lloyd(iterations: int) -> str:
     max(total) AS total_max, round_even(avg(log_total), 6) AS centre FROM ({last}) GROUP BY c"""
 
 
+KMEANS_ITERATIONS = 40  # more than any run on the given tables takes; a run that stopped stays as it is
+
+
+def _kmeans(ks: tuple[int, ...], restarts: int = 10) -> str:
+    """K-Means with restarts up to best(k, cs, cost), as further table expressions after `feat`."""
+    sizes = ", ".join(f"({i * restarts + r}, {k})" for i, k in enumerate(ks) for r in range(restarts))
+    steps = [
+        """hist AS MATERIALIZED (SELECT (v - m) / s AS x, w FROM (SELECT log_total AS v, count(*) AS w FROM feat GROUP BY 1),
+        (SELECT avg(log_total) AS m, stddev_pop(log_total) AS s FROM feat))""",
+        f"seed0 AS MATERIALIZED (SELECT run, k, CAST([] AS DOUBLE[]) AS cs FROM (VALUES {sizes}) v(run, k))",
+    ]
+    for i in range(max(ks)):
+        gap = "list_min(list_transform(cs, lambda c: (x - c) * (x - c)))" if i else "1.0::DOUBLE"
+        u = f"(CAST({_hash('round(x * 1e9)', 'run', i, SEED)} AS DOUBLE) + 0.5) / {P32}.0::DOUBLE"
+        steps.append(
+            f"""seed{i + 1} AS MATERIALIZED (SELECT run, k, CASE WHEN d IS NULL THEN cs ELSE list_append(cs, d) END AS cs
+            FROM seed{i} LEFT JOIN (SELECT run, arg_min(x, -ln(u) / weight) AS d FROM (SELECT run, x, {u} AS u,
+            w * {gap} AS weight FROM seed{i}, hist WHERE k > {i}) WHERE weight > 0 GROUP BY 1) USING (run))"""
+        )
+    steps.append(f"at0 AS MATERIALIZED (SELECT run, k, list_sort(cs) AS cs, true AS active FROM seed{max(ks)})")
+    near = """SELECT run, x, w, list_sort(list_transform(cs, lambda c: {{'gap': abs(x - c), 'centre': c}}))[1] AS near
+        FROM at{i}, hist"""
+    for i in range(KMEANS_ITERATIONS):
+        steps.append(
+            f"""mean{i} AS MATERIALIZED (SELECT run, near.centre AS c, sum(x * w) / sum(w) AS m
+            FROM ({near.format(i=i)} WHERE active) GROUP BY 1, 2)"""
+        )
+        steps.append(
+            f"""move{i} AS MATERIALIZED (SELECT run, list_sort(list(coalesce(m, c))) AS cs_next
+            FROM (SELECT run, unnest(cs) AS c FROM at{i} WHERE active) LEFT JOIN mean{i} USING (run, c) GROUP BY 1)"""
+        )
+        steps.append(
+            f"""at{i + 1} AS MATERIALIZED (SELECT run, k, coalesce(cs_next, cs) AS cs, active AND list_sum(list_transform(
+            list_zip(cs, cs_next), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) > 1e-4 AS active
+            FROM at{i} LEFT JOIN move{i} USING (run))"""
+        )
+    steps.append(
+        f"""costs AS MATERIALIZED (SELECT run, sum(near.gap * near.gap * w) AS cost
+        FROM ({near.format(i=KMEANS_ITERATIONS)}) GROUP BY 1)"""
+    )
+    steps.append(
+        f"""best AS MATERIALIZED (SELECT k, cs, cost FROM at{KMEANS_ITERATIONS} JOIN costs USING (run)
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(cost, 6), run) = 1)"""
+    )
+    return ",\n".join(steps)
+
+
+def _band(x: str) -> str:
+    """Group of x among ascending centres: midpoints below it."""
+    return f"CAST(len(list_filter(list_zip(cs[:-2], cs[2:]), lambda p: {x} > (p[1] + p[2]) / 2)) AS INTEGER)"
+
+
 def oracle_sql() -> dict[str, str]:
     months = ", ".join(_MONTH_COLUMNS)
     out = {
@@ -851,6 +903,55 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(year(month) AS INTEGER) AS year, status, count(*) AS alerts_n FROM alerts GROUP BY 1, 2", "alerts"
         ),
     }
+    scale = "(SELECT avg(log_total) AS m, stddev_pop(log_total) AS s FROM feat)"
+    out["peer_kmeans"] = _sql("", "feat").rstrip() + ", " + _kmeans((4,)) + f"""
+        SELECT peer_group, count(*) AS rows_n, min(total) AS total_min, max(total) AS total_max,
+        round_even(avg(log_total), 6) AS centre FROM (SELECT feat.*, {_band('((log_total - m) / s)')} AS peer_group
+        FROM feat, best, {scale}) GROUP BY 1"""
+    out["k_sweep"] = _sql("", "feat").rstrip() + ", " + _kmeans((2, 3, 4, 5, 6)) + f""",
+        spots AS MATERIALIZED (SELECT k, {_band('x')} AS g, x, w FROM hist, best),
+        middles AS MATERIALIZED (SELECT k, g, sum(w) AS n, sum(x * w) / sum(w) AS c FROM spots GROUP BY 1, 2),
+        spreads AS MATERIALIZED (SELECT k, g, any_value(n) AS n, any_value(c) AS c, sum(w * abs(x - c)) / any_value(n) AS dev,
+        sum(w * (x - c) * (x - c)) AS ss FROM spots JOIN middles USING (k, g) GROUP BY 1, 2),
+        davies AS MATERIALIZED (SELECT k, avg(m) AS davies_bouldin FROM (SELECT p.k, max((p.dev + q.dev) / abs(p.c - q.c)) AS m
+        FROM spreads p JOIN spreads q ON p.k = q.k AND p.g <> q.g GROUP BY p.k, p.g) GROUP BY 1),
+        calinski AS MATERIALIZED (SELECT k, sum(ss) AS inertia, min(n) AS smallest, max(n) AS largest,
+        sum(n * (c - t) * (c - t)) * (sum(n) - count(*)) / (sum(ss) * (count(*) - 1)) AS calinski_harabasz FROM spreads
+        JOIN (SELECT k, sum(n * c) / sum(n) AS t FROM spreads GROUP BY 1) USING (k) GROUP BY 1),
+        drawn AS MATERIALIZED (SELECT (log_total - m) / s AS x, count(*) AS w FROM (SELECT * FROM feat
+        ORDER BY {_hash('entity_id', _IDX, SEED)}, entity_id, month LIMIT 5000), {scale} GROUP BY 1),
+        placed AS MATERIALIZED (SELECT k, {_band('x')} AS g, x, w FROM drawn, best),
+        pairs AS MATERIALIZED (SELECT p.k AS k, p.g AS g, p.x AS x, any_value(p.w) AS w, q.g AS o, sum(q.w * abs(p.x - q.x)) AS d,
+        sum(q.w) AS n FROM placed p JOIN placed q ON p.k = q.k GROUP BY 1, 2, 3, 5),
+        ab AS MATERIALIZED (SELECT k, g, x, any_value(w) AS w, max(CASE WHEN o = g THEN d / nullif(n - 1, 0) END) AS a,
+        min(CASE WHEN o <> g THEN d / n END) AS b FROM pairs GROUP BY 1, 2, 3),
+        sil AS MATERIALIZED (SELECT k, sum(w * coalesce((b - a) / nullif(greatest(a, b), 0), 0)) / sum(w) AS silhouette
+        FROM ab GROUP BY 1)
+        SELECT CAST(k AS INTEGER) AS k, round_even(inertia, 2) AS inertia, round_even(silhouette, 4) AS silhouette,
+        round_even(davies_bouldin, 4) AS davies_bouldin, round_even(calinski_harabasz, 2) AS calinski_harabasz,
+        CAST(smallest AS BIGINT) AS smallest, CAST(largest AS BIGINT) AS largest
+        FROM calinski JOIN davies USING (k) JOIN sil USING (k)"""
+    out["event_robust_zscore"] = """WITH m AS MATERIALIZED (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events
+        GROUP BY 1), d AS MATERIALIZED (SELECT event_type, any_value(med) AS med, quantile_cont(abs(value - med), 0.5) AS mad
+        FROM events JOIN m USING (event_type) GROUP BY 1)
+        SELECT event_id, event_type, round_even(0.6745 * (value - med) / greatest(mad, 0.001), 6) AS robust_z,
+        abs(0.6745 * (value - med) / greatest(mad, 0.001)) > 3.5 AS flag_robust FROM events JOIN d USING (event_type)"""
+    out["event_limits"] = """SELECT event_type, unnest([0.95::DOUBLE, 0.975::DOUBLE, 0.99::DOUBLE]) AS percentile,
+        unnest([round_even(quantile_cont(value, 0.95), 6), round_even(quantile_cont(value, 0.975), 6),
+        round_even(quantile_cont(value, 0.99), 6)]) AS limit_value FROM events GROUP BY event_type"""
+    # The p-value integrates the density of Student's t beyond |t|, by Simpson's rule over x = |t| + s / (1 - s).
+    out["spearman_report"] = _sql(
+        """, ranks AS MATERIALIZED (SELECT rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0::DOUBLE AS ra,
+        rank() OVER (ORDER BY robust_z) + (count(*) OVER (PARTITION BY robust_z) - 1) / 2.0::DOUBLE AS rb FROM compared),
+        rho AS MATERIALIZED (SELECT corr(ra, rb) AS r, count(*) - 2 AS v FROM ranks),
+        tail AS MATERIALIZED (SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(
+        lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + x * x / v)) / pow(1 - h, 2)) / 60000 * 2 AS p
+        FROM (SELECT i, v, h, abs(r) * sqrt(v / (1 - r * r)) + h / (1 - h) AS x FROM rho, (SELECT i, i / 20000.1::DOUBLE AS h
+        FROM range(20001) t(i))))
+        SELECT 'Correlação de Spearman' AS metric, round_even(r, 4) AS value FROM rho
+        UNION ALL SELECT 'P-valor', round_even(p, 6) FROM tail""",
+        "compared",
+    )
     for name, headings in (("alerts_by_cluster", ("peer_group", "alerts_n", "rows_n", "alerts_pct", "alert_rate_pct")),
                            ("alerts_by_cluster_report", ('"Cluster"', '"Alertas"', '"Registros do Cluster"',
                                                          '"% dos Alertas"', '"Taxa de Alertas no Cluster (%)"'))):
