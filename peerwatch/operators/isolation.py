@@ -17,16 +17,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import peerwatch
 from peerwatch import labels
 from peerwatch.functions import columns as C
+from peerwatch.functions.columns import fold32_int, uniform
 from peerwatch.functions.special import average_path
 from peerwatch.operators.ordering import hashed_sample
 from peerwatch.operators.quantiles import quantile_values
 from peerwatch.sources.staging import pin, stage
 
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(peerwatch)
+
 PSI = 256
 SCORE_DIGITS = 12
 FEATURES = ("log_total", "rate")
@@ -101,8 +107,8 @@ def _grow_tree(points: np.ndarray, tree: int, height: int, seed: int) -> Iterato
         if level == height or not len(usable):
             yield tree, node, -1, None, len(here)
             continue
-        feature = int(usable[C.fold32_int(tree, node, seed, 1) % len(usable)])
-        u = C.uniform(C.fold32_int(tree, node, seed, 2))
+        feature = int(usable[fold32_int(tree, node, seed, 1) % len(usable)])
+        u = uniform(fold32_int(tree, node, seed, 2))
         threshold = lo[feature] + u * (hi[feature] - lo[feature])
         right = here[:, feature] > threshold
         yield tree, node, feature, float(threshold), len(here)

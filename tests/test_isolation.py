@@ -99,3 +99,24 @@ def test_constant_rows_are_one_leaf(spark):
     forest = isolation.fit(df, trees=4)
     assert forest.nodes.count() == 4
     assert isolation.detect(df, trees=4).where("flag_forest").count() == 0
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """A session started elsewhere, whose workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession, functions as F\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from peerwatch.operators import isolation\n"
+        "df = spark.range(300).select(F.col('id').alias('entity_id'), F.lit('2020-01-01').cast('date').alias('month'),"
+        " F.log1p('id').alias('log_total'), (F.col('id') % 7 / 7).alias('rate'))\n"
+        "print('scored', isolation.score(df, isolation.fit(df, trees=4)).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "scored 300" in done.stdout, done.stderr[-2000:]
