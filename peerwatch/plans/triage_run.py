@@ -1,6 +1,6 @@
 """The whole analysis as one staged run.
 
-    spark-submit -m peerwatch.plans.triage_run SOURCE OUT [--format parquet]
+    python -m peerwatch.plans.triage_run SOURCE OUT [--format parquet]
 
 Each step reads the Parquet table the step before wrote under OUT/stages, so a
 run can lose executors, or be resumed by hand, without starting over.  Reports
