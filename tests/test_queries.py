@@ -8,6 +8,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from peerwatch.plans import catalog, oracles
 from oracle_check import compare, connect
 
 FAMILIES = [
@@ -16,7 +17,8 @@ FAMILIES = [
     "percentile_vs_z", "iforest_fit", "justification", "ranked_alerts", "contamination_sweep", "spearman", "entity_stability",
     "histogram", "box_stats", "alerts_crosstab",
 ]
-NAMES = sorted(queries()) if os.environ.get("PEERWATCH_ALL") else FAMILIES
+KNOWN = catalog.QUERIES
+NAMES = sorted(KNOWN) if os.environ.get("PEERWATCH_ALL") else FAMILIES
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_every_statement_has_a_query():
-    assert set(oracle_sql()) == set(queries())
+    assert set(oracles.oracle_sql()) == set(KNOWN)
 
 
 def test_entry(spark):
