@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from peerwatch.llm import exact, mixing, packing, quality, simhash
+from peerwatch.llm import chat, exact, forest, kdtree, mixing, packing, quality, secrets, simhash, warc
 
 QUERIES = {
+    "op1_warc_normalise": warc.op1_warc_normalise,
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op3_quality_ftrl": quality.op3_quality_ftrl,
+    "op4_kd_shards": kdtree.op4_kd_shards,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_chat_format": chat.op8_chat_format,
+    "op9_hash_forest": forest.op9_hash_forest,
     "op10_pack_nnls": packing.op10_pack_nnls,
 }
 
-ORACLES = {**exact.ORACLES}
+ORACLES = {**exact.ORACLES, **chat.ORACLES}
