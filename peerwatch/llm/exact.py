@@ -20,6 +20,7 @@ from peerwatch.llm.common import fresh, table, text_of
 from peerwatch.sources.staging import stage
 
 SALTS = 8
+DIGEST = "sha2(content, 256)"
 
 
 def _combine(rows: DataFrame, winner: str, salts: int) -> DataFrame:
@@ -27,7 +28,7 @@ def _combine(rows: DataFrame, winner: str, salts: int) -> DataFrame:
 
     `winner` is an aggregate expression that picks `row` among equals.
     """
-    local = rows.selectExpr("sha2(content, 256) AS digest", f"pmod(spark_partition_id(), {salts}) AS salt", "content", "row")
+    local = rows.selectExpr(f"{DIGEST} AS digest", f"pmod(spark_partition_id(), {salts}) AS salt", "content", "row")
     salted = local.groupBy("digest", "salt", "content").agg(F.expr(winner).alias("row"), F.count(F.lit(1)).alias("n"))
     return (
         salted.repartition("digest")
@@ -54,7 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "exact",
     )
-    light = rows.selectExpr("row AS doc_id", "sha2(content, 256) AS digest")
+    light = rows.selectExpr("row AS doc_id", f"{DIGEST} AS digest")
     named = light.join(groups, "digest")
     if not groups.where("texts > 1").isEmpty():
         named = _with_clashes(rows, winners, groups, named)
@@ -71,7 +72,7 @@ def _with_clashes(rows: DataFrame, winners: DataFrame, groups: DataFrame, named:
     """Rows under a digest of several texts are told apart by their content."""
     clashing = groups.where("texts > 1").select("digest")
     told = winners.join(clashing, "digest", "left_semi").selectExpr("digest", "content", "row AS keep_id", "n AS group_size")
-    full = rows.selectExpr("row AS doc_id", "sha2(content, 256) AS digest", "content")
+    full = rows.selectExpr("row AS doc_id", f"{DIGEST} AS digest", "content")
     apart = full.join(told, ["digest", "content"]).select("digest", "doc_id", "keep_id", "group_size")
     return named.where("texts = 1").select("digest", "doc_id", "keep_id", "group_size").unionByName(apart)
 

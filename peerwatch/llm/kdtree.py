@@ -198,7 +198,7 @@ def number_slots(placed: DataFrame) -> DataFrame:
     runs = laid.groupBy("shard", "part").agg(F.min("spot").alias("least"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(runs.select("shard", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("base")), "bases")
-    return laid.join(bases, ["shard", "part"]).withColumn("slot", F.col("base") + F.col("spot")).drop("part", "spot", "base")
+    return laid.join(bases, ["shard", "part"]).select(*placed.columns, (F.col("base") + F.col("spot")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str, id_col: str = "doc_id") -> None:

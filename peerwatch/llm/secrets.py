@@ -52,12 +52,12 @@ ALPHABETS = (
     ("0123456789abcdef", 1.0),
     ("0123456789ABCDEF", 1.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.0),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.0),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.5),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.5),
 )
 #: Under the null, the share of neighbours of different kind, and the correlation of neighbours.
 TEXT_CHANGES = 0.2
-TEXT_CORRELATION = 0.6
+TEXT_CORRELATION = 0.75
 FALSE_SHARE = 0.01
 #: Grid of p-values: step b stands for 10 ** (-b / STEPS).
 STEPS, LAST_STEP = 20, 400
@@ -201,10 +201,14 @@ def span_text(spans: str):
     )
 
 
+def _count(kind: str):
+    number = KINDS.index(kind)
+    return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets in all `documents`."""
     found = find_secrets(table(spark, sf_dir, "documents"))
-    count = {k: F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])}
     return found.select(
-        "doc_id", *count.values(), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans")
+        "doc_id", *[_count(kind) for kind in KINDS[:3]], F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans")
     )
