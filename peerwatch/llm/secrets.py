@@ -49,8 +49,8 @@ CLASSES = (20, 24, 32, 48, 96)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
 #: Alphabets by size: symbols in order of value, divergence of text per symbol.
 ALPHABETS = (
-    ("0123456789abcdef", 1.0),
-    ("0123456789ABCDEF", 1.0),
+    ("0123456789abcdef", 1.5),
+    ("0123456789ABCDEF", 1.5),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.5),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.5),
