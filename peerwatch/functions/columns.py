@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +104,21 @@ def fold32_int(*parts: int) -> int:
     return ((acc ^ (acc >> 13)) * b) % PRIME32
 
 
+def fold32_array(first: np.ndarray, *parts: int) -> np.ndarray:
+    """The same hash of an array of integers and further plain ones."""
+    a, b, c = MULTIPLIERS
+    acc = np.zeros(len(first), np.int64)
+    for part in (first.astype(np.int64), *parts):
+        acc = ((acc + part % PRIME31) * a + 12345) % PRIME32
+        acc = (acc * b + 1) % PRIME31
+    acc = ((acc ^ (acc >> 15)) * c) % PRIME32
+    return ((acc ^ (acc >> 13)) * b) % PRIME32
+
+
+def uniform_array(hashed: np.ndarray) -> np.ndarray:
+    return (hashed.astype(float) + 0.5) / float(PRIME32)
+
+
 def uniform(hashed):
     """Open interval (0, 1) from a hash, column or number."""
     wide = hashed.cast("double") if isinstance(hashed, Column) else float(hashed)

@@ -11,7 +11,6 @@ PEER_COUNT = 4
 PEER_COUNTS_TRIED = (2, 3, 4, 5, 6)
 KMEANS_RESTARTS = 10
 SEED = 42
-SILHOUETTE_ROWS = 5000
 SCATTER_ROWS = 15000
 Z_MODERATE = 2.0
 Z_CRITICAL = 3.0
@@ -62,8 +61,13 @@ JUSTIFY_NONE = "Registro sem evidência adicional de comportamento atípico."
 
 # Removal reasons, in report order.
 REMOVED_INVALID = "Datas inválidas"
-REMOVED_BEFORE = "Antes de 2016"
-REMOVED_AFTER = "Após julho de 2025"
+REMOVED_BEFORE = "Antes de {year}"
+REMOVED_BEFORE_MONTH = "Antes de {month} de {year}"
+REMOVED_AFTER = "Após {month} de {year}"
+MONTHS = (
+    "janeiro", "fevereiro", "março", "abril", "maio", "junho",
+    "julho", "agosto", "setembro", "outubro", "novembro", "dezembro",
+)
 
 # Peer-group names.
 PEER_NAMES = {0: "Muito pequeno porte", 1: "Pequeno porte", 2: "Médio porte", 3: "Grande porte"}
@@ -181,6 +185,21 @@ HEADINGS = {
         "position": "Posição", "entity_id": "Serventia", "month_label": "Mês", "peer_group": "Cluster", "z": "Z-Score",
         "priority": "Score de Prioridade", "status": "Status", "reason": "Motivo", "justification": "Justificativa",
     },
+    "top_alerts_full": {
+        "position": "posicao_ranking", "entity_id": "cartorio_id", "month": "mes", "peer_group": "cluster_par",
+        "total": "total_selos", "cancelled_n": "total_cancelados", "rate": "taxa_cancelamento",
+        "rate_mean": "media_cancelamento_grupo", "z": "z_score_par", "if_label": "iforest_score",
+        "if_intensity": "iforest_intensidade", "priority": "score_prioridade", "status": "status_metodologico",
+        "reason": "categoria_motivo", "justification": "justificativa_alerta",
+    },
+    "peer_stats": {
+        "peer_group": "cluster_par", "group_n": "quantidade_grupo", "rate_mean": "media_cancelamento_grupo",
+        "rate_median": "mediana_cancelamento_grupo", "rate_std": "desvio_cancelamento_grupo",
+        "rate_p90": "percentil90_cancelamento_grupo", "total_mean": "media_selos_grupo",
+        "total_median": "mediana_selos_grupo", "rate_mean_pct": "media_cancelamento_pct",
+        "rate_median_pct": "mediana_cancelamento_pct", "rate_std_pct": "desvio_cancelamento_pct",
+        "rate_p90_pct": "percentil90_cancelamento_pct",
+    },
     "mad_diagnostics": {
         "peer_group": "cluster_par", "rows_n": "observacoes", "value_median": "mediana_taxa", "mad": "mad",
         "value_min": "taxa_minima", "value_max": "taxa_maxima", "zero_pct": "percentual_zero",

@@ -6,6 +6,8 @@ together in one pass over it: a row is kept when its month lies in the period.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +20,24 @@ def kept(start, end, month: str = "month") -> Column:
     return F.coalesce(F.col(month).between(F.lit(start), F.lit(end)), F.lit(False))
 
 
+def reason_titles(start, end) -> tuple[str, str, str]:
+    """Invalid, before and after, worded from the bounds; a period that begins in January is named by its year."""
+    start, end = (d if isinstance(d, date) else date.fromisoformat(str(d)) for d in (start, end))
+    before = labels.REMOVED_BEFORE if start.month == 1 else labels.REMOVED_BEFORE_MONTH
+    return (
+        labels.REMOVED_INVALID,
+        before.format(month=labels.MONTHS[start.month - 1], year=start.year),
+        labels.REMOVED_AFTER.format(month=labels.MONTHS[end.month - 1], year=end.year),
+    )
+
+
 def removal_reason(start, end, month: str = "month") -> Column:
     value = F.col(month)
+    invalid, before, after = reason_titles(start, end)
     return (
-        F.when(value.isNull(), F.lit(labels.REMOVED_INVALID))
-        .when(value < F.lit(start), F.lit(labels.REMOVED_BEFORE))
-        .when(value > F.lit(end), F.lit(labels.REMOVED_AFTER))
+        F.when(value.isNull(), F.lit(invalid))
+        .when(value < F.lit(start), F.lit(before))
+        .when(value > F.lit(end), F.lit(after))
     )
 
 
@@ -40,7 +54,7 @@ def removed_rows(raw: DataFrame, start, end) -> DataFrame:
 
 def removal_reasons(raw: DataFrame, start, end) -> DataFrame:
     """Count per reason in fixed order; reasons without rows stay with zero."""
-    titles = (labels.REMOVED_INVALID, labels.REMOVED_BEFORE, labels.REMOVED_AFTER)
+    titles = reason_titles(start, end)
     reason = removal_reason(start, end)
     counts = raw.agg(*[F.count_if(reason == title).alias(f"c{i}") for i, title in enumerate(titles)])
     return unstack(counts, ["c0", "c1", "c2"], titles, "reason", "rows_n")
@@ -145,13 +159,14 @@ def quality_report(raw: DataFrame, start, end) -> DataFrame:
     """One row: rows in, kept and removed by reason, kept period, flag states kept."""
     inside = kept(start, end)
     reason = removal_reason(start, end)
+    invalid, before, after = reason_titles(start, end)
     return raw.agg(
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if(inside).alias("rows_kept"),
         F.count_if(~inside).alias("rows_removed"),
-        F.count_if(reason == labels.REMOVED_INVALID).alias("invalid_n"),
-        F.count_if(reason == labels.REMOVED_BEFORE).alias("before_n"),
-        F.count_if(reason == labels.REMOVED_AFTER).alias("after_n"),
+        F.count_if(reason == invalid).alias("invalid_n"),
+        F.count_if(reason == before).alias("before_n"),
+        F.count_if(reason == after).alias("after_n"),
         F.min(F.when(inside, F.col("month"))).alias("first_month"),
         F.max(F.when(inside, F.col("month"))).alias("last_month"),
         F.sum(F.when(inside, F.col("null_flag_n"))).alias("null_flag_n"),

@@ -82,12 +82,9 @@ def clip_upper(df: DataFrame, column: str, p: float = labels.CLIP_PERCENTILE, ou
     return df.withColumn(out, F.least(F.col(column), F.lit(upper_limit(df, column, p))))
 
 
-def sample_rows(
-    df: DataFrame, n: int = labels.SCATTER_ROWS, total: int | None = None, seed: int = labels.SEED
-) -> DataFrame:
-    total = df.count() if total is None else total
-    keys = [F.col("entity_id"), C.month_index("month")]
-    return hashed_sample(df, n, total, keys, ["entity_id", "month"], seed).drop("_hash")
+def sample_rows(df: DataFrame, n: int = labels.SCATTER_ROWS, seed: int = labels.SEED) -> DataFrame:
+    """At most n rows for a scatter plot; rows without entity or month are left out."""
+    return hashed_sample(df, n, [F.col("entity_id"), C.month_index("month")], ["entity_id", "month"], seed)
 
 
 def flag_series(diagnostics: DataFrame, lo: int = labels.SERIES_YEARS[0], hi: int = labels.SERIES_YEARS[1]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerwatch.functions import columns as C
 
@@ -28,13 +29,15 @@ def monthly_fact(
 
 
 def coerce_date(df: DataFrame, column: str) -> DataFrame:
-    """Text to date; what does not parse becomes NULL."""
+    """Text to date; what does not parse becomes NULL.  Dates and timestamps stay as they are."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df
     return df.withColumn(column, F.col(column).try_cast("timestamp").cast("date"))
 
 
 def coerce_numeric(df: DataFrame, names: list[str]) -> DataFrame:
-    """Text to double; what does not parse becomes NULL."""
-    return df.withColumns({name: F.col(name).try_cast("double") for name in names})
+    """Text to double; what does not parse, and NaN, becomes NULL."""
+    return df.withColumns({name: F.nullif(F.col(name).try_cast("double"), F.lit(float("nan"))) for name in names})
 
 
 def period_cut(df: DataFrame, start, end, column: str = "month") -> DataFrame:

@@ -1,10 +1,11 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
-Fitting touches the fact twice: once for the scale and once to draw the
-training sample, which is bounded by trees x psi rows.  Trees grow in parallel, a
-task taking the psi rows of each of its trees.  All random choices are hashes of
-row key, tree and node, so a forest depends on the data and the seed only, not on
-partitioning or retries.
+Fitting touches the fact three times: for the scale, to count rows by hash, and
+to draw the training rows.  Every tree draws its own psi rows from all rows, by
+the same scheme at every size.  Trees grow in parallel, a task taking the psi
+rows of each of its trees.  All random choices are hashes of row key, tree and
+node, so a forest depends on the data and the seed only, not on partitioning or
+retries.
 
 Nodes are numbered as a heap: the root is 1, the children of i are 2i and 2i+1.
 """
@@ -26,16 +27,14 @@ from peerwatch import labels
 from peerwatch.functions import columns as C
 from peerwatch.functions.columns import fold32_int, uniform
 from peerwatch.functions.special import average_path
-from peerwatch.operators.ordering import hashed_sample
 from peerwatch.operators.quantiles import quantile_values
-from peerwatch.sources.staging import pin, stage
-
-# Task functions travel with their code, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(peerwatch)
+from peerwatch.sources.staging import stage
 
 PSI = 256
 SCORE_DIGITS = 12
 FEATURES = ("log_total", "rate")
+#: Bits of the row hash that number a bucket; a bucket holds about rows / 65536 rows.
+BUCKET_BITS = 16
 
 
 @dataclass
@@ -46,6 +45,7 @@ class Forest:
     """
 
     nodes: DataFrame | None
+    table: pd.DataFrame | None
     columns: tuple[str, ...]
     scale: dict[str, tuple[float, float]]
     trees: int
@@ -65,33 +65,48 @@ def _row_keys() -> list[Column]:
     return [F.col("entity_id"), C.month_index("month")]
 
 
-def training_rows(df: DataFrame, columns, trees: int, psi: int, total: int, seed: int) -> tuple[DataFrame, int]:
-    """Training rows (tree, x0, x1, ...) without replacement inside a tree.
+def ship() -> None:
+    """Let task functions travel with their code, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(peerwatch)
+
+
+def draw_places(tree: int, psi: int, total: int, seed: int) -> list[int]:
+    """psi distinct places among `total` rows (Floyd's sampling; the choices are hashes)."""
+    places: set[int] = set()
+    for i in range(psi):
+        last = total - psi + i
+        place = fold32_int(tree, i, seed, 3) % (last + 1)
+        places.add(last if place in places else place)
+    return sorted(places)
+
+
+def training_rows(df: DataFrame, columns, trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
+    """Training rows (tree, columns...), without replacement inside a tree; and psi, at most the rows there are.
 
-    A random permutation of the pool is cut into blocks of psi rows, one block
-    per tree; when a pass runs out of blocks the next one uses a new permutation.
+    Rows have a place in the order of their hash.  Counts per hash bucket say
+    which bucket holds a drawn place, so rows are ranked inside buckets only.
+    Rows without a key have no place.
     """
+    width = 32 - BUCKET_BITS
+    keyed = df.select("entity_id", "month", *columns).withColumn("_hash", C.fold32(*_row_keys(), F.lit(seed)))
+    keyed = keyed.where(F.col("_hash").isNotNull()).withColumn("_bucket", F.shiftright("_hash", width).cast("int"))
+    counts = sorted(map(tuple, keyed.groupBy("_bucket").count().collect()))  # at most 2 ** BUCKET_BITS
+    ends = np.cumsum([n for _, n in counts])
+    if not len(ends):
+        raise ValueError("no rows to fit on")
+    total = int(ends[-1])
     psi = min(psi, total)
-    pool_rows = min(total, trees * psi)
-    pool = hashed_sample(
-        df.select("entity_id", "month", *columns), trees * psi, total, _row_keys(), ["entity_id", "month"], seed
-    )
-    blocks = max(1, pool_rows // psi)
-    passes = math.ceil(trees / blocks)
-    # At most about twice trees x psi rows in all, and at most trees x psi per pass.
-    dealt = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    order = Window.partitionBy("round").orderBy(
-        C.fold32(*_row_keys(), F.col("round"), F.lit(seed + 1)), "entity_id", "month"
-    )
-    place = F.row_number().over(order) - 1
-    rows = (
-        dealt.withColumn("place", place)
-        .where(F.col("place") < blocks * psi)
-        .withColumn("tree", (F.col("round") * blocks + F.floor(F.col("place") / psi)).cast("int"))
-        .where(F.col("tree") < trees)
-        .select("tree", *columns)
-    )
-    return rows, psi
+    places = np.array([draw_places(tree, psi, total, seed) for tree in range(trees)])
+    at = np.searchsorted(ends, places, side="right")
+    drawn = pd.DataFrame({
+        "tree": np.repeat(np.arange(trees, dtype=np.int32), psi),
+        "_bucket": np.array([b for b, _ in counts], dtype=np.int32)[at].ravel(),
+        "_place": (places - np.concatenate(([0], ends))[at]).ravel().astype(np.int32),
+    })
+    chosen = df.sparkSession.createDataFrame(drawn, "tree int, _bucket int, _place int")  # trees x psi rows
+    order = Window.partitionBy("_bucket").orderBy("_hash", "entity_id", "month")
+    ranked = keyed.withColumn("_place", F.row_number().over(order) - 1)
+    return ranked.join(F.broadcast(chosen), ["_bucket", "_place"]).select("tree", *columns), psi
 
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, n int"
@@ -123,6 +138,7 @@ def grow(rows: DataFrame, columns, height: int, seed: int) -> DataFrame:
         nodes = _grow_tree(pdf[list(columns)].to_numpy(), int(pdf["tree"].iloc[0]), height, seed)
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "n"])
 
+    ship()
     # An explicit count keeps the trees spread out although the sample is small.
     tasks = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(tasks, "tree").groupBy("tree").applyInPandas(one_tree, NODE_SCHEMA)
@@ -141,18 +157,20 @@ def fit(
     if not row["n"]:
         raise ValueError("no rows to fit on")
     scale = {c: (row[f"{c}_mean"], row[f"{c}_std"] or 1.0) for c in columns}
-    sample, psi = training_rows(df, columns, trees, psi, row["n"], seed)
-    forest = Forest(None, columns, scale, trees, psi)
+    sample, psi = training_rows(df, columns, trees, psi, seed)
+    forest = Forest(None, None, columns, scale, trees, psi)
     scaled = sample.select(
         "tree", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in scale.items()]
     )
-    forest.nodes, _ = pin(grow(scaled, columns, forest.height, seed), trees * forest.slots)
+    # At most trees x slots nodes, gathered once for the frame and the arrays.
+    held = grow(scaled, columns, forest.height, seed).toArrow()
+    forest.nodes, forest.table = df.sparkSession.createDataFrame(held, NODE_SCHEMA), held.to_pandas()
     return forest
 
 
 def _arrays(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature, threshold and leaf depth per tree and node."""
-    nodes = forest.nodes.toPandas()
+    nodes = forest.table
     shape = forest.trees, forest.slots
     feature = np.full(shape, -1, dtype=np.int32)
     threshold, depth = np.zeros(shape), np.zeros(shape)
@@ -174,6 +192,7 @@ def score(df: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
     Vectorised over Arrow batches; rows with equal values are scored once per
     batch.  Scores carry 12 decimals, so equal paths compare equal.
     """
+    ship()
     shared = df.sparkSession.sparkContext.broadcast(_arrays(forest))
     height, trees, slots = forest.height, forest.trees, forest.slots
     norm = average_path(forest.psi) or 1.0

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerwatch.functions import columns as C
+from peerwatch.operators.quantiles import nth_smallest
 from peerwatch.sources.staging import stage
 
 _SLOT_BITS = 33
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows range-partitioned and sorted, each with its partition and place, written once.
 
     Writing fixes the boundaries: the counts and the rows below must come from
@@ -31,7 +32,7 @@ def _before(parts: DataFrame, amount: Column) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """1-based global position in a total order (the order must end in a unique key)."""
-    placed = _ranged(df, order)
+    placed = ranged(df, order)
     within = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
     return (
         placed.join(F.broadcast(_before(placed, F.count(F.lit(1)))), "_part")
@@ -47,7 +48,7 @@ def average_ranks(df: DataFrame, value: str, out: str, weight: str | None = None
     """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(value).agg(amount.alias("_n"))
-    placed = _ranged(counts, [F.col(value)])
+    placed = ranged(counts, [F.col(value)])
     window = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_n").over(window)
     return placed.join(F.broadcast(_before(placed, F.sum("_n"))), "_part").select(
@@ -61,16 +62,13 @@ def top_rows(df: DataFrame, order: list[Column], n: int, out: str = "position")
     return head.withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
-def hashed_sample(
-    df: DataFrame, n: int, total: int, keys: list[Column], order_keys: list[str], seed: int = 42
-) -> DataFrame:
+def hashed_sample(df: DataFrame, n: int, keys: list[Column], order_keys: list[str], seed: int = 42) -> DataFrame:
     """The n rows with the smallest key hash: a sample that does not depend on partitioning.
 
-    On large inputs a hash threshold first leaves a few times n rows, so the
-    final ordering never gathers a top-n from every partition.
+    Rows with a NULL key are never drawn.  The n-th smallest hash is found by
+    counting, so only the rows up to it are gathered, at every size alike.
     """
-    hashed = df.withColumn("_hash", C.fold32(*keys, F.lit(seed)))
-    expected = 4 * n + 1000
-    if total > expected:
-        hashed = hashed.where(F.col("_hash") < int(C.PRIME32 * (expected / total)))
-    return hashed.orderBy("_hash", *order_keys).limit(n)
+    hashed = df.withColumn("_hash", C.fold32(*keys, F.lit(seed))).where(F.col("_hash").isNotNull())
+    cut = nth_smallest(hashed, "_hash", n)
+    drawn = hashed.where(F.col("_hash") <= F.lit(cut)) if cut is not None else hashed
+    return drawn.orderBy("_hash", *order_keys).limit(n).drop("_hash")

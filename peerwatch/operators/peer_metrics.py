@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from peerwatch import labels
 from peerwatch.functions import columns as C
-from peerwatch.operators.ordering import hashed_sample
-from peerwatch.operators.peers import _histogram, fit_many
+from peerwatch.operators.ordering import ranged
+from peerwatch.operators.peers import PeerModel, fit_many, histogram
 from peerwatch.operators.quantiles import quantile_columns
 from peerwatch.sources.staging import attach, stage
 
@@ -75,79 +75,81 @@ def cluster_quality(
     )
 
 
-def silhouette(sample: DataFrame, x: str, k: int, group: str = "peer_group", by: Sequence[str] = ()) -> DataFrame:
-    """Mean Euclidean silhouette of a bounded sample, exact in one dimension.
+def silhouette(
+    rows: DataFrame, x: str, k: int, group: str = "peer_group", by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Mean Euclidean silhouette of all rows, exact in one dimension.
 
     Distances from a value to a whole group follow from the group's running
-    count and sum along the sorted values, so no pairs are formed.
+    count and sum along the sorted values, so no pairs are formed.  Distinct
+    values are dealt by ranges; running sums are those of the earlier ranges plus
+    those inside the range, so no column of values meets in one task.  Equal
+    values may fall either side of a border: their distance is zero.
     """
-    counts = sample.groupBy(*by, x, group).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*by).orderBy(x)
-    upto = order.rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    value = F.col(x)
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = rows.groupBy(*by, F.col(x).alias("x"), F.col(group).alias("g")).agg(amount.alias("n"))
+    placed = ranged(counts, [*map(F.col, by), F.col("x"), F.col("g")])
+    value = F.col("x")
 
     def in_group(g: int, what: Column) -> Column:
-        return F.when(F.col(group) == g, what).otherwise(0)
-
-    wide = counts.select(
-        "*",
-        *[F.sum(in_group(g, F.col("n"))).over(upto).alias(f"cn{g}") for g in range(k)],
-        *[F.sum(in_group(g, value * F.col("n"))).over(upto).alias(f"cs{g}") for g in range(k)],
-        *[F.sum(in_group(g, F.col("n"))).over(whole).alias(f"n{g}") for g in range(k)],
-        *[F.sum(in_group(g, value * F.col("n"))).over(whole).alias(f"s{g}") for g in range(k)],
+        return F.when(F.col("g") == g, what).otherwise(0)
+
+    parts = placed.groupBy("_part", *by).agg(
+        *[F.sum(in_group(g, F.col("n"))).alias(f"pn{g}") for g in range(k)],
+        *[F.sum(in_group(g, value * F.col("n"))).alias(f"ps{g}") for g in range(k)],
+    )
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)  # one row per range
+    names = [f"{c}{g}" for c in ("n", "s") for g in range(k)]
+    borders = stage(parts.select(
+        "_part", *by,
+        *[F.coalesce(F.sum(f"p{name}").over(earlier), F.lit(0)).alias(f"b{name}") for name in names],
+        *[F.sum(f"p{name}").over(whole).alias(f"t{name}") for name in names],
+    ), "borders")
+    inside = Window.partitionBy("_part", *by).orderBy("x", "g").rowsBetween(Window.unboundedPreceding, 0)
+    wide = placed.join(borders, ["_part", *by]).select(
+        *by, "x", "g", "n", *[f"t{name}" for name in names],
+        *[(F.col(f"bn{g}") + F.sum(in_group(g, F.col("n"))).over(inside)).alias(f"cn{g}") for g in range(k)],
+        *[(F.col(f"bs{g}") + F.sum(in_group(g, value * F.col("n"))).over(inside)).alias(f"cs{g}") for g in range(k)],
     )
 
     def distance(g: int) -> Column:
         below, below_sum = F.col(f"cn{g}"), F.col(f"cs{g}")
-        return value * below - below_sum + (F.col(f"s{g}") - below_sum) - value * (F.col(f"n{g}") - below)
+        return value * below - below_sum + (F.col(f"ts{g}") - below_sum) - value * (F.col(f"tn{g}") - below)
 
-    own = F.coalesce(*[F.when(F.col(group) == g, distance(g) / F.nullif(F.col(f"n{g}") - 1, F.lit(0))) for g in range(k)])
+    own = F.coalesce(*[F.when(F.col("g") == g, distance(g) / F.nullif(F.col(f"tn{g}") - 1, F.lit(0))) for g in range(k)])
     other = F.array_min(F.array(*[
-        F.when((F.col(group) != g) & (F.col(f"n{g}") > 0), distance(g) / F.col(f"n{g}")) for g in range(k)
+        F.when((F.col("g") != g) & (F.col(f"tn{g}") > 0), distance(g) / F.col(f"tn{g}")) for g in range(k)
     ]))
     scored = wide.select(*by, "n", own.alias("a"), other.alias("b"))
     one = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     return scored.groupBy(*by).agg((F.sum(one * F.col("n")) / F.sum("n")).alias("silhouette"))
 
 
-def sample_for_silhouette(
-    df: DataFrame, columns: list[str], rows: int = labels.SILHOUETTE_ROWS, total: int | None = None,
+def k_sweep(
+    df: DataFrame, column: str = "log_total", ks=labels.PEER_COUNTS_TRIED, n_init: int = labels.KMEANS_RESTARTS,
     seed: int = labels.SEED,
 ) -> DataFrame:
-    total = df.count() if total is None else total
-    keys = [F.col("entity_id"), C.month_index("month")]
-    return hashed_sample(
-        df.select("entity_id", "month", *columns), rows, total, keys, ["entity_id", "month"], seed
-    )
+    """Quality of each group count."""
+    return sweep(df, column, ks, n_init, seed)[0]
 
 
-def k_sweep(
+def sweep(
     df: DataFrame, column: str = "log_total", ks=labels.PEER_COUNTS_TRIED, n_init: int = labels.KMEANS_RESTARTS,
-    seed: int = labels.SEED, rows: int = labels.SILHOUETTE_ROWS,
-) -> DataFrame:
-    """Quality of each group count.
+    seed: int = labels.SEED,
+) -> tuple[DataFrame, dict[int, PeerModel]]:
+    """Quality of each group count, and the models.
 
-    All counts share one fit loop, one pass over the value counts for the
-    indices and one sample for the silhouettes.
+    All counts share one table of value counts, one fit loop, and one pass each
+    for the indices and the silhouettes.
     """
     ks = list(ks)
-    models = fit_many(df, column, ks, n_init, seed)
-    hist, mean, std = _histogram(df, column)
-
-    def halves(k: int) -> list[float]:
-        centres = models[k].centres
-        return [(a + b) / 2.0 for a, b in zip(centres, centres[1:])]
-
-    def assigned(frame: DataFrame, x: Column, keep: list[Column]) -> DataFrame:
-        choices = F.array(*[F.struct(F.lit(k).alias("k"), C.band(x, halves(k)).alias("peer_group")) for k in ks])
-        return frame.select(x.alias("x"), *keep, F.explode(choices).alias("c")).select("x", *keep, "c.k", "c.peer_group")
-
-    quality = cluster_quality(assigned(hist, F.col("x"), [F.col("w")]), "x", by=["k"], weight="w")
-    total = hist.agg(F.sum("w")).first()[0]
-    sample = stage(sample_for_silhouette(df, [column], rows, total, seed), "sample")
-    scaled = assigned(sample, (F.col(column) - mean) / std, [])
-    silhouettes = silhouette(scaled, "x", max(ks), by=["k"])
+    hist = histogram(df, column)
+    models = fit_many(df, column, ks, n_init, seed, hist=hist)
+    choices = F.array(*[F.struct(F.lit(k).alias("k"), C.band("x", models[k].cuts()).alias("peer_group")) for k in ks])
+    assigned = hist.counts.select("x", "w", F.explode(choices).alias("c")).select("x", "w", "c.k", "c.peer_group")
+    quality = cluster_quality(assigned, "x", by=["k"], weight="w")
+    silhouettes = silhouette(assigned, "x", max(ks), by=["k"], weight="w")
     return quality.join(silhouettes, "k").select(
         "k",
         F.bround("inertia", 2).alias("inertia"),
@@ -156,7 +158,7 @@ def k_sweep(
         F.bround("calinski_harabasz", 2).alias("calinski_harabasz"),
         "smallest",
         "largest",
-    ).orderBy("k")
+    ).orderBy("k"), models
 
 
 def cluster_sizes(df: DataFrame, group: str = "peer_group") -> DataFrame:

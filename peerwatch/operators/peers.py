@@ -1,20 +1,25 @@
 """Peer groups: one-dimensional K-Means and fixed bands.
 
 K-Means works on the counts of distinct values, a table far shorter than the
-fact.  All restarts, and all group counts of a sweep, advance together: one
-aggregation per iteration serves every one of them, and only centres (a few
-numbers per restart) come to the driver.  Seeding draws by a hash of the value,
-so the result does not depend on partitioning.
+fact.  All restarts, and all group counts of a sweep, advance together: a pass
+over the value counts serves every one of them.  Each task adds up its values
+per centre and sends those sums, a few numbers per restart, so a pass is one
+job without a shuffle.  Seeding draws by a hash of the value, so the result does
+not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import peerwatch
 from peerwatch import labels
 from peerwatch.functions import columns as C
 from peerwatch.operators.quantiles import quantile_values
@@ -35,38 +40,60 @@ class PeerModel:
     inertia: float
 
     def cuts(self) -> list[float]:
-        """Midpoints between neighbouring centres, on the original scale."""
-        halves = [(a + b) / 2.0 for a, b in zip(self.centres, self.centres[1:])]
-        return [h * self.std + self.mean for h in halves]
+        """Midpoints between neighbouring centres, on the standardised scale."""
+        return [(a + b) / 2.0 for a, b in zip(self.centres, self.centres[1:])]
 
     def assign(self, df: DataFrame, out: str = "peer_group") -> DataFrame:
         scaled = (F.col(self.column) - F.lit(self.mean)) / F.lit(self.std)
-        halves = [(a + b) / 2.0 for a, b in zip(self.centres, self.centres[1:])]
-        return df.withColumn(out, C.band(scaled, halves))
+        return df.withColumn(out, C.band(scaled, self.cuts()))
 
 
-def _histogram(df: DataFrame, column: str) -> tuple[DataFrame, float, float]:
-    """Distinct values with counts, standardised; and the scale."""
+@dataclass
+class Histogram:
+    """Distinct values, standardised, with counts (x, w); written once."""
+
+    counts: DataFrame
+    mean: float
+    std: float
+    distinct: int
+
+
+def _partials(frame: DataFrame, task: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> list:
+    """Rows that `task` makes of each batch of (x, w), gathered; a few per batch."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    cloudpickle.register_pickle_by_value(peerwatch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2))
+            if rows := task(x, w):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    return frame.select("x", F.col("w").cast("double")).mapInArrow(run, schema).collect()
+
+
+def histogram(df: DataFrame, column: str) -> Histogram:
     counts = stage(
-        df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
+        df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(
             F.count(F.lit(1)).alias("w")
         ),
         "histogram",
     )
-    n, mean = counts.agg(F.sum("w"), F.sum(F.col("v") * F.col("w")) / F.sum("w")).first()
-    if not n:
-        raise ValueError(f"no values in {column}")
-    spread = counts.agg(F.sum(F.col("w") * (F.col("v") - mean) * (F.col("v") - mean)) / n).first()[0]
-    std = spread**0.5 or 1.0
-    scaled = counts.select(((F.col("v") - mean) / std).alias("x"), "w")
-    return scaled, mean, std
 
+    def moments(x: np.ndarray, w: np.ndarray) -> list[tuple]:
+        n = w.sum()
+        mean = (x * w).sum() / n if n else 0.0
+        return [(float(n), float(mean), float((w * (x - mean) ** 2).sum()), len(x))]
 
-def _spread(hist: DataFrame, runs: dict[int, list[float]]) -> DataFrame:
-    """Every value once per run, beside the centres of that run."""
-    text = json.dumps([{"run": r, "centres": centres} for r, centres in runs.items()])
-    listed = F.from_json(F.lit(text), "array<struct<run: int, centres: array<double>>>")
-    return hist.select("x", "w", F.explode(listed).alias("r")).select("x", "w", "r.run", "r.centres")
+    parts = _partials(counts, moments, "n double, mean double, squares double, distinct bigint")
+    n = sum(p["n"] for p in parts)
+    if not n:
+        raise ValueError(f"no values in {column}")
+    mean = sum(p["n"] * p["mean"] for p in parts) / n
+    squares = sum(p["squares"] + p["n"] * (p["mean"] - mean) ** 2 for p in parts)
+    std = (squares / n) ** 0.5 or 1.0
+    scaled = counts.select(((F.col("x") - mean) / std).alias("x"), "w")
+    return Histogram(scaled, mean, std, sum(p["distinct"] for p in parts))
 
 
 def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dict[int, list[float]]:
@@ -78,73 +105,83 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
     size = {i: k for i, k in enumerate(k for k in ks for _ in range(n_init))}
     centres: dict[int, list[float]] = {r: [] for r in size}
     for step in range(max(ks)):
-        open_runs = {r: centres[r] for r in size if len(centres[r]) == step < size[r]}
-        if not open_runs:
-            break
-        spread = _spread(hist, open_runs)
-        gap = F.array_min(F.transform("centres", lambda c: (F.col("x") - c) * (F.col("x") - c)))
-        weight = F.col("w") * (gap if step else F.lit(1.0))
-        u = C.uniform(C.fold32(F.round(F.col("x") * 1e9), F.col("run"), F.lit(step), F.lit(seed)))
-        drawn = (
-            spread.withColumn("weight", weight)
-            .where(F.col("weight") > 0)
-            .groupBy("run")
-            .agg(F.min_by("x", -F.log(u) / F.col("weight")).alias("x"))
-        )
-        for row in drawn.collect():
-            centres[row["run"]].append(row["x"])
+        open_runs = {r: list(centres[r]) for r in size if len(centres[r]) == step < size[r]}
+
+        def draw(x: np.ndarray, w: np.ndarray, open_runs=open_runs, step=step) -> list[tuple]:
+            rows = []
+            spot = np.rint(x * 1e9).astype(np.int64)
+            for run, held in open_runs.items():
+                gap = np.min([(x - c) ** 2 for c in held], axis=0) if held else 1.0
+                weight = w * gap
+                there = weight > 0
+                if there.any():
+                    key = -np.log(C.uniform_array(C.fold32_array(spot[there], run, step, seed))) / weight[there]
+                    at = int(key.argmin())
+                    rows.append((run, float(key[at]), float(x[there][at])))
+            return rows
+
+        best: dict[int, tuple[float, float]] = {}
+        for row in _partials(hist, draw, "run bigint, key double, x double"):
+            best[row["run"]] = min(best.get(row["run"], (np.inf, 0.0)), (row["key"], row["x"]))
+        for run, (_, x) in best.items():
+            centres[run].append(x)
     return {r: sorted(c) for r, c in centres.items()}
 
 
 def _step(hist: DataFrame, runs: dict[int, list[float]]) -> dict[int, tuple[list[float], float]]:
     """One Lloyd iteration of every run: new centres and the cost at the old ones."""
-    pairs = F.transform(
-        "centres", lambda c: F.struct(F.abs(F.col("x") - c).alias("gap"), c.alias("centre"))
-    )
-    near = F.array_min(pairs)
-    sums = (
-        _spread(hist, runs)
-        .select("run", "x", "w", near.alias("near"))
-        .groupBy("run", F.col("near.centre").alias("centre"))
-        .agg(
-            F.sum("w").alias("w"),
-            F.sum(F.col("x") * F.col("w")).alias("wx"),
-            F.sum(F.col("near.gap") * F.col("near.gap") * F.col("w")).alias("cost"),
-        )
-    )
-    moved = {r: dict.fromkeys(centres) for r, centres in runs.items()}
-    cost = dict.fromkeys(runs, 0.0)
-    for row in sums.collect():
-        moved[row["run"]][row["centre"]] = row["wx"] / row["w"]
-        cost[row["run"]] += row["cost"]
+    held = {r: np.array(c) for r, c in runs.items()}
+
+    def sums(x: np.ndarray, w: np.ndarray) -> list[tuple]:
+        rows = []
+        for run, centres in held.items():
+            at = np.searchsorted((centres[:-1] + centres[1:]) / 2.0, x, side="left")
+            parts = [np.bincount(at, values, len(centres)) for values in (w, x * w, w * (x - centres[at]) ** 2)]
+            rows += [(run, i, *map(float, values)) for i, values in enumerate(zip(*parts))]
+        return rows
+
+    total = {r: np.zeros((len(c), 3)) for r, c in runs.items()}
+    for row in _partials(hist, sums, "run bigint, centre bigint, w double, wx double, cost double"):
+        total[row["run"]][row["centre"]] += (row["w"], row["wx"], row["cost"])
     # A centre that lost all its values stays where it is.
-    return {r: (sorted(c if m is None else m for c, m in moved[r].items()), cost[r]) for r in runs}
+    return {
+        r: (sorted(t[1] / t[0] if t[0] else c for c, t in zip(runs[r], sums_)), float(sums_[:, 2].sum()))
+        for r, sums_ in total.items()
+    }
 
 
 def fit_many(
     df: DataFrame, column: str, ks, n_init: int = labels.KMEANS_RESTARTS, seed: int = labels.SEED,
-    max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE,
+    max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, hist: Histogram | None = None,
 ) -> dict[int, PeerModel]:
-    """Best of n_init restarts for each group count in `ks`."""
+    """Best of n_init restarts for each group count in `ks`.
+
+    Raises if there are fewer distinct values than groups, or if a restart has
+    not settled after `max_iterations`.
+    """
     ks = list(ks)
-    hist, mean, std = _histogram(df, column)
-    centres = _seed_centres(hist, ks, n_init, seed)
+    hist = hist or histogram(df, column)
+    if hist.distinct < max(ks):
+        raise ValueError(f"{column} has {hist.distinct} distinct values, too few for {max(ks)} groups")
+    centres = _seed_centres(hist.counts, ks, n_init, seed)
     active = set(centres)
     for _ in range(max_iterations):
         if not active:
             break
-        for r, (new, _) in _step(hist, {r: centres[r] for r in sorted(active)}).items():
+        for r, (new, _) in _step(hist.counts, {r: centres[r] for r in sorted(active)}).items():
             shift = sum((a - b) ** 2 for a, b in zip(centres[r], new))
             centres[r] = new
             if shift <= tolerance:
                 active.discard(r)
-    final = _step(hist, centres)
+    if active:
+        raise RuntimeError(f"{len(active)} of {len(centres)} restarts have not settled after {max_iterations} iterations")
+    cost = {r: c for r, (_, c) in _step(hist.counts, centres).items()}
     models = {}
     for i, k in enumerate(ks):
         runs = range(i * n_init, (i + 1) * n_init)
         # Twelve digits: restarts that end in the same groups tie whatever order their sums took.
-        best = min(runs, key=lambda r: (float(f"{final[r][1]:.12g}"), r))
-        models[k] = PeerModel(column, mean, std, centres[best], final[best][1])
+        best = min(runs, key=lambda r: (float(f"{cost[r]:.12g}"), r))
+        models[k] = PeerModel(column, hist.mean, hist.std, centres[best], cost[best])
     return models
 
 
@@ -153,13 +190,18 @@ def fit_peers(df: DataFrame, column: str = "log_total", k: int = labels.PEER_COU
 
 
 def fit_lloyd(df: DataFrame, column: str = "log_total", k: int = labels.PEER_COUNT, iterations: int = 5) -> PeerModel:
-    """Deterministic variant: a fixed number of iterations from evenly spaced quantiles."""
-    hist, mean, std = _histogram(df, column)
+    """Deterministic variant: a fixed number of iterations from evenly spaced quantiles.
+
+    Raises if ties leave fewer than k different starting points.
+    """
+    hist = histogram(df, column)
     starts = quantile_values(df, column, [(i + 0.5) / k for i in range(k)])
-    centres = sorted({(s - mean) / std for s in starts})
+    centres = sorted({(s - hist.mean) / hist.std for s in starts})
+    if len(centres) < k:
+        raise ValueError(f"the quantiles of {column} give {len(centres)} starting points, too few for {k} groups")
     for _ in range(iterations):
-        centres = _step(hist, {0: centres})[0][0]
-    return PeerModel(column, mean, std, centres, _step(hist, {0: centres})[0][1])
+        centres = _step(hist.counts, {0: centres})[0][0]
+    return PeerModel(column, hist.mean, hist.std, centres, _step(hist.counts, {0: centres})[0][1])
 
 
 def quantile_bands(df: DataFrame, column: str = "total", probs=(0.25, 0.5, 0.75), out: str = "peer_group") -> DataFrame:

@@ -1,97 +1,161 @@
 """Exact interpolated quantiles of large groups.
 
-Spark's exact percentile keeps every distinct value of a group in one task, so
-it suits bounded domains only.  Here a sketch first brackets each quantile, with
-its guaranteed rank error; then one aggregation counts rows exactly: values
-inside a bracket by value, everything between brackets as a single number.  The
-order statistics are read off the running count of that short table.  Rows are
-combined before every shuffle, so a group holding most rows is no bottleneck,
-and what reaches one task is about 6 / accuracy of a group's distinct values.
-Groups of up to `accuracy` rows are counted by value throughout.
+Rows are counted in cells of the value range, with the least and greatest value
+of each cell; the cells that hold a wanted rank are looked into again until
+each holds a single value.  Every pass is one aggregation that combines rows
+before the shuffle, whatever the size of a group, and no group is sorted or
+gathered.  The first pass uses cells of equal ratio, later ones equal width
+between the values really there, so two or three passes are usual.
+
+What reaches the driver is a bounded number of counts per group and column;
+groups are few by nature here (peer groups, event types).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from peerwatch.sources.staging import attach
+#: Cells per doubling of the value in the first pass; cells of an opened one afterwards.
+PER_OCTAVE = 256
+CELLS = 4096
 
-ACCURACY = 50_000
+_RATIO = f"""CASE WHEN v = 0 THEN 0 ELSE CAST(signum(v) AS BIGINT)
+    * (1000000 + floor(least(log2(abs(v)), 2000D) * {PER_OCTAVE})) END AS cell"""
+# Halves, so that the width of a range of very large numbers is finite.
+_WIDTH = f"least(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {CELLS}), {CELLS - 1}) AS cell"
 
 
-def _grid(probs: Sequence[float], accuracy: int) -> list[float]:
-    margin = 3.0 / accuracy
-    return [edge for p in probs for edge in (max(0.0, p - margin), min(1.0, p + margin))]
+def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows (g0, g1, ..., variable, v) of the numbers that count: no NULL, no NaN."""
+    pairs = ", ".join(f"struct({i} AS variable, CAST(`{name}` AS double) AS v)" for i, name in enumerate(values))
+    keys = [f"`{name}` AS g{i}" for i, name in enumerate(by)]
+    return df.selectExpr(*keys, f"inline(array({pairs}))").where("v IS NOT NULL AND NOT isnan(v)")
 
 
-def group_quantiles(
-    df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
-) -> DataFrame:
+def _counted(rows: DataFrame, keys: Sequence[str], cell: str) -> dict[tuple, list]:
+    """Per key the cells in order of value: (rows, least, greatest)."""
+    found = rows.selectExpr(*keys, "v", cell).groupBy(*keys, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    cells = defaultdict(list)
+    for row in found.collect():
+        cells[tuple(row[k] for k in keys)].append((row["lo"], row["hi"], row["n"]))
+    return {key: sorted(held) for key, held in cells.items()}
+
+
+def _place(cells: list, ranks: Iterable[int], below: int) -> tuple[dict[int, float], dict[tuple, list[int]]]:
+    """Values of the ranks in single-valued cells; the other cells that hold one, with the rows below them."""
+    known: dict[int, float] = {}
+    opened = defaultdict(list)
+    waiting = sorted(ranks)
+    upto = below
+    for lo, hi, n in cells:
+        while waiting and waiting[0] < upto + n:
+            rank = waiting.pop(0)
+            if lo == hi:
+                known[rank] = lo
+            else:
+                opened[lo, hi, upto].append(rank)
+        upto += n
+    return known, opened
+
+
+def order_statistics(
+    df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Callable[[int], Iterable[int]]
+) -> dict[tuple, tuple[int, dict[int, float]]]:
+    """(group values..., column) -> rows that count, and the values at the 0-based ranks wanted of so many rows."""
+    long = _long(df, values, by)
+    keys = [f"g{i}" for i in range(len(by))] + ["variable"]
+    out: dict[tuple, tuple[int, dict[int, float]]] = {}
+    todo: list[tuple] = []  # (key, lo, hi, rows below, ranks)
+    for key, cells in _counted(long, keys, _RATIO).items():
+        n = sum(c[2] for c in cells)
+        known, opened = _place(cells, ranks(n), 0)
+        out[key] = n, known
+        todo += [(key, *cell, wanted) for cell, wanted in opened.items()]
+    kinds = [T.StructField("cell_id", T.IntegerType())] + [
+        T.StructField(f"k{i}", long.schema[name].dataType) for i, name in enumerate(keys)
+    ] + [T.StructField(name, T.DoubleType()) for name in ("lo", "hi")]
+    while todo:
+        spans = df.sparkSession.createDataFrame(
+            [(i, *key, lo, hi) for i, (key, lo, hi, *_) in enumerate(todo)], T.StructType(kinds)
+        )
+        same = F.col("v").between(F.col("lo"), F.col("hi"))
+        for i, name in enumerate(keys):
+            same = same & long[name].eqNullSafe(spans[f"k{i}"])
+        # At most two spans per group, column and probability.
+        inside = long.join(F.broadcast(spans), same)
+        opened_now = []
+        for (i,), cells in _counted(inside, ["cell_id"], _WIDTH).items():
+            key, _, _, below, wanted = todo[i]
+            known, opened = _place(cells, wanted, below)
+            out[key][1].update(known)
+            opened_now += [(key, *cell, still) for cell, still in opened.items()]
+        todo = opened_now
+    return {(*key[:-1], values[key[-1]]): found for key, found in out.items()}
+
+
+def _quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict[tuple, tuple[int, list[float]]]:
+    def around(n: int) -> set[int]:
+        return {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+
+    out = {}
+    for key, (n, at) in order_statistics(df, values, by, around).items():
+        q = []
+        for p in probs:
+            place = (n - 1) * p
+            lo, hi = at[math.floor(place)], at[math.ceil(place)]
+            q.append(lo if lo == hi else lo + (hi - lo) * (place - math.floor(place)))
+        out[key] = n, q
+    return out
+
+
+def _keys_schema(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(name, df.schema[name].dataType) for name in by]
+
+
+def group_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., variable, n, q): the linear-interpolation quantiles of each column.
 
-    `q` is an array in the order of `probs`; NULL values do not count.
+    `q` is an array in the order of `probs`; NULL and NaN do not count.
     """
     probs = [float(p) for p in probs]
-    keys = [*(f"`{name}`" for name in by), "variable"]
-    pairs = ", ".join(f"struct('{name}' AS variable, CAST(`{name}` AS double) AS v)" for name in values)
-    long = df.selectExpr(*keys[:-1], f"inline(array({pairs}))").where("v IS NOT NULL")
-
-    grid = ", ".join(f"{edge!r}D" for edge in _grid(probs, accuracy))
-    sketch = long.groupBy(*by, "variable").agg(
-        F.expr("count(1) AS n"), F.expr(f"percentile_approx(v, array({grid}), {accuracy}) AS edges")
-    )
-    # Without groups the sketch has one row per column, whatever the data.
-    names = [*by, "variable"]
-    edged = attach(long, sketch, names, how="inner") if by else long.join(F.broadcast(sketch), names)
-
-    brackets = range(len(probs))
-    inside = " OR ".join([f"n <= {accuracy}", *(f"v BETWEEN edges[{2 * i}] AND edges[{2 * i + 1}]" for i in brackets)])
-    # A row outside every bracket only counts towards the next bracket above it.
-    above = ", ".join(f"if(edges[{2 * i}] > v, edges[{2 * i}], NULL)" for i in brackets)
-    counted = (
-        edged.selectExpr(*keys, "n", f"({inside}) AS exact", f"if({inside}, v, array_min(array({above}))) AS v")
-        .where("v IS NOT NULL")
-        .groupBy(*names, "n", "v", "exact")
-        .agg(F.expr("count(1) AS rows_n"))
-    )
-    within = Window.partitionBy(*names).orderBy("v", "exact").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("upto", F.sum("rows_n").over(within))
-
-    place = [f"((n - 1) * {p!r}D)" for p in probs]
-    picked = running.groupBy(*names, "n").agg(*[
-        F.expr(f"min(if(upto > {rank}({at}), struct(v, exact), NULL)) AS {side}{i}")
-        for i, at in enumerate(place)
-        for side, rank in (("lo", "floor"), ("hi", "ceil"))
+    rows = [(*key, n, q) for key, (n, q) in _quantiles(df, values, probs, by).items()]
+    schema = T.StructType(_keys_schema(df, by) + [
+        T.StructField("variable", T.StringType()), T.StructField("n", T.LongType()),
+        T.StructField("q", T.ArrayType(T.DoubleType())),
     ])
-    sound = " AND ".join(f"lo{i}.exact AND hi{i}.exact" for i in brackets)
-    results = ", ".join(f"lo{i}.v + (hi{i}.v - lo{i}.v) * ({at} - floor({at}))" for i, at in enumerate(place))
-    return picked.selectExpr(
-        *keys,
-        "n",
-        f"if(coalesce({sound}, false), array({results}), "
-        "CAST(raise_error('a quantile fell outside its bracket') AS array<double>)) AS q",
-    )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
-def quantile_columns(
-    df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = (), accuracy: int = ACCURACY
-) -> DataFrame:
+def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with named quantiles: {"rate_median": ("rate", 0.5), ...}."""
     values = sorted({name for name, _ in wanted.values()})
     probs = sorted({p for _, p in wanted.values()})
-    long = group_quantiles(df, values, probs, by, accuracy)
-    picked = {
-        out: F.max(F.when(F.col("variable") == name, F.col("q")[probs.index(p)]))
-        for out, (name, p) in wanted.items()
-    }
-    return long.groupBy(*by).agg(*[expr.alias(out) for out, expr in picked.items()])
+    groups: dict[tuple, dict] = defaultdict(dict)
+    for key, (_, q) in _quantiles(df, values, probs, by).items():
+        groups[key[:-1]][key[-1]] = q
+    rows = [
+        (*key, *[found[name][probs.index(p)] if name in found else None for name, p in wanted.values()])
+        for key, found in groups.items()
+    ]
+    schema = T.StructType(_keys_schema(df, by) + [T.StructField(out, T.DoubleType()) for out in wanted])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
+    """Quantiles of one whole column as plain numbers (NaN for an empty column)."""
+    found = _quantiles(df, [column], [float(p) for p in probs], ())
+    return found[(column,)][1] if found else [math.nan] * len(probs)
 
 
-def quantile_values(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = ACCURACY) -> list[float]:
-    """Quantiles of one whole column as plain numbers (NaN for an empty column)."""
-    row = group_quantiles(df, [column], probs, accuracy=accuracy).first()
-    return list(row["q"]) if row else [math.nan] * len(probs)
+def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
+    """The n-th smallest value of a column, counted from 1; the greatest where there are fewer."""
+    found = order_statistics(df, [column], (), lambda rows: {min(n, rows) - 1})
+    return next(iter(found[(column,)][1].values())) if found else None

@@ -28,7 +28,7 @@ from peerwatch.operators import (
 )
 from peerwatch.sources import datasets as D
 from peerwatch.sources import tables
-from peerwatch.sources.staging import shared_root, stage
+from peerwatch.sources.staging import folder, stage, stage_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +50,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # Frames the queries share -------------------------------------------------
 
 
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept months with features, written once per folder of tables."""
+    return stage_once(spark, ("features", sf_dir), lambda: facts.features(D.shipping_kept(spark, sf_dir)), "features")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept months with features, written once, and peer groups cut at the volume quartiles."""
-    return peers.quantile_bands(stage(facts.features(D.shipping_kept(spark, sf_dir)), "features"))
+    """Kept months with features, and peer groups cut at the volume quartiles."""
+    return peers.quantile_bands(featured(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +74,13 @@ def forest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(isolation.score(rows, isolation.fit(rows)), "scored")
 
 
+def study_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest score and the z of the contamination study, where a constant group scores 0."""
+    rows = base(spark, sf_dir).select("entity_id", "month", "peer_group", "log_total", "rate")
+    scores = stage(isolation.score(rows, isolation.fit(rows)), "scored")
+    return outliers.zscore(scores, "rate", zero_std="null_to_zero")
+
+
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.compare_scores(base(spark, sf_dir))
 
@@ -96,7 +108,7 @@ def monthly_fact(spark, sf_dir):
 @query
 def stage_roundtrip(spark, sf_dir):
     """The monthly fact through a Parquet stage and a CSV table with declared types."""
-    root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/roundtrip-{uuid.uuid4().hex}"
+    root = f"{folder(spark)}/roundtrip-{uuid.uuid4().hex}"
     tables.write_stage(D.shipping_months(spark, sf_dir), f"{root}/parquet")
     first = tables.read_stage(spark, f"{root}/parquet", schemas.MONTHLY_FACT)
     tables.write_stage(first, f"{root}/csv", "csv")
@@ -227,7 +239,7 @@ def features(spark, sf_dir):
 
 @query
 def standardise(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(
         facts.standardise(rows, ["log_total", "rate"]).select("entity_id", "month", "log_total_std", "rate_std")
     )
@@ -267,13 +279,13 @@ def _group_ranges(df: DataFrame) -> DataFrame:
 
 @query
 def peer_kmeans(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return _group_ranges(peers.fit_peers(rows).assign(rows))
 
 
 @query
 def peer_lloyd(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return _group_ranges(peers.fit_lloyd(rows, "log_total", iterations=5).assign(rows))
 
 
@@ -286,7 +298,7 @@ def relabel_groups(spark, sf_dir):
 
 @query
 def k_sweep(spark, sf_dir):
-    return peer_metrics.k_sweep(stage(facts.features(D.shipping_kept(spark, sf_dir)), "features"))
+    return peer_metrics.k_sweep(featured(spark, sf_dir))
 
 
 @query
@@ -296,9 +308,7 @@ def cluster_inertia(spark, sf_dir):
 
 @query
 def silhouette(spark, sf_dir):
-    rows = on_log_scale(spark, sf_dir)
-    sample = peer_metrics.sample_for_silhouette(rows, ["log_total_std", "peer_group"])
-    return rounded(peer_metrics.silhouette(sample, "log_total_std", 4))
+    return rounded(peer_metrics.silhouette(on_log_scale(spark, sf_dir), "log_total_std", 4))
 
 
 @query
@@ -410,13 +420,13 @@ def event_limits(spark, sf_dir):
 
 @query
 def iforest_fit(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(isolation.fit(rows).nodes)
 
 
 @query
 def iforest_score(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features").select(
+    rows = featured(spark, sf_dir).select(
         "entity_id", "month", "log_total", "rate"
     )
     return rounded(isolation.score(rows, isolation.fit(rows)).select("entity_id", "month", "score"))
@@ -491,6 +501,18 @@ def peer_stats_report(spark, sf_dir):
     return rounded(triage.peer_stats_report(outliers.peer_stats(base(spark, sf_dir))))
 
 
+@query
+def peer_stats_published(spark, sf_dir):
+    """The same under its published headings."""
+    return facts.present(peer_stats_report(spark, sf_dir), labels.HEADINGS["peer_stats"])
+
+
+@query
+def top_alerts_full(spark, sf_dir):
+    """The top cases with all columns, under their published headings."""
+    return facts.present(triage.top_alerts(classified(spark, sf_dir)), labels.HEADINGS["top_alerts_full"])
+
+
 @query
 def alerts_by_cluster(spark, sf_dir):
     return triage.alerts_by_cluster(classified(spark, sf_dir))
@@ -505,7 +527,7 @@ def alerts_by_cluster_report(spark, sf_dir):
 
 @query
 def describe_columns(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(triage.describe(rows, ["total", "log_total", "rate"]))
 
 
@@ -524,12 +546,12 @@ def percentile_vs_z_global(spark, sf_dir):
 
 @query
 def contamination_sweep(spark, sf_dir):
-    return sensitivity.contamination_sweep(forest_scored(spark, sf_dir))
+    return sensitivity.contamination_sweep(study_scored(spark, sf_dir))
 
 
 @query
 def contamination_overlap(spark, sf_dir):
-    return sensitivity.contamination_overlap(forest_scored(spark, sf_dir))
+    return sensitivity.contamination_overlap(study_scored(spark, sf_dir))
 
 
 @query
@@ -605,7 +627,7 @@ def least_stable(spark, sf_dir):
 
 @query
 def histogram(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(chartdata.histogram(rows, "log_total"))
 
 
@@ -621,19 +643,19 @@ def box_stats(spark, sf_dir):
 
 @query
 def trim_p99(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(chartdata.trim_upper(rows, "rate").select("entity_id", "month", "rate"))
 
 
 @query
 def clip_p995(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(chartdata.clip_upper(rows, "rate").select("entity_id", "month", "rate", "clipped"))
 
 
 @query
 def sample_rows(spark, sf_dir):
-    rows = stage(facts.features(D.shipping_kept(spark, sf_dir)), "features")
+    rows = featured(spark, sf_dir)
     return rounded(chartdata.sample_rows(rows.select("entity_id", "month", "log_total", "rate")))
 
 

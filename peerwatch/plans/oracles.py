@@ -6,6 +6,8 @@ it names, with their dependencies.  Nothing here is used by the operators.
 
 from __future__ import annotations
 
+from peerwatch.labels import HEADINGS
+
 P31, P32 = 2147483647, 4294967291
 A, B, C = 433494437, 715827883, 1431655777
 
@@ -55,8 +57,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "bad_months": (_monthly("bad_tx"), ("bad_tx",)),
     "bad_reasons": (
-        f"""SELECT *, CASE WHEN month IS NULL THEN 'Datas inválidas' WHEN month < {START} THEN 'Antes de 2016'
-        WHEN month > {END} THEN 'Após julho de 2025' END AS reason FROM bad_months""",
+        f"""SELECT *, CASE WHEN month IS NULL THEN 'Datas inválidas' WHEN month < {START} THEN 'Antes de 1996'
+        WHEN month > {END} THEN 'Após junho de 2001' END AS reason FROM bad_months""",
         ("bad_months",),
     ),
     "otx": (
@@ -179,26 +181,30 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     # Isolation forest: sample, growth level by level, scoring of distinct points.
     "size": (
-        f"""SELECT n, psi, greatest(1, least(n, {TREES} * psi) // psi) AS blocks, m0, s0, m1, s1 FROM (SELECT count(*) AS n,
-        least(count(*), {PSI}) AS psi, avg(log_total) AS m0, stddev_pop(log_total) AS s0, avg(rate) AS m1,
-        stddev_pop(rate) AS s1 FROM feat)""",
+        f"""SELECT n, least(n, {PSI}) AS psi, m0, s0, m1, s1 FROM (SELECT count(*) AS n, avg(log_total) AS m0,
+        stddev_pop(log_total) AS s0, avg(rate) AS m1, stddev_pop(rate) AS s1 FROM feat)""",
         ("feat",),
     ),
-    "pool": (
-        f"""SELECT entity_id, month, log_total, rate FROM feat
-        ORDER BY {_hash('entity_id', _IDX, SEED)}, entity_id, month LIMIT {TREES * PSI}""",
+    "placed": (
+        f"""SELECT log_total, rate, row_number() OVER (ORDER BY {_hash('entity_id', _IDX, SEED)}, entity_id, month) - 1 AS place
+        FROM feat""",
         ("feat",),
     ),
-    "dealt": (
-        f"""SELECT pool.*, round, row_number() OVER (PARTITION BY round
-        ORDER BY {_hash('entity_id', _IDX, 'round', SEED + 1)}, entity_id, month) - 1 AS place
-        FROM pool, (SELECT unnest(range(CAST(ceil({TREES} / blocks) AS BIGINT))) AS round FROM size)""",
-        ("pool", "size"),
+    # Floyd's sampling: the i-th draw among the first n - psi + i + 1 places; a place drawn before gives the last one.
+    "draws": (
+        f"""SELECT tree, i, n - psi + i AS j, {_hash('tree', 'i', SEED, 3)} % (n - psi + i + 1) AS r
+        FROM size, range({TREES}) t(tree), range({PSI}) u(i) WHERE i < psi""",
+        ("size",),
+    ),
+    "drawn_places": (
+        """SELECT tree, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list([j, r] ORDER BY i)), lambda s, x:
+        list_append(s, CASE WHEN list_contains(s, x[2]) THEN x[1] ELSE x[2] END))) AS place FROM draws GROUP BY tree""",
+        ("draws",),
     ),
     "grow0": (
-        f"""SELECT round * blocks + place // psi AS tree, 1 AS node, (log_total - m0) / s0 AS x0, (rate - m1) / s1 AS x1
-        FROM dealt, size WHERE place < blocks * psi AND round * blocks + place // psi < {TREES}""",
-        ("dealt", "size"),
+        """SELECT tree, 1 AS node, (log_total - m0) / s0 AS x0, (rate - m1) / s1 AS x1
+        FROM drawn_places JOIN placed USING (place), size""",
+        ("drawn_places", "placed", "size"),
     ),
 }
 
@@ -300,11 +306,16 @@ CTES["ranked"] = (
     FROM justified WHERE status <> 'NORMAL'""",
     ("justified",),
 )
+CTES["study"] = (
+    """SELECT b.*, score, coalesce((rate - m) / nullif(s, 0), 0) AS z FROM base b JOIN point_scores USING (log_total, rate)
+    JOIN (SELECT peer_group, avg(rate) AS m, stddev_samp(rate) AS s FROM base GROUP BY 1) USING (peer_group)""",
+    ("base", "point_scores"),
+)
 CTES["sweep"] = (
-    """SELECT z > 2 AS by_z, z > 3 AS by_z3, score < o1 AS f1, score < o3 AS f3, score < o5 AS f5 FROM forest_scored,
+    """SELECT z > 2 AS by_z, z > 3 AS by_z3, score < o1 AS f1, score < o3 AS f3, score < o5 AS f5 FROM study,
     (SELECT quantile_cont(score, 0.01) AS o1, quantile_cont(score, 0.03) AS o3, quantile_cont(score, 0.05) AS o5
-    FROM forest_scored)""",
-    ("forest_scored",),
+    FROM study)""",
+    ("study",),
 )
 CTES["bands"] = (
     """SELECT CASE WHEN persistence >= 99 THEN 1 WHEN persistence >= 95 THEN 2 WHEN persistence >= 80 THEN 3 ELSE 4 END AS b
@@ -414,6 +425,10 @@ def _band(x: str) -> str:
     return f"CAST(len(list_filter(list_zip(cs[:-2], cs[2:]), lambda p: {x} > (p[1] + p[2]) / 2)) AS INTEGER)"
 
 
+def _titled(report: str) -> str:
+    return ", ".join(f'{column} AS "{title}"' for column, title in HEADINGS[report].items())
+
+
 def oracle_sql() -> dict[str, str]:
     months = ", ".join(_MONTH_COLUMNS)
     out = {
@@ -427,7 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "removed_rows": _sql(f"SELECT {months}, reason FROM bad_reasons WHERE reason IS NOT NULL", "bad_reasons"),
         "removal_reasons": _sql(
             """SELECT CAST(i AS INTEGER) AS position, name AS reason, (SELECT count(*) FROM bad_reasons b WHERE b.reason = name)
-            AS rows_n FROM (VALUES (1, 'Datas inválidas'), (2, 'Antes de 2016'), (3, 'Após julho de 2025')) v(i, name)""",
+            AS rows_n FROM (VALUES (1, 'Datas inválidas'), (2, 'Antes de 1996'), (3, 'Após junho de 2001')) v(i, name)""",
             "bad_reasons",
         ),
         "before_after_by_year": _sql(
@@ -557,8 +572,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(sum(n) AS BIGINT) AS n, round_even(sum(ss), 6) AS inertia FROM spread", "spread"
         ),
         "silhouette": _sql(
-            f""", drawn AS MATERIALIZED (SELECT * FROM log_scale ORDER BY {_hash('entity_id', _IDX, SEED)}, entity_id, month LIMIT 5000),
-            spots AS MATERIALIZED (SELECT peer_group, x, count(*) AS w FROM drawn GROUP BY 1, 2),
+            """, spots AS MATERIALIZED (SELECT peer_group, x, count(*) AS w FROM log_scale GROUP BY 1, 2),
             pairs AS MATERIALIZED (SELECT p.peer_group AS g, p.x AS x, any_value(p.w) AS w, q.peer_group AS o,
             sum(q.w * abs(p.x - q.x)) AS d, sum(q.w) AS n FROM spots p, spots q GROUP BY 1, 2, 4),
             ab AS MATERIALIZED (SELECT g, x, any_value(w) AS w, max(CASE WHEN o = g THEN d / nullif(n - 1, 0) END) AS a,
@@ -918,11 +932,8 @@ def oracle_sql() -> dict[str, str]:
         calinski AS MATERIALIZED (SELECT k, sum(ss) AS inertia, min(n) AS smallest, max(n) AS largest,
         sum(n * (c - t) * (c - t)) * (sum(n) - count(*)) / (sum(ss) * (count(*) - 1)) AS calinski_harabasz FROM spreads
         JOIN (SELECT k, sum(n * c) / sum(n) AS t FROM spreads GROUP BY 1) USING (k) GROUP BY 1),
-        drawn AS MATERIALIZED (SELECT (log_total - m) / s AS x, count(*) AS w FROM (SELECT * FROM feat
-        ORDER BY {_hash('entity_id', _IDX, SEED)}, entity_id, month LIMIT 5000), {scale} GROUP BY 1),
-        placed AS MATERIALIZED (SELECT k, {_band('x')} AS g, x, w FROM drawn, best),
         pairs AS MATERIALIZED (SELECT p.k AS k, p.g AS g, p.x AS x, any_value(p.w) AS w, q.g AS o, sum(q.w * abs(p.x - q.x)) AS d,
-        sum(q.w) AS n FROM placed p JOIN placed q ON p.k = q.k GROUP BY 1, 2, 3, 5),
+        sum(q.w) AS n FROM spots p JOIN spots q ON p.k = q.k GROUP BY 1, 2, 3, 5),
         ab AS MATERIALIZED (SELECT k, g, x, any_value(w) AS w, max(CASE WHEN o = g THEN d / nullif(n - 1, 0) END) AS a,
         min(CASE WHEN o <> g THEN d / n END) AS b FROM pairs GROUP BY 1, 2, 3),
         sil AS MATERIALIZED (SELECT k, sum(w * coalesce((b - a) / nullif(greatest(a, b), 0), 0)) / sum(w) AS silhouette
@@ -931,6 +942,8 @@ def oracle_sql() -> dict[str, str]:
         round_even(davies_bouldin, 4) AS davies_bouldin, round_even(calinski_harabasz, 2) AS calinski_harabasz,
         CAST(smallest AS BIGINT) AS smallest, CAST(largest AS BIGINT) AS largest
         FROM calinski JOIN davies USING (k) JOIN sil USING (k)"""
+    out["peer_stats_published"] = f"SELECT {_titled('peer_stats')} FROM ({out['peer_stats_report']})"
+    out["top_alerts_full"] = f"SELECT {_titled('top_alerts_full')} FROM ({out['top_alerts']})"
     out["event_robust_zscore"] = """WITH m AS MATERIALIZED (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events
         GROUP BY 1), d AS MATERIALIZED (SELECT event_type, any_value(med) AS med, quantile_cont(abs(value - med), 0.5) AS mad
         FROM events JOIN m USING (event_type) GROUP BY 1)

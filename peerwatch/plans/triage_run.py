@@ -30,6 +30,7 @@ from peerwatch.operators import (
     triage,
 )
 from peerwatch.sources import tables
+from peerwatch.sources.staging import run_folder
 
 PER_ENTITY = {"before_after_by_entity", "excluded_entities", "excluded_entity_years", "entity_stability"}
 
@@ -60,7 +61,7 @@ class Run:
 def extract(run: Run, transactions: DataFrame, start: date, end: date) -> DataFrame:
     """Monthly fact, its audit, and the kept rows."""
     tables.require_columns(transactions, schemas.TRANSACTIONS.fieldNames())
-    raw = run.stage("monthly_all", facts.monthly_fact(transactions))
+    raw = run.stage("monthly_all", facts.monthly_fact(facts.coerce_date(transactions, "event_ts")))
     run.stage("removed", audit.removed_rows(raw, start, end))
     run.report("removal_reasons", audit.removal_reasons(raw, start, end))
     run.report("before_after_by_year", audit.before_after_by_year(raw, start, end))
@@ -87,10 +88,12 @@ def group(run: Run, clean: DataFrame, k: int = labels.PEER_COUNT) -> DataFrame:
     audit.validate(
         featured, [*schemas.KEY, "total", "cancelled_n"], ["total", "cancelled_n", "rate", "log_total"], schemas.KEY
     )
-    run.report("k_sweep", peer_metrics.k_sweep(featured))
-    assigned = peers.fit_peers(featured, "log_total", k).assign(featured, "raw_group")
+    tried, models = peer_metrics.sweep(featured, ks=sorted({*labels.PEER_COUNTS_TRIED, k}))
+    run.report("k_sweep", tried)
+    assigned = models[k].assign(featured, "raw_group")
     grouped = run.stage("features", peers.relabel_by_mean(assigned, "raw_group").drop("raw_group"))
     run.report("cluster_profile", peer_metrics.characterise(grouped))
+    run.report("cluster_rules", peer_metrics.cluster_rules(grouped))
     run.report("cluster_by_year", peer_metrics.cluster_by_year(grouped))
     run.report("cluster_sizes", peer_metrics.cluster_sizes(grouped))
     run.report("feature_statistics", triage.describe(grouped, ["total", "log_total", "rate"]))
@@ -121,7 +124,13 @@ def score(run: Run, grouped: DataFrame, contamination: float = labels.CONTAMINAT
     run.stage("alerts", triage.rank_alerts(classified))
     run.report("status_distribution", triage.status_distribution(classified))
     run.report("reason_distribution", triage.reason_distribution(classified))
-    run.report("top_alerts", triage.top_alerts(classified))
+    top = triage.top_alerts(classified)
+    run.report("top_alerts", top)
+    run.report("top_alerts_full", top)
+    wide = outliers.global_zscore(classified)
+    run.report("selectivity", triage.selectivity(
+        wide, F.col("z_global") > labels.Z_MODERATE, F.col("status") != labels.STATUS_NORMAL
+    ))
     run.report("alerts_by_cluster", triage.alerts_by_cluster(classified))
     run.report("score_statistics", triage.describe(classified, ["total", "cancelled_n", "rate", "z", "if_decision", "priority"]))
     run.report("status_counts", chartdata.status_counts(classified))
@@ -137,8 +146,11 @@ def study(run: Run, classified: DataFrame) -> None:
     by_group = sensitivity.percentile_vs_z(classified)
     run.report("percentile_vs_z", by_group)
     run.report("percentile_vs_z_global", sensitivity.percentile_vs_z_global(by_group))
-    run.report("contamination_sweep", sensitivity.contamination_sweep(classified))
-    run.report("contamination_overlap", sensitivity.contamination_overlap(classified))
+    # This study scores a constant group 0.
+    scores = classified.select("entity_id", "month", "peer_group", "rate", "score")
+    rescored = outliers.zscore(scores, "rate", zero_std="null_to_zero")
+    run.report("contamination_sweep", sensitivity.contamination_sweep(rescored))
+    run.report("contamination_overlap", sensitivity.contamination_overlap(rescored))
     plain = classified.select("entity_id", "month", "peer_group", "total")
     compared = run.stage("compared", outliers.compare_scores(plain))
     run.report("method_comparison", sensitivity.method_comparison(compared))
@@ -163,7 +175,8 @@ def execute(
 ) -> list[str]:
     """Run every step; returns the names of the reports written."""
     run = Run(spark, out)
-    study(run, score(run, group(run, extract(run, transactions, start, end))))
+    with run_folder(spark):
+        study(run, score(run, group(run, extract(run, transactions, start, end))))
     return run.written
 
 

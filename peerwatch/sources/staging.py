@@ -1,29 +1,25 @@
-"""Cutting lineage between steps.
-
-Two ways, by size: tables that grow with the data are written to the shared
-folder and read back; results with a checked row bound come to the driver and
-return as local relations, which Catalyst can broadcast on their true size.
-"""
+"""Cutting lineage between steps: tables are written to the shared folder and read back."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BOUNDED_ROWS = 10_000
 
 _local_roots: dict[str, str] = {}
+_runs: dict[str, list[str]] = {}
+_kept: dict[str, dict[tuple, DataFrame]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder from spark.checkpoint.dir; a temporary one only in local mode with none set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = chosen.get() if chosen.isDefined() else None
+    """Folder the program set as checkpoint folder, else spark.checkpoint.dir; a temporary one only in local mode with neither."""
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    configured = chosen.get() if chosen.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -31,9 +27,17 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="peerwatch-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
+def folder(spark: SparkSession) -> str:
+    """Where tables are staged now: the innermost run's folder, else the application's."""
+    app = spark.sparkContext.applicationId
+    owned = _runs.get(app)
+    return owned[-1] if owned else f"{shared_root(spark)}/{app}"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table once as Parquet in the shared folder and go on from the files.
 
@@ -41,36 +45,48 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     twice, and a lost executor costs no recomputation of earlier steps.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame, bound: int = BOUNDED_ROWS) -> tuple[DataFrame, bool]:
-    """Hold a small result as a local relation; staged instead when it exceeds the bound.
+def stage_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table staged under this key in the current folder, made the first time it is asked for."""
+    held = _kept.setdefault(folder(spark), {})
+    if key not in held:
+        held[key] = stage(make(), name)
+    return held[key]
 
-    Returns the frame and whether it is small enough to broadcast.
-    """
-    table = df.limit(bound + 1).toArrow()
-    if table.num_rows <= bound:
-        return df.sparkSession.createDataFrame(table, schema=df.schema), True
-    return stage(df, "wide"), False
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside belong to this run and go when it ends; results must be read or written before."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_root(spark)}/{app}/run-{uuid.uuid4().hex}"
+    _runs.setdefault(app, []).append(path)
+    try:
+        yield path
+    finally:
+        _runs[app].remove(path)
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _kept.pop(path, None)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left", bound: int = BOUNDED_ROWS) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Many-to-one join of statistics to rows.
 
     Statistics come from a group-by on the join keys, so no row is duplicated.
-    A checked, small side is broadcast and the fact is not shuffled; a larger
-    side joins by shuffle, where adaptive execution splits hot keys.
+    No hint: adaptive execution broadcasts the side on its measured bytes, or
+    joins by shuffle and splits hot keys.
     """
-    held, small = pin(stats, bound)
-    return df.join(F.broadcast(held) if small else held, on=on, how=how)
+    return df.join(stats, on=on, how=how)
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Remove what this application staged, once nothing reads it any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,8 @@ def read_stage(
             df = spark.read.format(fmt).load(path)
         else:
             df = spark.read.option("header", True).csv(path)
-    except Exception as error:
-        if optional and "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if optional and error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     require_columns(df, schema.fieldNames())

@@ -81,12 +81,43 @@ def test_outlier_has_the_lowest_score_and_share_respects_contamination(fitted):
 
 def test_each_tree_draws_distinct_rows(spark):
     df = frame(spark, 300)
-    rows, psi = isolation.training_rows(df, ("log_total", "rate"), 20, 64, 300, 42)
+    rows, psi = isolation.training_rows(df, ("log_total", "rate"), 20, 64, 42)
     drawn = rows.toPandas()
     assert psi == 64 and (drawn.groupby("tree").size() == 64).all() and drawn["tree"].nunique() == 20
     assert not drawn.duplicated(["tree", "log_total", "rate"]).any()
 
 
+@pytest.mark.parametrize("n", [10, 100, 5000])
+def test_trees_draw_from_all_rows_by_one_scheme(spark, n):
+    """More rows than trees x psi, and fewer: the places in hash order are those drawn by hand."""
+    from peerwatch.functions.columns import fold32_int
+
+    df = frame(spark, n, outlier=False)
+    rows, psi = isolation.training_rows(df, ("log_total", "rate"), 6, 16, 42)
+    assert psi == min(16, n)
+    ranked = df.toPandas()
+    ranked["h"] = [fold32_int(e, 2020 * 12 + 1, 42) for e in ranked["entity_id"]]
+    ranked = ranked.sort_values(["h", "entity_id"]).reset_index(drop=True)
+    drawn = rows.toPandas()
+    for tree in range(6):
+        want = ranked.loc[isolation.draw_places(tree, psi, n, 42), "log_total"].sort_values().tolist()
+        assert drawn.loc[drawn["tree"] == tree, "log_total"].sort_values().tolist() == want
+
+
+def test_places_are_even_over_all_rows():
+    places = np.array([isolation.draw_places(tree, 50, 1000, 7) for tree in range(400)])
+    assert (places >= 0).all() and (places < 1000).all() and all(len(set(p)) == 50 for p in places.tolist())
+    counts = np.bincount(places.ravel() // 100, minlength=10)
+    assert abs(counts - 2000).max() < 200
+
+
+def test_rows_without_a_key_are_not_drawn(spark):
+    df = frame(spark, 30, outlier=False)
+    df = df.unionByName(df.limit(5).withColumns({"month": F.lit(None).cast("date"), "rate": F.lit(9.0)}))
+    rows, psi = isolation.training_rows(df, ("log_total", "rate"), 3, 64, 42)
+    assert psi == 30 and rows.where("rate = 9").count() == 0
+
+
 def test_fewer_rows_than_a_sample(spark):
     df = frame(spark, 40, outlier=False)
     forest = isolation.fit(df, trees=5)

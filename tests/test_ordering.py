@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from peerwatch.functions import columns
 from peerwatch.operators import ordering
 
 
@@ -27,16 +28,24 @@ def keyed(spark, n):
     return spark.range(n).select((F.col("id") % 50).alias("entity_id"), F.col("id").alias("month"))
 
 
-def drawn(df, n, total):
+def drawn(df, n):
     keys = [F.col("entity_id"), F.col("month")]
-    return {r["month"] for r in ordering.hashed_sample(df, n, total, keys, ["entity_id", "month"]).collect()}
+    return {r["month"] for r in ordering.hashed_sample(df, n, keys, ["entity_id", "month"]).collect()}
 
 
-def test_sample_ignores_partitioning_and_threshold(spark):
-    df = keyed(spark, 6000)
-    whole = drawn(df, 20, 20)  # no threshold
-    assert len(whole) == 20
-    assert drawn(df.repartition(9), 20, 6000) == whole  # threshold in force: 4 n + 1000 < 6000
+def test_sample_is_the_smallest_hashes_at_every_size(spark):
+    for size in (30, 1000, 6000):
+        df = keyed(spark, size)
+        smallest = df.withColumn("h", columns.fold32(F.col("entity_id"), F.col("month"), F.lit(42))).orderBy("h", "entity_id", "month")
+        whole = {r["month"] for r in smallest.limit(20).collect()}
+        assert drawn(df, 20) == drawn(df.repartition(9), 20) == whole and len(whole) == 20
+
+
+def test_rows_without_a_key_are_left_out_at_every_size(spark):
+    for size in (10, 1000, 3000):
+        nulls = spark.range(5).select(F.lit(None).cast("bigint").alias("entity_id"), (-F.col("id") - 1).alias("month"))
+        got = drawn(keyed(spark, size).unionByName(nulls), 20)
+        assert len(got) == min(20, size) and min(got) >= 0
 
 
 def test_top_rows(spark):

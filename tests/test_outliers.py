@@ -87,10 +87,11 @@ def test_global_zscore_of_constant_base(spark):
     assert [r["z_global"] for r in outliers.global_zscore(frame).collect()] == [0.0, 0.0]
 
 
-def test_wide_statistics_join_without_broadcast(spark):
+def test_statistics_join_is_chosen_by_size(spark):
     from peerwatch.sources.staging import attach
 
     left = spark.range(300).withColumnRenamed("id", "g")
     stats = left.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    joined = attach(left, stats, ["g"], bound=50)
+    joined = attach(left, stats, ["g"])
     assert joined.count() == 300 and joined.where("n = 1").count() == 300
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()

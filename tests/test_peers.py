@@ -44,9 +44,29 @@ def test_sweep_shares_fits_with_single_runs(spark, volumes):
     assert [len(models[k].centres) for k in (2, 4)] == [2, 4]
 
 
-def test_constant_volume_gives_one_group(spark):
-    model = peers.fit_peers(frame(spark, np.full(50, 3.0)))
-    assert model.centres == [0.0] and model.inertia == 0.0
+def test_fewer_values_than_groups_is_an_error(spark):
+    with pytest.raises(ValueError, match="1 distinct values"):
+        peers.fit_peers(frame(spark, np.full(50, 3.0)))
+    with pytest.raises(ValueError, match="2 distinct values"):
+        peers.fit_peers(frame(spark, np.array([1.0, 2.0] * 9)), k=3)
+    assert peers.fit_peers(frame(spark, np.full(50, 3.0)), k=1).centres == [0.0]
+
+
+def test_unsettled_restarts_are_an_error(spark, volumes):
+    with pytest.raises(RuntimeError, match="not settled after 1"):
+        peers.fit_peers(frame(spark, volumes), max_iterations=1)
+
+
+def test_tied_starting_points_are_an_error(spark):
+    with pytest.raises(ValueError, match="starting points"):
+        peers.fit_lloyd(frame(spark, np.array([1.0] * 90 + [2.0, 3.0, 4.0, 5.0])))
+
+
+def test_array_hash_equals_the_plain_one():
+    from peerwatch.functions import columns as C
+
+    values = np.array([0, 1, -1, 10**15, -(10**15), 2**62])
+    assert C.fold32_array(values, 7, 42).tolist() == [C.fold32_int(int(v), 7, 42) for v in values]
 
 
 def test_lloyd_improves_on_its_start(spark, volumes):

@@ -1,8 +1,11 @@
 import glob
+import os
 from datetime import date
 
-from peerwatch.plans import triage_run
-from peerwatch.sources import datasets
+from peerwatch import labels
+from peerwatch.operators import audit
+from peerwatch.plans import catalog, triage_run
+from peerwatch.sources import datasets, staging
 
 
 def test_whole_run_writes_stages_and_reports(spark, sf_dir, scratch):
@@ -21,3 +24,46 @@ def test_whole_run_writes_stages_and_reports(spark, sf_dir, scratch):
     assert kept + removed == spark.read.parquet(f"{scratch}/stages/monthly_all").count()
     top = spark.read.option("header", True).csv(f"{scratch}/reports/top_alerts")
     assert top.columns[:4] == ["Posição", "Serventia", "Mês", "Cluster"]
+    for name, titles in (("cluster_rules", "cluster_rules"), ("top_alerts_full", "top_alerts_full"), ("peer_stats", "peer_stats")):
+        report = spark.read.option("header", True).csv(f"{scratch}/reports/{name}")
+        assert report.columns == list(labels.HEADINGS[titles].values()) and report.count() > 0
+    assert len(labels.HEADINGS["top_alerts_full"]) == 15
+    assert spark.read.option("header", True).csv(f"{scratch}/reports/selectivity").columns == [
+        "base_n", "global_n", "contextual_n", "reduction_pct"
+    ]
+    assert not os.path.exists(staging.folder(spark)) or not any(n.startswith("run-") for n in os.listdir(staging.folder(spark)))
+
+
+def test_run_takes_dates_that_are_not(spark, sf_dir, scratch):
+    raw = triage_run.extract(
+        triage_run.Run(spark, scratch), datasets.shipping_with_bad_dates(spark, sf_dir), datasets.SHIPPING_START, datasets.SHIPPING_END
+    )
+    assert raw.where("month IS NULL").count() == 0
+    reasons = {r["Motivo"]: int(r["Quantidade"]) for r in spark.read.option("header", True).csv(f"{scratch}/reports/removal_reasons").collect()}
+    assert set(reasons) == {"Datas inválidas", "Antes de 1996", "Após junho de 2001"} and reasons["Datas inválidas"] > 0
+
+
+def test_default_period_has_the_published_reasons():
+    assert audit.reason_titles(labels.PERIOD_START, labels.PERIOD_END) == ("Datas inválidas", "Antes de 2016", "Após julho de 2025")
+    assert audit.reason_titles(date(2016, 3, 1), "2020-12-01")[1:] == ("Antes de março de 2016", "Após dezembro de 2020")
+
+
+def test_runs_own_what_they_stage(spark, sf_dir):
+    with staging.run_folder(spark) as path:
+        for name in ("features", "standardise", "zscore_peer"):
+            assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+        assert sum(n.startswith("features-") for n in os.listdir(path)) == 1
+    assert not os.path.exists(path)
+
+
+def test_a_checkpoint_folder_set_by_the_program_comes_first(spark, scratch):
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    assert staging.shared_root(spark)
+    spark.sparkContext.setCheckpointDir(scratch)
+    try:
+        assert scratch in staging.shared_root(spark)
+    finally:
+        if before.isDefined():
+            spark.sparkContext._jsc.sc().setCheckpointDir(before.get())
+        else:
+            spark.sparkContext.setCheckpointDir(staging._local_roots[spark.sparkContext.applicationId])
