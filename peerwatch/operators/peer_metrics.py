@@ -6,13 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerwatch import labels
 from peerwatch.functions import columns as C
 from peerwatch.operators.ordering import ranged
-from peerwatch.operators.peers import PeerModel, fit_many, histogram
+from peerwatch.operators.peers import PeerModel, band_scatter, fit_many, histogram
 from peerwatch.operators.quantiles import quantile_columns
-from peerwatch.sources.staging import attach, stage
+from peerwatch.sources.staging import attach, local_table
+
+
+SCATTER = T.StructType([
+    T.StructField("k", T.IntegerType()), T.StructField("peer_group", T.IntegerType()), T.StructField("centre", T.DoubleType()),
+    T.StructField("n", T.LongType()), T.StructField("abs_dev", T.DoubleType()), T.StructField("sq_dev", T.DoubleType()),
+])
 
 
 def cluster_scatter(
@@ -33,11 +40,12 @@ def cluster_scatter(
 def cluster_quality(
     df: DataFrame, x: str, group: str = "peer_group", by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Inertia, Davies-Bouldin, Calinski-Harabasz and group sizes; one row per `by`.
+    """Inertia, Davies-Bouldin, Calinski-Harabasz and group sizes; one row per `by`."""
+    return scatter_quality(cluster_scatter(df, x, group, by, weight), by)
 
-    The pairwise part runs over an array of the k centres.
-    """
-    scatter = cluster_scatter(df, x, group, by, weight)
+
+def scatter_quality(scatter: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from the groups' centres and deviations; the pairwise part runs over an array of the k centres."""
     gathered = scatter.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k_found"),
         F.sum("n").alias("n"),
@@ -86,8 +94,10 @@ def silhouette(
     those inside the range, so no column of values meets in one task.  Equal
     values may fall either side of a border: their distance is zero.
     """
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = rows.groupBy(*by, F.col(x).alias("x"), F.col(group).alias("g")).agg(amount.alias("n"))
+    if weight:  # value counts already
+        counts = rows.select(*by, F.col(x).alias("x"), F.col(group).alias("g"), F.col(weight).alias("n"))
+    else:
+        counts = rows.groupBy(*by, F.col(x).alias("x"), F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     placed = ranged(counts, [*map(F.col, by), F.col("x"), F.col("g")])
     value = F.col("x")
 
@@ -101,11 +111,11 @@ def silhouette(
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)  # one row per range
     names = [f"{c}{g}" for c in ("n", "s") for g in range(k)]
-    borders = stage(parts.select(
+    borders = parts.select(
         "_part", *by,
         *[F.coalesce(F.sum(f"p{name}").over(earlier), F.lit(0)).alias(f"b{name}") for name in names],
         *[F.sum(f"p{name}").over(whole).alias(f"t{name}") for name in names],
-    ), "borders")
+    )
     inside = Window.partitionBy("_part", *by).orderBy("x", "g").rowsBetween(Window.unboundedPreceding, 0)
     wide = placed.join(borders, ["_part", *by]).select(
         *by, "x", "g", "n", *[f"t{name}" for name in names],
@@ -148,7 +158,8 @@ def sweep(
     models = fit_many(df, column, ks, n_init, seed, hist=hist)
     choices = F.array(*[F.struct(F.lit(k).alias("k"), C.band("x", models[k].cuts()).alias("peer_group")) for k in ks])
     assigned = hist.counts.select("x", "w", F.explode(choices).alias("c")).select("x", "w", "c.k", "c.peer_group")
-    quality = cluster_quality(assigned, "x", by=["k"], weight="w")
+    cuts = {k: models[k].cuts() for k in ks}
+    quality = scatter_quality(local_table(df.sparkSession, band_scatter(hist.counts, cuts), SCATTER), ["k"])
     silhouettes = silhouette(assigned, "x", max(ks), by=["k"], weight="w")
     return quality.join(silhouettes, "k").select(
         "k",

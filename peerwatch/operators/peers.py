@@ -150,6 +150,33 @@ def _step(hist: DataFrame, runs: dict[int, list[float]]) -> dict[int, tuple[list
     }
 
 
+def band_scatter(counts: DataFrame, cuts: dict[int, list[float]]) -> list[tuple]:
+    """(k, group, centre, n, summed absolute and squared distance to the centre) of bands of value counts."""
+
+    def sums(weights: Callable) -> dict[tuple, float]:
+        def task(x: np.ndarray, w: np.ndarray) -> list[tuple]:
+            rows = []
+            for k, edges in cuts.items():
+                at = np.searchsorted(edges, x, side="left")
+                parts = [np.bincount(at, v, len(edges) + 1) for v in weights(k, at, x, w)]
+                rows += [(k, g, float(a), float(b)) for g, (a, b) in enumerate(zip(*parts))]
+            return rows
+
+        total: dict[tuple, np.ndarray] = {}
+        for row in _partials(counts, task, "k bigint, g bigint, a double, b double"):
+            key = row["k"], row["g"]
+            total[key] = total.get(key, np.zeros(2)) + (row["a"], row["b"])
+        return total
+
+    first = sums(lambda k, at, x, w: (w, x * w))
+    centres = {k: np.array([first[k, g][1] / (first[k, g][0] or 1.0) for g in range(len(edges) + 1)]) for k, edges in cuts.items()}
+    second = sums(lambda k, at, x, w: (w * np.abs(x - centres[k][at]), w * (x - centres[k][at]) ** 2))
+    return [
+        (k, g, float(centres[k][g]), int(n), float(second[k, g][0]), float(second[k, g][1]))
+        for (k, g), (n, _) in first.items() if n
+    ]
+
+
 def fit_many(
     df: DataFrame, column: str, ks, n_init: int = labels.KMEANS_RESTARTS, seed: int = labels.SEED,
     max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, hist: Histogram | None = None,

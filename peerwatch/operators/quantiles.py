@@ -16,37 +16,74 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peerwatch.sources.staging import local_table
+
 #: Cells per doubling of the value in the first pass; cells of an opened one afterwards.
-PER_OCTAVE = 256
+PER_OCTAVE = 1024
 CELLS = 4096
 
-_RATIO = f"""CASE WHEN v = 0 THEN 0 ELSE CAST(signum(v) AS BIGINT)
+_RATIO = f"""CASE WHEN v IS NULL OR isnan(v) THEN NULL WHEN v = 0 THEN 0 ELSE CAST(signum(v) AS BIGINT)
     * (1000000 + floor(least(log2(abs(v)), 2000D) * {PER_OCTAVE})) END AS cell"""
 # Halves, so that the width of a range of very large numbers is finite.
 _WIDTH = f"least(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {CELLS}), {CELLS - 1}) AS cell"
 
 
+@dataclass
+class Summary:
+    """Of one column in one group: rows, numbers among them, mean, sum of squared deviations, values by rank."""
+
+    rows: int
+    n: int
+    mean: float
+    squares: float
+    at: dict[int, float]
+
+    @property
+    def std(self) -> float | None:
+        """Sample deviation; None below two numbers."""
+        return math.sqrt(self.squares / (self.n - 1)) if self.n > 1 else None
+
+    def quantile(self, p: float) -> float:
+        place = (self.n - 1) * p
+        lo, hi = self.at[math.floor(place)], self.at[math.ceil(place)]
+        return lo if lo == hi else lo + (hi - lo) * (place - math.floor(place))
+
+
 def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Rows (g0, g1, ..., variable, v) of the numbers that count: no NULL, no NaN."""
+    """Rows (g0, g1, ..., variable, v)."""
     pairs = ", ".join(f"struct({i} AS variable, CAST(`{name}` AS double) AS v)" for i, name in enumerate(values))
     keys = [f"`{name}` AS g{i}" for i, name in enumerate(by)]
-    return df.selectExpr(*keys, f"inline(array({pairs}))").where("v IS NOT NULL AND NOT isnan(v)")
+    return df.selectExpr(*keys, f"inline(array({pairs}))")
 
 
-def _counted(rows: DataFrame, keys: Sequence[str], cell: str) -> dict[tuple, list]:
-    """Per key the cells in order of value: (rows, least, greatest)."""
+def _counted(rows: DataFrame, keys: Sequence[str], cell: str, *more: Column) -> dict[tuple, list]:
+    """Per key the cells: rows with lo, hi, n and what `more` adds; NULL bounds for what is no number."""
     found = rows.selectExpr(*keys, "v", cell).groupBy(*keys, "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"),
+        F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"),
+        *more,
     )
     cells = defaultdict(list)
     for row in found.collect():
-        cells[tuple(row[k] for k in keys)].append((row["lo"], row["hi"], row["n"]))
-    return {key: sorted(held) for key, held in cells.items()}
+        cells[tuple(row[k] for k in keys)].append(row)
+    return cells
+
+
+def _summary(cells: list, ranks: Callable[[int], Iterable[int]]) -> tuple[Summary, dict]:
+    """A group from the cells of its first pass, and the cells to look into."""
+    numbers = sorted((c for c in cells if c["lo"] is not None), key=lambda c: c["lo"])
+    n = sum(c["n"] for c in numbers)
+    mean = sum(c["n"] * c["mean"] for c in numbers) / n if n else math.nan
+    squares = sum(c["n"] * (c["spread"] + (c["mean"] - mean) * (c["mean"] - mean)) for c in numbers)
+    known, opened = _place(numbers, ranks(n) if n else (), 0)
+    return Summary(sum(c["n"] for c in cells), n, mean, squares, known), opened
 
 
 def _place(cells: list, ranks: Iterable[int], below: int) -> tuple[dict[int, float], dict[tuple, list[int]]]:
@@ -55,7 +92,7 @@ def _place(cells: list, ranks: Iterable[int], below: int) -> tuple[dict[int, flo
     opened = defaultdict(list)
     waiting = sorted(ranks)
     upto = below
-    for lo, hi, n in cells:
+    for lo, hi, n in sorted((c["lo"], c["hi"], c["n"]) for c in cells):
         while waiting and waiting[0] < upto + n:
             rank = waiting.pop(0)
             if lo == hi:
@@ -66,25 +103,24 @@ def _place(cells: list, ranks: Iterable[int], below: int) -> tuple[dict[int, flo
     return known, opened
 
 
-def order_statistics(
+def summarise(
     df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Callable[[int], Iterable[int]]
-) -> dict[tuple, tuple[int, dict[int, float]]]:
-    """(group values..., column) -> rows that count, and the values at the 0-based ranks wanted of so many rows."""
+) -> dict[tuple, Summary]:
+    """(group values..., column) -> its summary, with the values at the 0-based ranks wanted of so many numbers."""
     long = _long(df, values, by)
     keys = [f"g{i}" for i in range(len(by))] + ["variable"]
-    out: dict[tuple, tuple[int, dict[int, float]]] = {}
+    out: dict[tuple, Summary] = {}
     todo: list[tuple] = []  # (key, lo, hi, rows below, ranks)
-    for key, cells in _counted(long, keys, _RATIO).items():
-        n = sum(c[2] for c in cells)
-        known, opened = _place(cells, ranks(n), 0)
-        out[key] = n, known
+    moments = F.avg("v").alias("mean"), F.var_pop("v").alias("spread")
+    for key, cells in _counted(long, keys, _RATIO, *moments).items():
+        out[key], opened = _summary(cells, ranks)
         todo += [(key, *cell, wanted) for cell, wanted in opened.items()]
     kinds = [T.StructField("cell_id", T.IntegerType())] + [
         T.StructField(f"k{i}", long.schema[name].dataType) for i, name in enumerate(keys)
     ] + [T.StructField(name, T.DoubleType()) for name in ("lo", "hi")]
     while todo:
-        spans = df.sparkSession.createDataFrame(
-            [(i, *key, lo, hi) for i, (key, lo, hi, *_) in enumerate(todo)], T.StructType(kinds)
+        spans = local_table(
+            df.sparkSession, [(i, *key, lo, hi) for i, (key, lo, hi, *_) in enumerate(todo)], T.StructType(kinds)
         )
         same = F.col("v").between(F.col("lo"), F.col("hi"))
         for i, name in enumerate(keys):
@@ -95,25 +131,20 @@ def order_statistics(
         for (i,), cells in _counted(inside, ["cell_id"], _WIDTH).items():
             key, _, _, below, wanted = todo[i]
             known, opened = _place(cells, wanted, below)
-            out[key][1].update(known)
+            out[key].at.update(known)
             opened_now += [(key, *cell, still) for cell, still in opened.items()]
         todo = opened_now
     return {(*key[:-1], values[key[-1]]): found for key, found in out.items()}
 
 
-def _quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict[tuple, tuple[int, list[float]]]:
-    def around(n: int) -> set[int]:
-        return {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+def around(probs: Sequence[float]) -> Callable[[int], set[int]]:
+    """Ranks that interpolate the probabilities among n numbers."""
+    return lambda n: {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
 
-    out = {}
-    for key, (n, at) in order_statistics(df, values, by, around).items():
-        q = []
-        for p in probs:
-            place = (n - 1) * p
-            lo, hi = at[math.floor(place)], at[math.ceil(place)]
-            q.append(lo if lo == hi else lo + (hi - lo) * (place - math.floor(place)))
-        out[key] = n, q
-    return out
+
+def _quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict[tuple, tuple[int, list[float]]]:
+    found = summarise(df, values, by, around(probs))
+    return {key: (held.n, [held.quantile(p) for p in probs]) for key, held in found.items() if held.n}
 
 
 def _keys_schema(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -131,7 +162,7 @@ def group_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
         T.StructField("variable", T.StringType()), T.StructField("n", T.LongType()),
         T.StructField("q", T.ArrayType(T.DoubleType())),
     ])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return local_table(df.sparkSession, rows, schema)
 
 
 def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
@@ -146,7 +177,7 @@ def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Se
         for key, found in groups.items()
     ]
     schema = T.StructType(_keys_schema(df, by) + [T.StructField(out, T.DoubleType()) for out in wanted])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return local_table(df.sparkSession, rows, schema)
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
@@ -157,5 +188,5 @@ def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[
 
 def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
     """The n-th smallest value of a column, counted from 1; the greatest where there are fewer."""
-    found = order_statistics(df, [column], (), lambda rows: {min(n, rows) - 1})
-    return next(iter(found[(column,)][1].values())) if found else None
+    found = summarise(df, [column], (), lambda rows: {min(n, rows) - 1})
+    return next(iter(found[(column,)].at.values()), None) if found else None

@@ -64,13 +64,18 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.score_against_peers(base(spark, sf_dir))
 
 
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once per folder of tables."""
+    return stage_once(spark, ("peer_scores", sf_dir), lambda: scored(spark, sf_dir), "peer_scores")
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.classify(outliers.flag_z(isolation.detect(scored(spark, sf_dir))))
+    return triage.classify(outliers.flag_z(isolation.detect(scored_once(spark, sf_dir))))
 
 
 def forest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z and forest score of every row, written once."""
-    rows = scored(spark, sf_dir).select("entity_id", "month", "log_total", "rate", "z")
+    rows = scored_once(spark, sf_dir).select("entity_id", "month", "log_total", "rate", "z")
     return stage(isolation.score(rows, isolation.fit(rows)), "scored")
 
 

@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _local_roots: dict[str, str] = {}
 _runs: dict[str, list[str]] = {}
@@ -77,6 +80,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType) -> DataFrame:
+    """A few rows as a local relation, whose true size Catalyst knows."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrays = [pa.array(column, to_arrow_type(field.dataType)) for column, field in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema.fieldNames()), schema)
+
+
 def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Many-to-one join of statistics to rows.
 

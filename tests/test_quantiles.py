@@ -24,10 +24,10 @@ def test_small_groups_are_counted_exactly(spark):
     check(spark, {"one": [3], "two": [1, 2], "four": [4, 1, 3, 2], "same": [7] * 9})
 
 
-@pytest.mark.parametrize("octave, cells", [(1, 2), (4, 16), (256, 4096)])
+@pytest.mark.parametrize("octave, cells", [(1, 2), (4, 16), (1024, 4096)])
 def test_cells_close_in_on_large_groups(spark, monkeypatch, octave, cells):
     """Coarse cells take more passes and end at the same values."""
-    monkeypatch.setattr(Q, "_RATIO", Q._RATIO.replace("256", str(octave)))
+    monkeypatch.setattr(Q, "_RATIO", Q._RATIO.replace("1024", str(octave)))
     monkeypatch.setattr(Q, "_WIDTH", Q._WIDTH.replace("4096", str(cells)).replace("4095", str(cells - 1)))
     rng = np.random.default_rng(3)
     check(
@@ -67,10 +67,10 @@ def test_no_pass_gathers_a_column(spark, monkeypatch):
     plans = []
     real = Q._counted
 
-    def watched(rows, keys, cell):
+    def watched(rows, keys, cell, *more):
         plan = rows.selectExpr(*keys, "v", cell).groupBy(*keys, "cell").count()._jdf.queryExecution().executedPlan().toString()
         plans.append(plan)
-        return real(rows, keys, cell)
+        return real(rows, keys, cell, *more)
 
     monkeypatch.setattr(Q, "_counted", watched)
     Q.quantile_values(spark.range(5000).selectExpr("sqrt(id) AS v"), "v", [0.3, 0.5])

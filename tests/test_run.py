@@ -1,6 +1,7 @@
 import glob
 import os
 from datetime import date
+from types import SimpleNamespace
 
 from peerwatch import labels
 from peerwatch.operators import audit
@@ -8,6 +9,10 @@ from peerwatch.plans import catalog, triage_run
 from peerwatch.sources import datasets, staging
 
 
+def local(path):
+    return path.removeprefix("file:")
+
+
 def test_whole_run_writes_stages_and_reports(spark, sf_dir, scratch):
     names = triage_run.execute(
         spark, datasets.shipping(spark, sf_dir), scratch, datasets.SHIPPING_START, datasets.SHIPPING_END
@@ -31,7 +36,8 @@ def test_whole_run_writes_stages_and_reports(spark, sf_dir, scratch):
     assert spark.read.option("header", True).csv(f"{scratch}/reports/selectivity").columns == [
         "base_n", "global_n", "contextual_n", "reduction_pct"
     ]
-    assert not os.path.exists(staging.folder(spark)) or not any(n.startswith("run-") for n in os.listdir(staging.folder(spark)))
+    held = local(staging.folder(spark))
+    assert not os.path.exists(held) or not any(n.startswith("run-") for n in os.listdir(held))
 
 
 def test_run_takes_dates_that_are_not(spark, sf_dir, scratch):
@@ -52,18 +58,15 @@ def test_runs_own_what_they_stage(spark, sf_dir):
     with staging.run_folder(spark) as path:
         for name in ("features", "standardise", "zscore_peer"):
             assert catalog.QUERIES[name](spark, sf_dir).count() > 0
-        assert sum(n.startswith("features-") for n in os.listdir(path)) == 1
-    assert not os.path.exists(path)
+        assert sum(n.startswith("features-") for n in os.listdir(local(path))) == 1
+    assert not os.path.exists(local(path))
+
 
+def test_a_checkpoint_folder_set_by_the_program_comes_first():
+    def session(chosen):
+        folder = SimpleNamespace(isDefined=lambda: chosen is not None, get=lambda: chosen)
+        java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder))
+        return SimpleNamespace(sparkContext=SimpleNamespace(_jsc=java), conf=SimpleNamespace(get=lambda key, default: "default/"))
 
-def test_a_checkpoint_folder_set_by_the_program_comes_first(spark, scratch):
-    before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    assert staging.shared_root(spark)
-    spark.sparkContext.setCheckpointDir(scratch)
-    try:
-        assert scratch in staging.shared_root(spark)
-    finally:
-        if before.isDefined():
-            spark.sparkContext._jsc.sc().setCheckpointDir(before.get())
-        else:
-            spark.sparkContext.setCheckpointDir(staging._local_roots[spark.sparkContext.applicationId])
+    assert staging.shared_root(session("file:/own/")) == "file:/own"
+    assert staging.shared_root(session(None)) == "default"
