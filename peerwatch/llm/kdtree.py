@@ -5,11 +5,14 @@ its bytes as its shards are divided, until every leaf is one shard. The place is
 found without sorting: bytes are summed per cell of the node's key range, the
 cell that holds the place is looked into again, until what is left in it is
 small. A key is the dimension's value, then a hash of the text, then one of the
-row, so equal texts with equal metadata stay side by side and are cut only where
-they weigh more than the tolerance.
+row, so equal texts stay side by side and are cut only where they weigh more than
+the tolerance.
 
 All nodes of a level share each pass; a pass brings at most nodes x `CELLS`
 sums to the driver, whatever the data.
+
+Rows with equal texts take the least metadata among them, so copies from several
+sources share all keys.
 """
 
 from __future__ import annotations
@@ -58,9 +61,16 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[Column]) -
         for i, d in enumerate(dims)
     ]
     row = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 1).alias("row_key")
-    return docs.select(
+    own = stage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), *keys, row,
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"), *keys, row,
+    ), "own")
+    same = ["text_key", "text_crc32", "size"]
+    names = [f"k{i}" for i in range(len(dims))]
+    copies = own.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *[F.min(k).alias(f"least_{k}") for k in names])
+    shared = stage(copies.where("n > 1").drop("n"), "copies")
+    return own.join(shared, same, "left").select(
+        "doc_id", "size", "text_crc32", *[F.coalesce(f"least_{k}", k).alias(k) for k in names], "row_key"
     )
 
 

@@ -44,6 +44,16 @@ def test_only_repeated_rows_share_a_shard(docs_of):
     assert set(sizes.values()) == {900}
 
 
+def test_copies_from_several_sources_share_a_shard(docs_of):
+    rows = [(i, f"text {i // 4} " * 5, "en" if i % 2 else "de", f"s{i % 4}") for i in range(2000)]
+    got = kdtree.kd_shards(docs_of(rows), 8).collect()
+    held(rows, got, 8)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["doc_id"] // 4, set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) <= 7  # at most one group at each cut
+
+
 def test_target_bytes(docs_of):
     rows = [(i, "x" * 92, "en", f"s{i % 5}") for i in range(1000)]
     sizes = held(rows, kdtree.kd_shards(docs_of(rows), target_bytes=10_000).collect(), 10)
