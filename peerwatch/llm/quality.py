@@ -52,14 +52,15 @@ class _Slots(dict):
 def grams(text: str, known: _Slots, slots: int = SLOTS) -> np.ndarray:
     """Slots of all one- and two-token grams of a whole text, repeats included; slot 0 is the constant.
 
-    A token that follows itself counts under one slot of its own, whatever the token.
+    A token that repeats the one before, or the one before that, counts under a slot for such repeats, whatever the token.
     """
     tokens = _TOKEN.findall(text)
     one = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
     left, right = one[:-1], one[1:]
     two = (left * 0x9E3779B1 + right * 0x85EBCA6B) >> 7
     two[left == right] = 0x5BD1E995
-    return np.concatenate((one, two)) % (slots - 1) + 1
+    again = np.full(np.count_nonzero(one[2:] == one[:-2]), 0x27D4EB2F)
+    return np.concatenate((one, two, again)) % (slots - 1) + 1
 
 
 def _scale(n: int) -> float:
