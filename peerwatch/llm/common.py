@@ -36,6 +36,6 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def hash_unit(*keys: Column, seed: int = 42) -> Column:
+def hash_unit(*keys: Column, seed: Column) -> Column:
     """A number in [0, 1) that depends on the keys and the seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(*keys, seed), 11) / F.lit(float(1 << 53))

@@ -2,7 +2,8 @@
 
 Tokens are summed per source, each source gets a target and a repetition rate
 (target / its tokens, at most `max_rate`), and a document is taken floor(rate)
-times plus one more copy when a hash of its id falls below the fraction. Only
+times plus one more copy when a hash of its id falls below the fraction. Of a
+few seeds a source uses the one whose draw comes nearest to its target. Only
 (id, source, size) rows are grouped; a hot source arrives as partial sums.
 """
 
@@ -18,6 +19,8 @@ from peerwatch.sources.staging import stage
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 SEED = 42
+#: Seeds a source may choose from.
+TRIES = 16
 
 
 def token_count(text_col: str = "text"):
@@ -66,25 +69,36 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(text_col).alias("size"))
 
 
-def _copies(rate, key, seed: int):
+def _copies(rate, key, seed):
     whole = F.floor(rate).cast("int")
     return whole + F.when(hash_unit(F.coalesce(key.cast("string"), F.lit("")), seed=seed) < rate - whole, 1).otherwise(0)
 
 
+def _with_seeds(sized: DataFrame, targets: DataFrame, seed: int, tries: int) -> DataFrame:
+    """Targets with the `seed` of each source, chosen in one aggregation that adds up every seed's draw."""
+    drawn = _on_source(sized, targets, "source")
+    taken = F.array(*[F.sum(F.col("size") * _copies(F.col("rate"), F.col("id"), F.lit(seed + j))) for j in range(tries)])
+    sums = drawn.groupBy("source", "source_size", "target", "rate").agg(taken.alias("taken"))
+    missed = F.transform("taken", lambda t, j: F.struct(F.abs(t - F.col("target")).alias("by"), j.alias("j")))
+    return sums.select("source", "source_size", "target", "rate", (F.array_min(missed)["j"] + seed).alias("seed"))
+
+
 def mix_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED,
+    weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED, tries: int = TRIES,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies), one row per row of `docs`.
 
     A NULL or empty text has size 0; a NULL source is a source of its own, last
     in order; rows repeated under one id share their draw. The draw depends on
-    id and seed only, so reruns agree. An empty table gives no rows.
+    id and seed only, and the seed on the table, so reruns agree. An empty table gives no rows.
     """
     sized = stage(_sized(docs, id_col, text_col, source_col), "sized")
     targets = stage(source_targets(sized, weights, max_rate), "targets")
-    return _on_source(sized, targets, "source").select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", _copies(F.col("rate"), F.col("id"), seed).alias("copies")
+    seeded = stage(_with_seeds(sized, targets, seed, tries), "seeded")
+    return _on_source(sized, seeded, "source").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        _copies(F.col("rate"), F.col("id"), F.col("seed")).alias("copies"),
     )
 
 
@@ -96,16 +110,17 @@ def _on_source(rows: DataFrame, targets: DataFrame, source_col: str) -> DataFram
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED,
+    weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED, tries: int = TRIES,
 ) -> DataFrame:
     """The mixture itself: every row of `docs`, with its columns, as often as `mix_counts` says."""
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {name: f"c{i}" for i, name in enumerate(names)}
     sized = stage(_sized(docs, id_col, text_col, source_col), "sized")
-    targets = stage(source_targets(sized, weights, max_rate).select("source", "rate"), "targets")
-    copies = _copies(F.col("rate"), F.col(at[id_col]), seed)
-    taken = _on_source(inner, targets, at[source_col]).withColumn("copies", copies).where("copies > 0")
+    targets = stage(source_targets(sized, weights, max_rate), "targets")
+    seeded = stage(_with_seeds(sized, targets, seed, tries).select("source", "rate", "seed"), "seeded")
+    copies = _copies(F.col("rate"), F.col(at[id_col]), F.col("seed"))
+    taken = _on_source(inner, seeded, at[source_col]).withColumn("copies", copies).where("copies > 0")
     return taken.select(*inner.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy").toDF(*names)
 
 
