@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerwatch.llm.common import ship, table
-from peerwatch.sources.staging import shared_root, stage
+from peerwatch.sources.staging import folder, stage
 
 #: An archive ends once it holds so many payload bytes or records.
 ARCHIVE_BYTES = 64 << 20
@@ -294,7 +294,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     comes back as NULL. An empty table writes nothing. Other columns are ignored.
     """
     spark = pages.sparkSession
-    root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    root = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
     records = stage(write_archives(pages, f"{root}/raw", id_col, url_col, html_col), "records")
     archives = records.select("archive").distinct().count()
     written = stage(normalise(decide(records, least), archives, f"{root}/raw", f"{root}/members"), "members")
