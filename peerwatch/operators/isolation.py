@@ -1,6 +1,6 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
-Fitting touches the fact three times: for the scale, to count rows by hash, and
+Fitting touches the fact twice: for the scale and the rows per hash bucket, and
 to draw the training rows.  Every tree draws its own psi rows from all rows, by
 the same scheme at every size.  Trees grow in parallel, a task taking the psi
 rows of each of its trees.  All random choices are hashes of row key, tree and
@@ -80,17 +80,39 @@ def draw_places(tree: int, psi: int, total: int, seed: int) -> list[int]:
     return sorted(places)
 
 
-def training_rows(df: DataFrame, columns, trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
+def _bucketed(df: DataFrame, columns, seed: int) -> DataFrame:
+    """Rows with their hash and its bucket; both NULL without a key."""
+    hashed = df.select("entity_id", "month", *columns).withColumn("_hash", C.fold32(*_row_keys(), F.lit(seed)))
+    return hashed.withColumn("_bucket", F.shiftright("_hash", 32 - BUCKET_BITS).cast("int"))
+
+
+def _census(bucketed: DataFrame, columns) -> tuple[list[tuple[int, int]], dict[str, tuple[float, float]]]:
+    """Rows per bucket, at most 2 ** BUCKET_BITS, and mean and population deviation of each column."""
+    rows = bucketed.groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("count", F.count), ("mean", F.avg), ("spread", F.var_pop))],
+    ).collect()
+    scale = {}
+    for c in columns:
+        parts = [(r[f"{c}_count"], r[f"{c}_mean"], r[f"{c}_spread"]) for r in rows if r[f"{c}_count"]]
+        n = sum(k for k, _, _ in parts)
+        mean = sum(k * m for k, m, _ in parts) / n if n else 0.0
+        spread = sum(k * (s + (m - mean) * (m - mean)) for k, m, s in parts) / n if n else 0.0
+        scale[c] = mean, math.sqrt(spread) or 1.0
+    return sorted((r["_bucket"], r["n"]) for r in rows if r["_bucket"] is not None), scale
+
+
+def training_rows(
+    df: DataFrame, columns, trees: int, psi: int, seed: int, counts: list[tuple[int, int]] | None = None
+) -> tuple[DataFrame, int]:
     """Training rows (tree, columns...), without replacement inside a tree; and psi, at most the rows there are.
 
     Rows have a place in the order of their hash.  Counts per hash bucket say
     which bucket holds a drawn place, so rows are ranked inside buckets only.
     Rows without a key have no place.
     """
-    width = 32 - BUCKET_BITS
-    keyed = df.select("entity_id", "month", *columns).withColumn("_hash", C.fold32(*_row_keys(), F.lit(seed)))
-    keyed = keyed.where(F.col("_hash").isNotNull()).withColumn("_bucket", F.shiftright("_hash", width).cast("int"))
-    counts = sorted(map(tuple, keyed.groupBy("_bucket").count().collect()))  # at most 2 ** BUCKET_BITS
+    bucketed = _bucketed(df, columns, seed)
+    counts = _census(bucketed, ())[0] if counts is None else counts
     ends = np.cumsum([n for _, n in counts])
     if not len(ends):
         raise ValueError("no rows to fit on")
@@ -105,7 +127,7 @@ def training_rows(df: DataFrame, columns, trees: int, psi: int, seed: int) -> tu
     })
     chosen = df.sparkSession.createDataFrame(drawn, "tree int, _bucket int, _place int")  # trees x psi rows
     order = Window.partitionBy("_bucket").orderBy("_hash", "entity_id", "month")
-    ranked = keyed.withColumn("_place", F.row_number().over(order) - 1)
+    ranked = bucketed.where(F.col("_bucket").isNotNull()).withColumn("_place", F.row_number().over(order) - 1)
     return ranked.join(F.broadcast(chosen), ["_bucket", "_place"]).select("tree", *columns), psi
 
 
@@ -149,15 +171,8 @@ def fit(
 ) -> Forest:
     """Forest on standardised columns; rows need `entity_id` and `month` as their key."""
     columns = tuple(columns)
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"{c}_mean") for c in columns],
-        *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
-    ).first()
-    if not row["n"]:
-        raise ValueError("no rows to fit on")
-    scale = {c: (row[f"{c}_mean"], row[f"{c}_std"] or 1.0) for c in columns}
-    sample, psi = training_rows(df, columns, trees, psi, seed)
+    counts, scale = _census(_bucketed(df, columns, seed), columns)
+    sample, psi = training_rows(df, columns, trees, psi, seed, counts)
     forest = Forest(None, None, columns, scale, trees, psi)
     scaled = sample.select(
         "tree", *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in scale.items()]

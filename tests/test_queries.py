@@ -9,6 +9,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from peerwatch.plans import catalog, oracles
+from peerwatch.sources.staging import run_folder
 from oracle_check import compare, connect
 
 FAMILIES = [
@@ -38,3 +39,15 @@ def test_every_statement_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, most", [("zscore_peer", 9), ("ranked_alerts", 25), ("k_sweep", 30)])
+def test_queries_take_few_jobs(spark, sf_dir, name, most):
+    """From the raw table; adaptive execution counts every shuffle as a job."""
+    with run_folder(spark):
+        spark.sparkContext.setJobGroup(f"count-{name}", name)
+        try:
+            queries()[name](spark, sf_dir).toArrow()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"count-{name}")) <= most
