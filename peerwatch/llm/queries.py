@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pack_nnls": packing.op10_pack_nnls,
 }
 
-ORACLES = {**exact.ORACLES, **chat.ORACLES}
+ORACLES = {**warc.ORACLES, **exact.ORACLES, **chat.ORACLES}

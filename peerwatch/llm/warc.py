@@ -306,4 +306,17 @@ def op1_warc_normalise(spark, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
-ORACLES = {}
+# Base 32 of a SHA-1: each five hex digits are twenty bits, four characters.
+_BASE32 = """array_to_string(list_transform(range(8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(sha1(html), i * 5 + 1, 5) AS BIGINT) >> CAST(s AS INTEGER)) & 31 AS BIGINT) + 1, 1)), lambda a, b: a || b)), '')"""
+ORACLES = {
+    "op1_warc_normalise": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN f USING (html)
+    """,
+}
