@@ -31,7 +31,7 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words a task remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bytes of ids in a batch that a task hands over.
 BATCH_BYTES = 16 << 20
 #: A stretch longer than this goes to the tokenizer whose time grows evenly with length.

@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.5
 FOLDS = 3
 HELD_OUT = 1
 #: Tokens a task remembers with their slots.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
