@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 _local_roots: dict[str, str] = {}
 _runs: dict[str, list[str]] = {}
-_kept: dict[str, dict[tuple, DataFrame]] = {}
+_kept: dict[str, dict[tuple, tuple[str, StructType]]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,18 +47,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     Later passes read only the columns they need, nothing upstream is computed
     twice, and a lost executor costs no recomputation of earlier steps.
     """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+def _written(df: DataFrame, name: str) -> str:
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def stage_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The table staged under this key in the current folder, made the first time it is asked for."""
     held = _kept.setdefault(folder(spark), {})
     if key not in held:
-        held[key] = stage(make(), name)
-    return held[key]
+        df = make()
+        held[key] = _written(df, name), df.schema
+    path, schema = held[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 @contextmanager

@@ -15,7 +15,7 @@ from oracle_check import compare, connect
 FAMILIES = [
     "monthly_fact", "stage_roundtrip", "coerce_numeric", "removed_rows", "before_after_by_entity", "validation_report",
     "excluded_entity_years", "standardise", "peer_lloyd", "peer_kmeans", "k_sweep", "silhouette", "cluster_profile", "peer_stats", "mad_diagnostics",
-    "percentile_vs_z", "iforest_fit", "justification", "ranked_alerts", "contamination_sweep", "spearman", "entity_stability",
+    "percentile_vs_z", "peer_stats_published", "top_alerts_full", "iforest_fit", "justification", "ranked_alerts", "contamination_sweep", "spearman", "entity_stability",
     "histogram", "box_stats", "alerts_crosstab",
 ]
 KNOWN = catalog.QUERIES
