@@ -10,7 +10,3 @@ def docs_of(spark):
 
     return make
 
-
-def rows_of(df, *names):
-    """Rows as tuples, in a fixed order."""
-    return sorted(map(tuple, df.select(*names).collect()), key=repr)

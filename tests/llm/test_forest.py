@@ -31,7 +31,7 @@ def sound(x):
 def clusters():
     draw = np.random.default_rng(4)
     centres = draw.normal(size=(10, 32))
-    v = centres[draw.integers(0, 10, 4000)] * 0.6 + draw.normal(size=(4000, 32))
+    v = centres[draw.integers(0, 10, 1200)] * 0.6 + draw.normal(size=(1200, 32))
     return [(i, x.tolist(), 0) for i, x in enumerate(v.astype(np.float32))]
 
 

@@ -4,8 +4,8 @@ import pytest
 
 import corpus_pipeline
 from peerwatch.llm import queries
-from test_packing import held
-from test_simhash import brute_components, brute_print
+from llm.test_packing import held
+from llm.test_simhash import brute_components, brute_print
 
 
 @pytest.fixture(scope="module")
