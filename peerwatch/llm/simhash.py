@@ -233,7 +233,12 @@ def near_groups(
     """
     prints = stage(fingerprints(docs, id_col, text_col), "prints")
     nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    members = stage(components(stage(fingerprint_links(nodes.select("fp"), radius, shard), "found")), "members")
+    return group_rows(prints, nodes, stage(fingerprint_links(nodes.select("fp"), radius, shard), "found"))
+
+
+def group_rows(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row of `prints` (id, fp), from `nodes` (fp, first id) and links (a, b), all staged."""
+    members = stage(components(links), "members")
     linked = stage(members.join(nodes, members["node"] == nodes["fp"]).select("fp", "component", "first"), "linked")
     least = stage(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
     named = stage(linked.join(least, "component").select("fp", "least"), "named")
@@ -251,7 +256,11 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Rows under one id stay or go together, and stay if one of them stays; rows
     without an id stay. All columns are kept, whatever their names.
     """
-    groups = near_groups(docs, id_col, text_col, radius)
+    return drop_members(docs, near_groups(docs, id_col, text_col, radius), id_col)
+
+
+def drop_members(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id is the least of its component in `groups`, or absent."""
     dropped = stage(
         groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select("doc_id"),
         "dropped",
