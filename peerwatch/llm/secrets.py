@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 The patterns give the base spans. The battery looks at every other run of
-encoding characters: it infers the smallest alphabet that holds the run and asks
+encoding characters, or, where a run mixes separators and no alphabet holds it, at
+its parts between them: it infers the smallest alphabet that holds the run and asks
 three questions, each a test whose null hypothesis is that the run is text or a
 sequence, not random:
 
 - uniformity: Pearson's chi-squared against equal symbol counts; a small p-value
   says it is lower than a run with the divergence of text would give;
 - runs: changes between letter cases and digits; a small p-value says that there
-  are more than text has;
+  are more than text has. Letters of one case: changes between vowels and
+  consonants, of which text has more than random letters;
 - serial correlation at lag one; a small p-value says it is nearer to zero than
   in a run whose neighbours resemble each other.
 
@@ -51,12 +53,19 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
 ALPHABETS = (
     ("0123456789abcdef", 1.5),
     ("0123456789ABCDEF", 1.5),
+    ("abcdefghijklmnopqrstuvwxyz", 1.0),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.5),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.5),
 )
+_SYMBOLS = [frozenset(symbols) for symbols, _ in ALPHABETS]
 #: Under the null, the share of neighbours of different kind, and the correlation of neighbours.
 TEXT_CHANGES = 0.2
+#: Share of neighbours of which one is a vowel, in text; letters of one case are tested by these.
+TEXT_VOWEL_CHANGES = 0.6
+VOWELS = frozenset("aeiouAEIOU")
+SEPARATOR = re.compile(r"[+/_-]")
 TEXT_CORRELATION = 0.75
 FALSE_SHARE = 0.01
 #: Grid of p-values: step b stands for 10 ** (-b / STEPS).
@@ -79,9 +88,10 @@ def _kind(char: str) -> int:
 
 
 def randomness(run: str) -> float:
-    """p-value of the battery for one run; 1 where no alphabet holds it, or digits or letters of one case only."""
+    """p-value of the battery for one run; 1 where no alphabet holds it, or digits only."""
     kinds = [_kind(c) for c in run]
-    if len(set(kinds)) < 2:
+    letters = len(set(kinds)) == 1 and kinds[0] in (1, 2)
+    if len(set(kinds)) < 2 and not letters:
         return 1.0
     held = set(run)
     fitting = next(((symbols, text) for symbols, text in ALPHABETS if held <= set(symbols)), None)
@@ -89,8 +99,10 @@ def randomness(run: str) -> float:
         return 1.0
     symbols, text = fitting
     n, size = len(run), len(symbols)
+    if letters:
+        kinds = [c in VOWELS for c in run]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    p_runs = _at_least(changes, n - 1, TEXT_CHANGES)
+    p_runs = _at_least(n - 1 - changes, n - 1, 1 - TEXT_VOWEL_CHANGES) if letters else _at_least(changes, n - 1, TEXT_CHANGES)
     if p_runs > 0.5:
         return 1.0
     expected = n / size
@@ -106,6 +118,19 @@ def randomness(run: str) -> float:
     return max(p_uniform, p_runs, p_serial)
 
 
+def _parts(run: str) -> Iterator[tuple[int, int]]:
+    """What is tested of a run: the whole if an alphabet holds it, else its long parts between separators."""
+    held = set(run)
+    if any(held <= symbols for symbols in _SYMBOLS):
+        yield 0, len(run)
+        return
+    at = 0
+    for stop in [*(m.start() for m in SEPARATOR.finditer(run)), len(run)]:
+        if stop - at >= SHORTEST:
+            yield at, stop
+        at = stop + 1
+
+
 def _class(length: int) -> int:
     return sum(length >= least for least in CLASSES) - 1
 
@@ -123,9 +148,10 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         a, b = m.span()
         run = m[0]
         spans += [(2, a + h.start(), a + h.end()) for h in HEX.finditer(run)]
-        p = randomness(run)
-        step = min(LAST_STEP, int(math.floor(-math.log10(max(p, 1e-300)) * STEPS)))
-        tested.append((a, b, _class(b - a), step))
+        for start, stop in _parts(run):
+            p = randomness(run[start:stop])
+            step = min(LAST_STEP, int(math.floor(-math.log10(max(p, 1e-300)) * STEPS)))
+            tested.append((a + start, a + stop, _class(stop - start), step))
     spans.sort(key=lambda s: (s[1], s[0]))
     free = [c for c in tested if not any(a < c[1] and c[0] < b for _, a, b in spans)]
     return spans, free

@@ -84,3 +84,17 @@ def test_empty_table_and_repeated_rows(docs_of):
     assert secrets.find_secrets(docs_of([])).collect() == []
     got = secrets.find_secrets(docs_of([(1, f"x {HEX40}", "", "", 1)] * 2 + [(None, None, "", "", 2)], ", base int")).collect()
     assert sorted(len(r["base"]) for r in got) == [0, 1, 1]
+
+
+def test_keys_behind_paths_and_in_one_case_are_found(docs_of):
+    draw = random.Random(21)
+    alnum = string.ascii_letters + string.digits
+    keys = ["".join(draw.choice(alnum) for _ in range(40)) for _ in range(100)]
+    texts = [f"see {draw.choice(['/v1/live-keys/', '/srv/app_data+x-y/'])}{key} end" for key in keys]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    right = sum(any(s["kind"] == 3 and texts[i][s["start"] : s["stop"]] == key for s in got[i]) for i, key in enumerate(keys))
+    assert right >= 80
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert sum(secrets.randomness("".join(draw.choice(letters) for _ in range(96))) < 1e-3 for _ in range(100)) > 80
+    for word in ("internationalisation", "donaudampfschifffahrtsgesellschaft", "ELECTROENCEPHALOGRAPHICALLY", "anticonstitutionnellement"):
+        assert secrets.randomness(word) > 1e-2, word
