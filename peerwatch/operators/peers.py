@@ -58,20 +58,40 @@ class Histogram:
     distinct: int
 
 
-def _partials(frame: DataFrame, task: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> list:
-    """Rows that `task` makes of each batch of (x, w), gathered; a few per batch."""
+def _partials(
+    frame: DataFrame, task: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str, merge: Callable[[tuple, tuple], tuple], keys: int,
+) -> list:
+    """Rows that `task` makes of each batch of (x, w), gathered; a Spark task merges those whose first `keys` fields agree."""
     names = [part.split()[0] for part in schema.split(", ")]
     cloudpickle.register_pickle_by_value(peerwatch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
         for batch in batches:
             x, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2))
-            if rows := task(x, w):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+            for row in task(x, w):
+                key, values = row[:keys], row[keys:]
+                held[key] = merge(held[key], values) if key in held else values
+        if held:
+            rows = [key + values for key, values in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
     return frame.select("x", F.col("w").cast("double")).mapInArrow(run, schema).collect()
 
 
+def _add(a: tuple, b: tuple) -> tuple:
+    return tuple(x + y for x, y in zip(a, b))
+
+
+def _pool(a: tuple, b: tuple) -> tuple:
+    """Count, mean, squared deviations and distinct values of two parts together."""
+    n = a[0] + b[0]
+    if not n:
+        return n, 0.0, 0.0, a[3] + b[3]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n, a[3] + b[3]
+
+
 def histogram(df: DataFrame, column: str) -> Histogram:
     counts = stage(
         df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(
@@ -85,7 +105,7 @@ def histogram(df: DataFrame, column: str) -> Histogram:
         mean = (x * w).sum() / n if n else 0.0
         return [(float(n), float(mean), float((w * (x - mean) ** 2).sum()), len(x))]
 
-    parts = _partials(counts, moments, "n double, mean double, squares double, distinct bigint")
+    parts = _partials(counts, moments, "n double, mean double, squares double, distinct bigint", _pool, 0)
     n = sum(p["n"] for p in parts)
     if not n:
         raise ValueError(f"no values in {column}")
@@ -121,7 +141,7 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
             return rows
 
         best: dict[int, tuple[float, float]] = {}
-        for row in _partials(hist, draw, "run bigint, key double, x double"):
+        for row in _partials(hist, draw, "run bigint, key double, x double", min, 1):
             best[row["run"]] = min(best.get(row["run"], (np.inf, 0.0)), (row["key"], row["x"]))
         for run, (_, x) in best.items():
             centres[run].append(x)
@@ -141,7 +161,7 @@ def _step(hist: DataFrame, runs: dict[int, list[float]]) -> dict[int, tuple[list
         return rows
 
     total = {r: np.zeros((len(c), 3)) for r, c in runs.items()}
-    for row in _partials(hist, sums, "run bigint, centre bigint, w double, wx double, cost double"):
+    for row in _partials(hist, sums, "run bigint, centre bigint, w double, wx double, cost double", _add, 2):
         total[row["run"]][row["centre"]] += (row["w"], row["wx"], row["cost"])
     # A centre that lost all its values stays where it is.
     return {
@@ -163,7 +183,7 @@ def band_scatter(counts: DataFrame, cuts: dict[int, list[float]]) -> list[tuple]
             return rows
 
         total: dict[tuple, np.ndarray] = {}
-        for row in _partials(counts, task, "k bigint, g bigint, a double, b double"):
+        for row in _partials(counts, task, "k bigint, g bigint, a double, b double", _add, 2):
             key = row["k"], row["g"]
             total[key] = total.get(key, np.zeros(2)) + (row["a"], row["b"])
         return total

@@ -136,3 +136,23 @@ def test_profile_rules(spark):
     }
     bare = {r["peer_group"]: (r["profile"], r["missing_mean_pct"]) for r in peer_metrics.cluster_rules(df).collect()}
     assert bare[2] == ("Baixa incidência de selos sem guia", None)
+
+
+def test_a_task_sends_its_sums_once(spark, volumes, monkeypatch):
+    sent = []
+    gather = peers._partials
+    monkeypatch.setattr(peers, "_partials", lambda *a: sent.append(gather(*a)) or sent[-1])
+    df = frame(spark, volumes)
+    whole = peers.fit_many(df, "log_total", [2, 4], n_init=3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        sent.clear()
+        hist = peers.histogram(df, "log_total")
+        tasks = hist.counts.rdd.getNumPartitions()
+        small = peers.fit_many(df, "log_total", [2, 4], n_init=3, hist=hist)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert hist.distinct > 16 * 2 * tasks
+    assert max(map(len, sent)) <= tasks * 3 * (2 + 4)
+    for k in (2, 4):
+        np.testing.assert_allclose(small[k].centres, whole[k].centres, rtol=1e-9)
