@@ -7,9 +7,10 @@ then all trees ascend together, one bit at a time, until the slices hold enough
 candidates, whose distances are computed exactly.
 
 The index is a table of blocks: a bounded number of vectors with the sorted
-arrays of all trees. Queries are taken in bounded chunks; a chunk is broadcast,
-meets every block once, and a block answers with its nearest k, so what is
-merged per query is k rows per block. Each block contributes candidates of its
+arrays of all trees. Queries are taken in bounded chunks, one after the other; a
+chunk is broadcast, meets every block once, and a block answers with its nearest
+k, so what is merged per query is k rows per block. The chunk's answers are
+written and its broadcast is destroyed before the next chunk is read. Each block contributes candidates of its
 own, so neither a dense region nor near-copies of one vector crowd a task.
 """
 
@@ -185,6 +186,7 @@ def search(
     spark = index.sparkSession
     chunks = max(1, -(-asked.count() // chunk))
     found = None
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ship()
     for number in range(chunks):
         table_ = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == number).orderBy("id").toArrow()  # about `chunk` rows
@@ -207,9 +209,11 @@ def search(
                         yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
         near = index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-        found = near if found is None else found.unionByName(near)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = stage(best, "nearest")  # all of a query's candidates are in its chunk
+        shared.destroy()
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def op9_hash_forest(spark, sf_dir: str) -> DataFrame:

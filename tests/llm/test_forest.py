@@ -89,3 +89,16 @@ def test_slices_are_longest_common_prefixes():
             if sum(map(len, held)) >= 30:
                 break
         assert [list(range(first[t, q], last[t, q])) for t in range(3)] == held
+
+
+def test_one_chunk_is_held_at_a_time(spark, clusters, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    events = []
+    make, drop = SparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: events.append(sum(len(x[0]) for x in value.values())) or make(self, value))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: events.append("gone") or drop(self, *a))
+    queries = [r for r in clusters if r[0] % 60 == 0]
+    got = found(spark, clusters, queries, chunk=5)
+    assert len(got) == len(queries) and sum(events[::2]) == len(queries)
+    assert len(events) >= 8 and set(events[1::2]) == {"gone"}
