@@ -41,17 +41,17 @@ def folder(spark: SparkSession) -> str:
     return owned[-1] if owned else f"{shared_root(spark)}/{app}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table once as Parquet in the shared folder and go on from the files.
+def stage(df: DataFrame, name: str = "stage", into: str | None = None) -> DataFrame:
+    """Write a table once as Parquet in the shared folder (or in `into`) and go on from the files.
 
     Later passes read only the columns they need, nothing upstream is computed
     twice, and a lost executor costs no recomputation of earlier steps.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, into))
 
 
-def _written(df: DataFrame, name: str) -> str:
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _written(df: DataFrame, name: str, into: str | None = None) -> str:
+    path = f"{into or folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
