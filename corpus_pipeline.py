@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerwatch.llm import exact, mixing, overlap, packing, quality
+from peerwatch.llm import exact, mixing, packing, quality, simhash
 from peerwatch.llm.common import table
-from peerwatch.sources.staging import stage
+from peerwatch.sources.staging import folder, run_folder, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per component of texts whose five-word similarity is 0.8 or more: that with the smallest id."""
-    return overlap.drop_similar(docs)
+    """One document per near-duplicate component of the SimHash operator, as its query links them: that with the smallest id."""
+    return simhash.drop_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = folder(spark)
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with run_folder(spark):  # what a stage stages for itself goes once its rows are written
+            docs = stage(step(spark, docs, sf_dir), name, into=kept)
     return docs
 
 
