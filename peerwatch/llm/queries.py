@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peerwatch.llm import chat, exact, forest, kdtree, mixing, packing, quality, secrets, simhash, warc
+from peerwatch.llm import chat, exact, forest, kdtree, language, mixing, negatives, packing, quality, secrets, simhash, warc, whitening
 
 QUERIES = {
     "op1_warc_normalise": warc.op1_warc_normalise,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_hash_forest": forest.op9_hash_forest,
     "op10_pack_nnls": packing.op10_pack_nnls,
+    "op11_whiten_jacobi": whitening.op11_whiten_jacobi,
+    "op12_strassen_negatives": negatives.op12_strassen_negatives,
+    "op13_language_svm": language.op13_language_svm,
 }
 
-ORACLES = {**warc.ORACLES, **exact.ORACLES, **chat.ORACLES}
+ORACLES = {**warc.ORACLES, **exact.ORACLES, **chat.ORACLES, **negatives.ORACLES}
