@@ -1,11 +1,15 @@
 """Isolation forest on Spark (Liu, Ting and Zhou, 2008).
 
-Fitting touches the fact twice: for the scale and the rows per hash bucket, and
-to draw the training rows.  Every tree draws its own psi rows from all rows, by
-the same scheme at every size.  Trees grow in parallel, a task taking the psi
-rows of each of its trees.  All random choices are hashes of row key, tree and
-node, so a forest depends on the data and the seed only, not on partitioning or
-retries.
+Fitting reads the fact for the scale and the rows per hash bucket, looks again
+into drawn buckets that are large, and reads it once more for the training rows;
+only rows of drawn buckets cross a shuffle.  Every tree draws its own psi rows
+from all rows, by the same scheme at every size.  Trees grow in parallel, a task
+taking the psi rows of each of its trees.  All random choices are hashes of row
+key, tree and node, so a forest depends on the data and the seed only, not on
+partitioning or retries.
+
+Scoring has two forms with the same result: arrays of nodes walked by Arrow
+batches, and leaves as boxes that rows are joined to inside the JVM.
 
 Nodes are numbered as a heap: the root is 1, the children of i are 2i and 2i+1.
 """
@@ -15,6 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -33,8 +39,12 @@ from peerwatch.sources.staging import stage
 PSI = 256
 SCORE_DIGITS = 12
 FEATURES = ("log_total", "rate")
-#: Bits of the row hash that number a bucket; a bucket holds about rows / 65536 rows.
-BUCKET_BITS = 16
+#: Bits of the row hash, those that number a bucket at first, and those that each closer look adds.
+HASH_BITS, BUCKET_BITS, CLOSER_BITS = 32, 16, 4
+#: Buckets are looked into until the drawn ones hold at most so many rows per drawn place.
+ROWS_PER_PLACE = 4
+#: Cells into which one axis is cut for the join of rows to boxes.
+CELLS = 64
 
 
 @dataclass
@@ -80,15 +90,19 @@ def draw_places(tree: int, psi: int, total: int, seed: int) -> list[int]:
     return sorted(places)
 
 
-def _bucketed(df: DataFrame, columns, seed: int) -> DataFrame:
-    """Rows with their hash and its bucket; both NULL without a key."""
-    hashed = df.select("entity_id", "month", *columns).withColumn("_hash", C.fold32(*_row_keys(), F.lit(seed)))
-    return hashed.withColumn("_bucket", F.shiftright("_hash", 32 - BUCKET_BITS).cast("int"))
+def _hashed(df: DataFrame, columns, seed: int) -> DataFrame:
+    """Rows with their hash, NULL without a key."""
+    return df.select("entity_id", "month", *columns).withColumn("_hash", C.fold32(*_row_keys(), F.lit(seed)))
+
 
+def _bucket(bits: int) -> Column:
+    """The first bits of the hash."""
+    return F.shiftright("_hash", HASH_BITS - bits)
 
-def _census(bucketed: DataFrame, columns) -> tuple[list[tuple[int, int]], dict[str, tuple[float, float]]]:
+
+def _census(hashed: DataFrame, columns) -> tuple[list[tuple[int, int]], dict[str, tuple[float, float]]]:
     """Rows per bucket, at most 2 ** BUCKET_BITS, and mean and population deviation of each column."""
-    rows = bucketed.groupBy("_bucket").agg(
+    rows = hashed.groupBy(_bucket(BUCKET_BITS).alias("_bucket")).agg(
         F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("count", F.count), ("mean", F.avg), ("spread", F.var_pop))],
     ).collect()
@@ -102,32 +116,69 @@ def _census(bucketed: DataFrame, columns) -> tuple[list[tuple[int, int]], dict[s
     return sorted((r["_bucket"], r["n"]) for r in rows if r["_bucket"] is not None), scale
 
 
+@dataclass
+class _Drawn:
+    """Distinct drawn places in hash order: the bucket each lies in, its place there, and the bucket's rows."""
+
+    bits: int
+    bucket: np.ndarray
+    place: np.ndarray
+    rows: np.ndarray
+
+    def rows_to_rank(self) -> int:
+        return int(self.rows[np.unique(self.bucket, return_index=True)[1]].sum())
+
+    def only(self, hashed: DataFrame) -> DataFrame:
+        """The rows of the drawn buckets; their numbers, no more than there are places, go to the scan."""
+        wanted = hashed.sparkSession.createDataFrame(pd.DataFrame({"_wanted": np.unique(self.bucket)}), "_wanted bigint")
+        return hashed.join(F.broadcast(wanted), _bucket(self.bits) == F.col("_wanted"), "left_semi")
+
+    def closer(self, hashed: DataFrame) -> _Drawn:
+        """The same places by more bits: rows are counted in the parts of the drawn buckets alone."""
+        bits = min(HASH_BITS, self.bits + CLOSER_BITS)
+        parts = self.only(hashed).groupBy(_bucket(bits).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").toArrow()
+        part, n = parts["part"].to_numpy(), parts["n"].to_numpy()
+        ends = np.cumsum(n)
+        first = np.searchsorted(part, self.bucket << (bits - self.bits))  # the first part of each place's bucket
+        at = np.searchsorted(ends, (ends - n)[first] + self.place, side="right")
+        return _Drawn(bits, part[at], (ends - n)[first] + self.place - (ends - n)[at], n[at])
+
+
 def training_rows(
     df: DataFrame, columns, trees: int, psi: int, seed: int, counts: list[tuple[int, int]] | None = None
 ) -> tuple[DataFrame, int]:
     """Training rows (tree, columns...), without replacement inside a tree; and psi, at most the rows there are.
 
     Rows have a place in the order of their hash.  Counts per hash bucket say
-    which bucket holds a drawn place, so rows are ranked inside buckets only.
+    which bucket holds a drawn place; large drawn buckets are counted by further
+    bits of the hash.  Only the rows of the last, small buckets are shuffled and
+    ranked, about `ROWS_PER_PLACE` for each of the trees x psi places at most.
     Rows without a key have no place.
     """
-    bucketed = _bucketed(df, columns, seed)
-    counts = _census(bucketed, ())[0] if counts is None else counts
-    ends = np.cumsum([n for _, n in counts])
+    hashed = _hashed(df, columns, seed)
+    counts = _census(hashed, ())[0] if counts is None else counts
+    n = np.array([n for _, n in counts], dtype=np.int64)
+    ends = np.cumsum(n)
     if not len(ends):
         raise ValueError("no rows to fit on")
     total = int(ends[-1])
     psi = min(psi, total)
     places = np.array([draw_places(tree, psi, total, seed) for tree in range(trees)])
-    at = np.searchsorted(ends, places, side="right")
-    drawn = pd.DataFrame({
-        "tree": np.repeat(np.arange(trees, dtype=np.int32), psi),
-        "_bucket": np.array([b for b, _ in counts], dtype=np.int32)[at].ravel(),
-        "_place": (places - np.concatenate(([0], ends))[at]).ravel().astype(np.int32),
-    })
-    chosen = df.sparkSession.createDataFrame(drawn, "tree int, _bucket int, _place int")  # trees x psi rows
+    distinct, back = np.unique(places, return_inverse=True)
+    at = np.searchsorted(ends, distinct, side="right")
+    drawn = _Drawn(BUCKET_BITS, np.array([b for b, _ in counts], dtype=np.int64)[at], distinct - (ends - n)[at], n[at])
+    while drawn.bits < HASH_BITS and drawn.rows_to_rank() > ROWS_PER_PLACE * len(distinct):
+        drawn = drawn.closer(hashed)
+    chosen = df.sparkSession.createDataFrame(  # trees x psi rows
+        pd.DataFrame({
+            "tree": np.repeat(np.arange(trees, dtype=np.int32), psi),
+            "_bucket": drawn.bucket[back.ravel()],
+            "_place": drawn.place[back.ravel()],
+        }),
+        "tree int, _bucket bigint, _place bigint",
+    )
     order = Window.partitionBy("_bucket").orderBy("_hash", "entity_id", "month")
-    ranked = bucketed.where(F.col("_bucket").isNotNull()).withColumn("_place", F.row_number().over(order) - 1)
+    ranked = drawn.only(hashed).withColumn("_bucket", _bucket(drawn.bits)).withColumn("_place", (F.row_number().over(order) - 1).cast("bigint"))
     return ranked.join(F.broadcast(chosen), ["_bucket", "_place"]).select("tree", *columns), psi
 
 
@@ -171,7 +222,7 @@ def fit(
 ) -> Forest:
     """Forest on standardised columns; rows need `entity_id` and `month` as their key."""
     columns = tuple(columns)
-    counts, scale = _census(_bucketed(df, columns, seed), columns)
+    counts, scale = _census(_hashed(df, columns, seed), columns)
     sample, psi = training_rows(df, columns, trees, psi, seed, counts)
     forest = Forest(None, None, columns, scale, trees, psi)
     scaled = sample.select(
@@ -183,6 +234,13 @@ def fit(
     return forest
 
 
+def given_forest(spark, nodes, columns, trees: int, psi: int, scale: dict[str, tuple[float, float]] | None = None) -> Forest:
+    """A forest from its nodes (tree, node, feature or -1, threshold, n), on columns as they are unless a scale is given."""
+    table = pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "n"])
+    frame = spark.createDataFrame([tuple(r) for r in nodes], NODE_SCHEMA)
+    return Forest(frame, table, tuple(columns), scale or {c: (0.0, 1.0) for c in columns}, trees, psi)
+
+
 def _arrays(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature, threshold and leaf depth per tree and node."""
     nodes = forest.table
@@ -238,6 +296,81 @@ def score(df: DataFrame, forest: Forest, out: str = "score") -> DataFrame:
     return df.withColumn(out, isolation(*scaled))
 
 
+def leaf_boxes(forest: Forest) -> pd.DataFrame:
+    """Leaves as boxes (tree, depth, low_0, high_0, low_1, ...): a row is inside where low < value <= high on every axis.
+
+    `depth` is the path length a leaf stands for.  The boxes of a tree cover
+    the space once, so a row lies in one box per tree.
+    """
+    nodes = forest.table.sort_values("node")
+    axes = len(forest.columns)
+    bounds: dict[tuple[int, int], list[float]] = {}
+    rows = []
+    for tree, node, feature, threshold, n in nodes[["tree", "node", "feature", "threshold", "n"]].itertuples(index=False):
+        box = bounds.pop((tree, node), None) or [-math.inf, math.inf] * axes
+        if feature < 0:
+            rows.append((tree, math.floor(math.log2(node)) + average_path(n), *box))
+            continue
+        left, right = list(box), list(box)
+        left[2 * feature + 1] = right[2 * feature] = threshold
+        bounds[tree, 2 * node], bounds[tree, 2 * node + 1] = left, right
+    names = [f"{side}_{axis}" for axis in range(axes) for side in ("low", "high")]
+    return pd.DataFrame(rows, columns=["tree", "depth", *names])
+
+
+def _cuts(boxes: pd.DataFrame, axes: int, cells: int) -> tuple[int, list[float]]:
+    """The axis on which boxes are narrowest in cells, and the ends of its cells: quantiles of the boxes' edges."""
+    best = None
+    for axis in range(axes):
+        edges = boxes[f"high_{axis}"].to_numpy()
+        edges = np.unique(edges[np.isfinite(edges)])
+        if not len(edges):
+            continue
+        cuts = np.unique(np.quantile(edges, np.linspace(0, 1, cells + 1)[1:-1], method="nearest"))
+        wide = (np.searchsorted(cuts, boxes[f"high_{axis}"]) - np.searchsorted(cuts, boxes[f"low_{axis}"])).sum() / (len(cuts) + 1)
+        if best is None or wide < best[0]:
+            best = wide, axis, cuts.tolist()
+    return (0, []) if best is None else best[1:]
+
+
+def score_by_boxes(df: DataFrame, forest: Forest, out: str = "score", cells: int = CELLS) -> DataFrame:
+    """The same scores as `score`, by a range join of rows to the boxes of the leaves; no Python touches a row.
+
+    One axis is cut into cells.  A box is listed under every cell it reaches, at
+    most `cells` times trees x leaves rows, and a row looks only at the boxes of
+    its cell.  Rows with equal values are joined once, and counted over trees in the shuffle.
+    """
+    spark = df.sparkSession
+    boxes = leaf_boxes(forest)
+    axes = len(forest.columns)
+    axis, cuts = _cuts(boxes, axes, cells)
+    held = spark.createDataFrame(boxes).withColumn(
+        "_cell", F.explode(F.sequence(_cell(F.col(f"low_{axis}"), cuts), _cell(F.col(f"high_{axis}"), cuts)))
+    )
+    lowest = F.lit(float("-inf"))  # a missing value goes left everywhere
+    names = [f"_at_{i}" for i in range(axes)]
+    scaled = {
+        name: F.coalesce(F.nanvl((F.col(c).cast("double") - F.lit(m)) / F.lit(s), lowest), lowest)
+        for name, (c, (m, s)) in zip(names, forest.scale.items())
+    }
+    rows = df.withColumns(scaled)
+    points = rows.select(*names).distinct().withColumn("_cell", _cell(F.col(names[axis]), cuts))
+    inside = [
+        ((F.col(name) > F.col(f"low_{i}")) | (F.col(f"low_{i}") == lowest)) & (F.col(name) <= F.col(f"high_{i}"))
+        for i, name in enumerate(names)
+    ]
+    found = points.join(held, "_cell").where(reduce(and_, inside))
+    norm = average_path(forest.psi) or 1.0
+    value = -F.pow(F.lit(2.0), -(F.sum("depth") / F.lit(forest.trees)) / F.lit(norm))
+    totals = found.groupBy(*names).agg(F.bround(value, SCORE_DIGITS).alias(out))
+    return rows.drop(out).join(totals, names).drop(*names)
+
+
+def _cell(value: Column, cuts: list[float]) -> Column:
+    """Number of the cell: how many cuts lie below the value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda cut: cut < value))
+
+
 def offset(scored: DataFrame, contamination: float = labels.CONTAMINATION, column: str = "score") -> float:
     return quantile_values(scored, column, [contamination])[0]
 

@@ -437,6 +437,29 @@ def iforest_score(spark, sf_dir):
     return rounded(isolation.score(rows, isolation.fit(rows)).select("entity_id", "month", "score"))
 
 
+#: A small forest (tree, node, feature, threshold, n) over log volume and rate, 8 rows a tree, 8 leaves in all.
+SMALL_FOREST = (
+    (0, 1, 0, 2.0, 8), (0, 2, 1, 0.3, 3), (0, 3, 0, 2.5, 5), (0, 4, -1, None, 1), (0, 5, -1, None, 2),
+    (0, 6, 1, 0.5, 4), (0, 7, -1, None, 1), (0, 12, -1, None, 3), (0, 13, -1, None, 1),
+    (1, 1, 1, 0.4, 8), (1, 2, -1, None, 5), (1, 3, 0, 1.5, 3), (1, 6, -1, None, 1), (1, 7, -1, None, 2),
+)
+
+
+@query
+def iforest_boxes(spark, sf_dir):
+    """A given small forest, its leaves as boxes, over all kept months."""
+    rows = featured(spark, sf_dir).select("entity_id", "month", "log_total", "rate")
+    forest = isolation.given_forest(spark, SMALL_FOREST, ("log_total", "rate"), trees=2, psi=8)
+    return rounded(isolation.score_by_boxes(rows, forest).select("entity_id", "month", "score"))
+
+
+@query
+def iforest_score_boxes(spark, sf_dir):
+    """The fitted forest by boxes: what `iforest_score` gives by its arrays."""
+    rows = featured(spark, sf_dir).select("entity_id", "month", "log_total", "rate")
+    return rounded(isolation.score_by_boxes(rows, isolation.fit(rows)).select("entity_id", "month", "score"))
+
+
 @query
 def iforest_threshold(spark, sf_dir):
     rows = isolation.apply_threshold(forest_scored(spark, sf_dir))

@@ -665,6 +665,18 @@ def oracle_sql() -> dict[str, str]:
             "nodes",
         ),
         "iforest_score": _sql(f"SELECT entity_id, month, {_r('score')} FROM feat JOIN point_scores USING (log_total, rate)", "feat", "point_scores"),
+        "iforest_boxes": _sql(
+            f"""SELECT entity_id, month, {_r('score')} FROM feat JOIN (SELECT log_total, rate,
+            -pow(2.0::DOUBLE, -(sum(d + {_mean_path('n')}) / 2) / {_mean_path('8')}) AS score
+            FROM (SELECT DISTINCT log_total, rate FROM feat) p JOIN (VALUES
+            (2, '-inf'::DOUBLE, 2.0, '-inf'::DOUBLE, 0.3, 1), (2, '-inf'::DOUBLE, 2.0, 0.3, 'inf'::DOUBLE, 2), (2, 2.5, 'inf'::DOUBLE, '-inf'::DOUBLE, 'inf'::DOUBLE, 1),
+            (3, 2.0, 2.5, '-inf'::DOUBLE, 0.5, 3), (3, 2.0, 2.5, 0.5, 'inf'::DOUBLE, 1),
+            (1, '-inf'::DOUBLE, 'inf'::DOUBLE, '-inf'::DOUBLE, 0.4, 5), (2, '-inf'::DOUBLE, 1.5, 0.4, 'inf'::DOUBLE, 1), (2, 1.5, 'inf'::DOUBLE, 0.4, 'inf'::DOUBLE, 2)
+            ) b(d, l0, h0, l1, h1, n) ON log_total > l0 AND log_total <= h0 AND rate > l1 AND rate <= h1
+            GROUP BY ALL) USING (log_total, rate)""",
+            "feat",
+        ),
+        "iforest_score_boxes": _sql(f"SELECT entity_id, month, {_r('score')} FROM feat JOIN point_scores USING (log_total, rate)", "feat", "point_scores"),
         "iforest_threshold": _sql(
             f"""SELECT entity_id, month, {_r('if_decision')}, CAST(CASE WHEN flag_forest THEN -1 ELSE 1 END AS INTEGER)
             AS if_label, {_r('if_intensity')}, flag_forest FROM detected""",

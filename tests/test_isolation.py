@@ -104,6 +104,35 @@ def test_trees_draw_from_all_rows_by_one_scheme(spark, n):
         assert drawn.loc[drawn["tree"] == tree, "log_total"].sort_values().tolist() == want
 
 
+def test_large_buckets_are_looked_into(spark, monkeypatch):
+    """Few bits at first, so that buckets are large: the same draws, and few rows are shuffled and ranked."""
+    df = frame(spark, 6000, outlier=False)
+    want = sorted(map(tuple, isolation.training_rows(df, ("log_total", "rate"), 5, 8, 42)[0].collect()))
+    looked = []
+    closer = isolation._Drawn.closer
+    monkeypatch.setattr(isolation._Drawn, "closer", lambda self, hashed: looked.append(closer(self, hashed)) or looked[-1])
+    monkeypatch.setattr(isolation, "BUCKET_BITS", 2)
+    rows, _ = isolation.training_rows(df, ("log_total", "rate"), 5, 8, 42)
+    assert sorted(map(tuple, rows.collect())) == want and len(want) == 40
+    assert [d.bits for d in looked][:2] == [6, 10] and looked[-1].rows_to_rank() <= isolation.ROWS_PER_PLACE * 40
+    last = looked[-1]
+    hashed = isolation._hashed(df, ("log_total",), 42)
+    assert last.only(hashed).count() == last.rows_to_rank()
+
+
+def test_only_rows_of_drawn_buckets_are_shuffled(spark):
+    """The filter lies under the ranking, so before the shuffle, and leaves a small multiple of trees x psi rows."""
+    df = frame(spark, 20_000, outlier=False)
+    kept = []
+    only = isolation._Drawn.only
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(isolation._Drawn, "only", lambda self, hashed: kept.append(only(self, hashed)) or kept[-1])
+        rows, psi = isolation.training_rows(df, ("log_total", "rate"), 4, 32, 42)
+    assert rows.count() == 4 * psi == 128 and kept[-1].count() <= isolation.ROWS_PER_PLACE * 128
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Window")
+
+
 def test_places_are_even_over_all_rows():
     places = np.array([isolation.draw_places(tree, 50, 1000, 7) for tree in range(400)])
     assert (places >= 0).all() and (places < 1000).all() and all(len(set(p)) == 50 for p in places.tolist())
@@ -118,6 +147,52 @@ def test_rows_without_a_key_are_not_drawn(spark):
     assert psi == 30 and rows.where("rate = 9").count() == 0
 
 
+def test_repeated_keys_share_a_hash(spark):
+    """All bits looked at, still several rows in a bucket: ranked there."""
+    df = frame(spark, 400, outlier=False).withColumn("entity_id", F.col("entity_id") % 3)
+    rows, psi = isolation.training_rows(df, ("log_total",), 2, 8, 42)
+    assert psi == 8 and rows.count() == 16
+
+
+def test_boxes_cover_the_space_once(fitted):
+    _, forest = fitted
+    boxes = isolation.leaf_boxes(forest)
+    rng = np.random.default_rng(1)
+    for x, y in rng.normal(0, 2, (200, 2)):
+        inside = boxes[(boxes["low_0"] < x) & (x <= boxes["high_0"]) & (boxes["low_1"] < y) & (y <= boxes["high_1"])]
+        assert sorted(inside["tree"]) == list(range(30))
+
+
+@pytest.mark.parametrize("cells", [1, 5, 64])
+def test_boxes_score_as_arrays_do(fitted, cells):
+    df, forest = fitted
+    by_arrays = {r["entity_id"]: r["score"] for r in isolation.score(df, forest).collect()}
+    boxed = isolation.score_by_boxes(df, forest, cells=cells)
+    got = {r["entity_id"]: r["score"] for r in boxed.collect()}
+    assert got.keys() == by_arrays.keys() and all(abs(got[k] - by_arrays[k]) <= 1.1e-12 for k in got)
+    plan = boxed._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_boxes_of_odd_values(spark, fitted):
+    """Edges belong to the left box; NULL and NaN go left; values beyond all edges have a box."""
+    df, forest = fitted
+    (m0, s0), (m1, s1) = forest.scale["log_total"], forest.scale["rate"]
+    edges = forest.table[forest.table["feature"] == 0]["threshold"].head(20)
+    values = [(float(e) * s0 + m0, 0.3) for e in edges] + [(None, 0.2), (3.0, None), (float("nan"), 0.1), (1e9, -1e9), (None, None)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)] + [(0, *values[0])], "entity_id bigint, log_total double, rate double")
+    one = sorted((r["entity_id"], r["score"]) for r in isolation.score(rows, forest).collect())
+    two = sorted((r["entity_id"], r["score"]) for r in isolation.score_by_boxes(rows, forest).collect())
+    assert [i for i, _ in one] == [i for i, _ in two] and np.allclose([v for _, v in one], [v for _, v in two], atol=1.1e-12, rtol=0)
+
+
+def test_a_forest_of_single_leaves_and_an_empty_table(spark):
+    df = frame(spark, 50).withColumns({"log_total": F.lit(1.0), "rate": F.lit(0.5)})
+    forest = isolation.fit(df, trees=4)
+    assert isolation.score_by_boxes(df, forest).select("score").distinct().collect() == isolation.score(df, forest).select("score").distinct().collect()
+    assert isolation.score_by_boxes(df.limit(0), forest).collect() == []
+
+
 def test_fewer_rows_than_a_sample(spark):
     df = frame(spark, 40, outlier=False)
     forest = isolation.fit(df, trees=5)
