@@ -8,37 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from peerwatch import labels
 from peerwatch.functions import columns as C
 from peerwatch.operators.ordering import average_ranks
-from peerwatch.operators.quantiles import around, group_quantiles, quantile_columns, summarise
-from peerwatch.sources.staging import attach, local_table, stage
+from peerwatch.operators.quantiles import around, at_share, deviation, group_quantiles, quantile_columns, summarise
+from peerwatch.sources.staging import attach, stage
 
 
 def peer_stats(
     df: DataFrame, group: str = "peer_group", rate: str = "rate", total: str = "total",
     std_floor: float = labels.RATE_STD_FLOOR,
 ) -> DataFrame:
-    """Size, mean, median, deviation and 90th percentile per peer group, from one pass of counts."""
+    """Size, mean, median, deviation and 90th percentile per peer group, from one pass of counts over both columns."""
     found = summarise(df, [rate, total], [group], around([0.5, 0.9]))
-    groups = sorted({key for key, _ in found}, key=lambda g: (g is not None, g))
-    rows = []
-    for g in groups:
-        r, t = found[g, rate], found[g, total]
-        mean = r.mean if r.n else None
-        spread = max(r.std or 0.0, std_floor)
-        rows.append((
-            g, r.rows, mean, r.quantile(0.5) if r.n else None, spread, r.quantile(0.9) if r.n else None,
-            t.mean if t.n else None, t.quantile(0.5) if t.n else None,
-        ))
-    names = ("rate_mean", "rate_median", "rate_std", "rate_p90", "total_mean", "total_median")
-    schema = T.StructType([
-        T.StructField(group, df.schema[group].dataType), T.StructField("group_n", T.LongType()),
-        *[T.StructField(name, T.DoubleType()) for name in names],
-    ])
-    return local_table(df.sparkSession, rows, schema)
+
+    def of(variable: int, value: Column) -> Column:
+        return F.max(F.when(F.col("variable") == variable, value))
+
+    return found.groupBy("g0").agg(
+        F.max("rows").alias("group_n"),
+        of(0, F.col("mean")).alias("rate_mean"),
+        of(0, at_share(0.5)).alias("rate_median"),
+        of(0, F.greatest(F.coalesce(deviation(), F.lit(0.0)), F.lit(std_floor))).alias("rate_std"),
+        of(0, at_share(0.9)).alias("rate_p90"),
+        of(1, F.col("mean")).alias("total_mean"),
+        of(1, at_share(0.5)).alias("total_median"),
+    ).withColumnRenamed("g0", group)
 
 
 def peer_gap(df: DataFrame, rate: str = "rate", mean: str = "rate_mean") -> DataFrame:

@@ -1,28 +1,28 @@
-"""Exact interpolated quantiles of large groups.
+"""Exact interpolated quantiles of any number of groups of any size.
 
 Rows are counted in cells of the value range, with the least and greatest value
 of each cell; the cells that hold a wanted rank are looked into again until
 each holds a single value.  Every pass is one aggregation that combines rows
 before the shuffle, whatever the size of a group, and no group is sorted or
-gathered.  The first pass uses cells of equal ratio, later ones equal width
-between the values really there, so two or three passes are usual.
+gathered: what is sorted within a group are its cells.  The first pass uses
+cells of equal ratio, later ones equal width between the values really there,
+so one to three passes are usual.
 
-What reaches the driver is a bounded number of counts per group and column;
-groups are few by nature here (peer groups, event types).
+Cells stay a table throughout, written once per pass, and rows find the open
+ones by a join.  Only the number of open cells reaches the driver, so four peer
+groups and a hundred thousand entities take the same path.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from peerwatch.sources.staging import local_table
+from peerwatch.sources.staging import stage
 
 #: Cells per doubling of the value in the first pass; cells of an opened one afterwards.
 PER_OCTAVE = 1024
@@ -34,25 +34,8 @@ _RATIO = f"""CASE WHEN v IS NULL OR isnan(v) THEN NULL WHEN v = 0 THEN 0 ELSE CA
 _WIDTH = f"least(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {CELLS}), {CELLS - 1}) AS cell"
 
 
-@dataclass
-class Summary:
-    """Of one column in one group: rows, numbers among them, mean, sum of squared deviations, values by rank."""
-
-    rows: int
-    n: int
-    mean: float
-    squares: float
-    at: dict[int, float]
-
-    @property
-    def std(self) -> float | None:
-        """Sample deviation; None below two numbers."""
-        return math.sqrt(self.squares / (self.n - 1)) if self.n > 1 else None
-
-    def quantile(self, p: float) -> float:
-        place = (self.n - 1) * p
-        lo, hi = self.at[math.floor(place)], self.at[math.ceil(place)]
-        return lo if lo == hi else lo + (hi - lo) * (place - math.floor(place))
+#: Ranks (counted from 0) to look up among n numbers.
+Ranks = Callable[[Column], Column]
 
 
 def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -62,93 +45,107 @@ def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
     return df.selectExpr(*keys, f"inline(array({pairs}))")
 
 
-def _counted(rows: DataFrame, keys: Sequence[str], cell: str, *more: Column) -> dict[tuple, list]:
+def _counted(rows: DataFrame, keys: Sequence[str], cell: str, *more: Column) -> DataFrame:
     """Per key the cells: rows with lo, hi, n and what `more` adds; NULL bounds for what is no number."""
-    found = rows.selectExpr(*keys, "v", cell).groupBy(*keys, "cell").agg(
+    return rows.select(*keys, "v", *[c for c in rows.columns if c not in {*keys, "v"}], F.expr(cell)).groupBy(*keys, "cell").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"),
         F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"),
         *more,
     )
-    cells = defaultdict(list)
-    for row in found.collect():
-        cells[tuple(row[k] for k in keys)].append(row)
-    return cells
-
-
-def _summary(cells: list, ranks: Callable[[int], Iterable[int]]) -> tuple[Summary, dict]:
-    """A group from the cells of its first pass, and the cells to look into."""
-    numbers = sorted((c for c in cells if c["lo"] is not None), key=lambda c: c["lo"])
-    n = sum(c["n"] for c in numbers)
-    mean = sum(c["n"] * c["mean"] for c in numbers) / n if n else math.nan
-    squares = sum(c["n"] * (c["spread"] + (c["mean"] - mean) * (c["mean"] - mean)) for c in numbers)
-    known, opened = _place(numbers, ranks(n) if n else (), 0)
-    return Summary(sum(c["n"] for c in cells), n, mean, squares, known), opened
-
-
-def _place(cells: list, ranks: Iterable[int], below: int) -> tuple[dict[int, float], dict[tuple, list[int]]]:
-    """Values of the ranks in single-valued cells; the other cells that hold one, with the rows below them."""
-    known: dict[int, float] = {}
-    opened = defaultdict(list)
-    waiting = sorted(ranks)
-    upto = below
-    for lo, hi, n in sorted((c["lo"], c["hi"], c["n"]) for c in cells):
-        while waiting and waiting[0] < upto + n:
-            rank = waiting.pop(0)
-            if lo == hi:
-                known[rank] = lo
-            else:
-                opened[lo, hi, upto].append(rank)
-        upto += n
-    return known, opened
-
-
-def summarise(
-    df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Callable[[int], Iterable[int]]
-) -> dict[tuple, Summary]:
-    """(group values..., column) -> its summary, with the values at the 0-based ranks wanted of so many numbers."""
+
+
+def _located(cells: DataFrame, within: Sequence[str], below: Column, hits: Column) -> DataFrame:
+    """Cells with the rows below them and the wanted ranks inside, in the order of their values.
+
+    `within` names what the cells belong to; a window there meets cells, a bounded number whatever the rows.
+    """
+    order = Window.partitionBy(*within).orderBy("lo")
+    numbers = F.when(F.col("lo").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    upto = below + F.sum(numbers).over(order)
+    placed = cells.withColumns({"upto": upto, "below": upto - numbers, "wanted": hits})
+    return placed.withColumn(
+        "hits", F.when(F.col("lo").isNotNull(), F.expr("filter(wanted, r -> r >= below AND r < upto)")).otherwise(F.expr("slice(wanted, 1, 0)"))
+    ).drop("upto", "wanted", "cell")
+
+
+def _stage_pass(cells: DataFrame) -> tuple[DataFrame, int]:
+    """The cells written, and how many are still open; the count rides on the write."""
+    seen = Observation()
+    is_open = (F.size("hits") > 0) & (F.col("lo") < F.col("hi"))
+    held = stage(cells.observe(seen, F.coalesce(F.sum(is_open.cast("long")), F.lit(0)).alias("open")), "cells")
+    return held, seen.get["open"]
+
+
+def summarise(df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Ranks) -> DataFrame:
+    """(g0, g1, ..., variable, rows, n, mean, squares, at) per group and column.
+
+    Rows, numbers among them, mean and sum of squared deviations of these, and
+    the values at the wanted ranks as a map.  NULL groups stand for themselves.
+    """
     long = _long(df, values, by)
     keys = [f"g{i}" for i in range(len(by))] + ["variable"]
-    out: dict[tuple, Summary] = {}
-    todo: list[tuple] = []  # (key, lo, hi, rows below, ranks)
-    moments = F.avg("v").alias("mean"), F.var_pop("v").alias("spread")
-    for key, cells in _counted(long, keys, _RATIO, *moments).items():
-        out[key], opened = _summary(cells, ranks)
-        todo += [(key, *cell, wanted) for cell, wanted in opened.items()]
-    kinds = [T.StructField("cell_id", T.IntegerType())] + [
-        T.StructField(f"k{i}", long.schema[name].dataType) for i, name in enumerate(keys)
-    ] + [T.StructField(name, T.DoubleType()) for name in ("lo", "hi")]
-    while todo:
-        spans = local_table(
-            df.sparkSession, [(i, *key, lo, hi) for i, (key, lo, hi, *_) in enumerate(todo)], T.StructType(kinds)
-        )
-        same = F.col("v").between(F.col("lo"), F.col("hi"))
-        for i, name in enumerate(keys):
-            same = same & long[name].eqNullSafe(spans[f"k{i}"])
-        # At most two spans per group, column and probability.
-        inside = long.join(F.broadcast(spans), same)
-        opened_now = []
-        for (i,), cells in _counted(inside, ["cell_id"], _WIDTH).items():
-            key, _, _, below, wanted = todo[i]
-            known, opened = _place(cells, wanted, below)
-            out[key].at.update(known)
-            opened_now += [(key, *cell, still) for cell, still in opened.items()]
-        todo = opened_now
-    return {(*key[:-1], values[key[-1]]): found for key, found in out.items()}
-
-
-def around(probs: Sequence[float]) -> Callable[[int], set[int]]:
+    group = Window.partitionBy(*keys)
+    numbers = F.when(F.col("lo").isNotNull(), F.col("n"))
+    cells = _counted(long, keys, _RATIO, F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    facts = cells.withColumns({
+        "rows_n": F.sum("n").over(group),
+        "numbers_n": F.coalesce(F.sum(numbers).over(group), F.lit(0)),
+        "mean": F.sum(numbers * F.col("m")).over(group) / F.sum(numbers).over(group),
+    }).withColumns({
+        "squares": F.sum(numbers * (F.col("s") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))).over(group),
+        "first": F.row_number().over(group.orderBy("lo")) == 1,  # a group without numbers keeps a row
+    })
+    found = _located(facts, keys, F.lit(0).cast("long"), ranks(F.col("numbers_n"))).drop("m", "s")
+    now, still = _stage_pass(found.where(F.col("first") | (F.size("hits") > 0)))
+    passes = [now]
+    while still:
+        open_cells = now.where((F.size("hits") > 0) & (F.col("lo") < F.col("hi")))
+        spans = open_cells.select(*[F.col(k).alias(f"k_{k}") for k in keys], "lo", "hi", "below", F.col("hits").alias("sought"))
+        same = reduce(lambda x, y: x & y, [long[k].eqNullSafe(spans[f"k_{k}"]) for k in keys])
+        inside = long.join(spans, same & F.col("v").between(F.col("lo"), F.col("hi"))).drop(*[f"k_{k}" for k in keys])
+        # No hint: the open cells are few and their written size decides. A row lies in one of them at most.
+        finer = _counted(inside, [*keys, "below"], _WIDTH, F.any_value("sought").alias("sought")).withColumnRenamed("below", "under")
+        found = _located(finer, [*keys, "under"], F.col("under"), F.col("sought")).drop("under", "sought")
+        now, still = _stage_pass(found.where(F.size("hits") > 0))
+        passes.append(now)
+    settled = F.when(F.col("lo") == F.col("hi"), F.col("hits"))
+    facts_of = ("rows_n", "numbers_n", "mean", "squares")
+    each = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [
+        p.select(*keys, *[c for c in facts_of if c in p.columns], "lo", F.explode_outer(settled).alias("rank")) for p in passes
+    ])
+    entry = F.when(F.col("rank").isNotNull(), F.struct("rank", "lo"))
+    return each.groupBy(*keys).agg(
+        F.max("rows_n").alias("rows"), F.max("numbers_n").alias("n"), F.max("mean").alias("mean"), F.max("squares").alias("squares"),
+        F.map_from_entries(F.collect_list(entry)).alias("at"),
+    )
+
+
+def around(probs: Sequence[float]) -> Ranks:
     """Ranks that interpolate the probabilities among n numbers."""
-    return lambda n: {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+    return lambda n: F.array_distinct(F.array(*[f((n - 1) * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+
 
+def at_share(p: float) -> Column:
+    """The interpolated quantile of a group of `summarise`; NULL without numbers."""
+    place = (F.col("n") - 1) * F.lit(float(p))
+    lo, hi = (F.try_element_at("at", f(place).cast("long")) for f in (F.floor, F.ceil))
+    return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
 
-def _quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict[tuple, tuple[int, list[float]]]:
-    found = summarise(df, values, by, around(probs))
-    return {key: (held.n, [held.quantile(p) for p in probs]) for key, held in found.items() if held.n}
 
+def deviation() -> Column:
+    """Sample deviation of a group of `summarise`; NULL below two numbers."""
+    return F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
 
-def _keys_schema(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
-    return [T.StructField(name, df.schema[name].dataType) for name in by]
+
+def named(values: Sequence[str]) -> Column:
+    """Name of the column that a row of `summarise` is about."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("variable") + 1)
+
+
+def keyed(by: Sequence[str]) -> list[Column]:
+    """The group columns of `summarise` under their own names."""
+    return [F.col(f"g{i}").alias(name) for i, name in enumerate(by)]
 
 
 def group_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -156,37 +153,28 @@ def group_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
 
     `q` is an array in the order of `probs`; NULL and NaN do not count.
     """
-    probs = [float(p) for p in probs]
-    rows = [(*key, n, q) for key, (n, q) in _quantiles(df, values, probs, by).items()]
-    schema = T.StructType(_keys_schema(df, by) + [
-        T.StructField("variable", T.StringType()), T.StructField("n", T.LongType()),
-        T.StructField("q", T.ArrayType(T.DoubleType())),
-    ])
-    return local_table(df.sparkSession, rows, schema)
+    found = summarise(df, values, by, around(probs)).where(F.col("n") > 0)
+    return found.select(*keyed(by), named(values).alias("variable"), "n", F.array(*[at_share(p) for p in probs]).alias("q"))
 
 
 def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with named quantiles: {"rate_median": ("rate", 0.5), ...}."""
+    """One row per group with named quantiles: {"rate_median": ("rate", 0.5), ...}; groups without any number are left out."""
     values = sorted({name for name, _ in wanted.values()})
-    probs = sorted({p for _, p in wanted.values()})
-    groups: dict[tuple, dict] = defaultdict(dict)
-    for key, (_, q) in _quantiles(df, values, probs, by).items():
-        groups[key[:-1]][key[-1]] = q
-    rows = [
-        (*key, *[found[name][probs.index(p)] if name in found else None for name, p in wanted.values()])
-        for key, found in groups.items()
-    ]
-    schema = T.StructType(_keys_schema(df, by) + [T.StructField(out, T.DoubleType()) for out in wanted])
-    return local_table(df.sparkSession, rows, schema)
+    found = summarise(df, values, by, around(sorted({p for _, p in wanted.values()}))).where(F.col("n") > 0)
+    wide = found.groupBy(*[f"g{i}" for i in range(len(by))]).agg(
+        F.count(F.lit(1)).alias("held"), *[F.max(F.when(F.col("variable") == values.index(name), at_share(p))).alias(out) for out, (name, p) in wanted.items()]
+    )
+    return wide.where("held > 0").select(*keyed(by), *wanted)
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
     """Quantiles of one whole column as plain numbers (NaN for an empty column)."""
-    found = _quantiles(df, [column], [float(p) for p in probs], ())
-    return found[(column,)][1] if found else [math.nan] * len(probs)
+    row = group_quantiles(df, [column], probs).first()
+    return list(row["q"]) if row else [math.nan] * len(probs)
 
 
 def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
     """The n-th smallest value of a column, counted from 1; the greatest where there are fewer."""
-    found = summarise(df, [column], (), lambda rows: {min(n, rows) - 1})
-    return next(iter(found[(column,)].at.values()), None) if found else None
+    found = summarise(df, [column], (), lambda rows: F.array(F.least(F.lit(n).cast("long"), rows) - 1))
+    row = found.select(F.map_values("at").alias("v")).first()
+    return row["v"][0] if row and row["v"] else None

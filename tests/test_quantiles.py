@@ -79,6 +79,34 @@ def test_no_pass_gathers_a_column(spark, monkeypatch):
         assert "Window" not in plan and "partial_count" in plan and ", cell#" in plan[plan.index("hashpartitioning"):]
 
 
+@pytest.mark.parametrize("groups", [4, 100_000])
+def test_any_number_of_groups_takes_one_path(spark, monkeypatch, groups):
+    """Medians per entity; what comes back to the driver meanwhile is one count per pass."""
+    counts = []
+    real = Q._stage_pass
+    monkeypatch.setattr(Q, "_stage_pass", lambda cells: counts.append(real(cells)) or counts[-1])
+    df = spark.range(400_000).selectExpr(f"pmod(id, {groups}) AS g", f"CAST(id DIV {groups} AS double) AS v")
+    got = Q.quantile_columns(df, {"mid": ("v", 0.5)}, ["g"])
+    last = 400_000 // groups - 1
+    row = got.agg(F.count("g").alias("n"), F.min("mid").alias("lo"), F.max("mid").alias("hi")).first()
+    assert (row["n"], row["lo"], row["hi"]) == (groups, last / 2, last / 2)
+    assert all(isinstance(still, int) for _, still in counts) and counts[-1][1] == 0 and len(counts) == (2 if groups == 4 else 1)
+
+
+def test_open_cells_of_many_groups(spark):
+    """Values so close that the first cells hold several: a second pass over all groups at once."""
+    df = spark.range(30_000).selectExpr("pmod(id, 3000) AS g", "1 + (id DIV 3000) * 1e-9 AS v")
+    got = {r["g"]: r["q"][0] for r in Q.group_quantiles(df, ["v"], [0.5], ["g"]).collect()}
+    assert len(got) == 3000 and all(abs(q - (1 + 4.5e-9)) < 1e-15 for q in got.values())
+
+
+def test_groups_without_numbers(spark):
+    df = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", 2.0)], "g string, v double")
+    found = {r["g0"]: r for r in Q.summarise(df, ["v"], ["g"], Q.around([0.5])).collect()}
+    assert (found["a"]["rows"], found["a"]["n"], found["a"]["at"]) == (2, 0, {}) and found["b"]["at"] == {0: 2.0}
+    assert Q.quantile_columns(df.limit(0), {"mid": ("v", 0.5)}).collect() == []
+
+
 def test_nth_smallest(spark):
     df = spark.createDataFrame([(v,) for v in [5, 3, 3, 9, None]], "v long")
     assert [Q.nth_smallest(df, "v", n) for n in (1, 2, 3, 4, 9)] == [3, 3, 5, 9, 9]
