@@ -159,7 +159,7 @@ def sweep(
     choices = F.array(*[F.struct(F.lit(k).alias("k"), C.band("x", models[k].cuts()).alias("peer_group")) for k in ks])
     assigned = hist.counts.select("x", "w", F.explode(choices).alias("c")).select("x", "w", "c.k", "c.peer_group")
     cuts = {k: models[k].cuts() for k in ks}
-    quality = scatter_quality(local_table(df.sparkSession, band_scatter(hist.counts, cuts), SCATTER), ["k"])
+    quality = scatter_quality(local_table(df.sparkSession, band_scatter(hist, cuts), SCATTER), ["k"])
     silhouettes = silhouette(assigned, "x", max(ks), by=["k"], weight="w")
     return quality.join(silhouettes, "k").select(
         "k",

@@ -1,21 +1,24 @@
 """Peer groups: one-dimensional K-Means and fixed bands.
 
 K-Means works on the counts of distinct values, a table far shorter than the
-fact.  All restarts, and all group counts of a sweep, advance together: a pass
-over the value counts serves every one of them.  Each task adds up its values
-per centre and sends those sums, a few numbers per restart, so a pass is one
-job without a shuffle.  Seeding draws by a hash of the value, so the result does
-not depend on partitioning.
+fact, sorted once and cut into blocks.  The sums of a group are differences of
+running sums at its two borders, so an iteration looks into the blocks that
+hold a border, whatever the number of values: the running sums up to each block
+are a bounded index, the blocks themselves a written table.  All restarts, and
+all group counts of a sweep, advance together and share the opened blocks; an
+iteration that meets no new block needs no job.  Seeding is a pass over the
+value counts per group; it draws by a hash of the value, so the result does not
+depend on partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from peerwatch.sources.staging import attach, stage
 
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
+#: Distinct values of a block, as long as no more than MOST_BLOCKS blocks result; opened blocks that are held.
+BLOCK, MOST_BLOCKS, BLOCKS_HELD = 1024, 1 << 16, 1024
 
 
 @dataclass
@@ -48,14 +53,53 @@ class PeerModel:
         return df.withColumn(out, C.band(scaled, self.cuts()))
 
 
+@dataclass
+class SortedCounts:
+    """Running sums of counts, values and squares over the sorted distinct values.
+
+    `blocks` is a written table (id, xs, ws) of value ranges; `low` and `before`
+    are each block's least value and the sums over all earlier blocks.
+    """
+
+    blocks: DataFrame
+    ids: np.ndarray
+    low: np.ndarray
+    before: np.ndarray
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def upto(self, edges) -> np.ndarray:
+        """(edges, 3): count, sum and sum of squares of the values that are at most each edge."""
+        edges = np.asarray(edges, float)
+        at = np.searchsorted(self.low, edges, side="right") - 1
+        out = np.zeros((len(edges), 3))
+        inside = np.unique(at[at >= 0])
+        self._open(self.ids[inside].tolist())
+        for block in inside.tolist():
+            xs, sums = self.held[int(self.ids[block])]
+            which = at == block
+            out[which] = self.before[block] + sums[np.searchsorted(xs, edges[which], side="right")]
+        return out
+
+    def _open(self, wanted: list[int]) -> None:
+        missing = [i for i in wanted if i not in self.held]
+        if not missing:
+            return
+        if len(self.held) + len(missing) > BLOCKS_HELD:
+            self.held = {i: self.held[i] for i in wanted if i in self.held}
+        for row in self.blocks.where(F.col("id").isin(missing)).collect():  # at most two blocks per group and run
+            x, w = np.array(row["xs"]), np.array(row["ws"])
+            self.held[row["id"]] = x, np.concatenate((np.zeros((1, 3)), np.cumsum(np.column_stack((w, w * x, w * x * x)), axis=0)))
+
+
 @dataclass
 class Histogram:
-    """Distinct values, standardised, with counts (x, w); written once."""
+    """Distinct values, standardised, with counts (x, w), written once; and their running sums."""
 
     counts: DataFrame
     mean: float
     std: float
     distinct: int
+    sums: SortedCounts
 
 
 def _partials(
@@ -79,10 +123,6 @@ def _partials(
     return frame.select("x", F.col("w").cast("double")).mapInArrow(run, schema).collect()
 
 
-def _add(a: tuple, b: tuple) -> tuple:
-    return tuple(x + y for x, y in zip(a, b))
-
-
 def _pool(a: tuple, b: tuple) -> tuple:
     """Count, mean, squared deviations and distinct values of two parts together."""
     n = a[0] + b[0]
@@ -113,7 +153,40 @@ def histogram(df: DataFrame, column: str) -> Histogram:
     squares = sum(p["squares"] + p["n"] * (p["mean"] - mean) ** 2 for p in parts)
     std = (squares / n) ** 0.5 or 1.0
     scaled = counts.select(((F.col("x") - mean) / std).alias("x"), "w")
-    return Histogram(scaled, mean, std, sum(p["distinct"] for p in parts))
+    distinct = sum(p["distinct"] for p in parts)
+    return Histogram(scaled, mean, std, distinct, sort_counts(scaled, distinct))
+
+
+def sort_counts(counts: DataFrame, distinct: int) -> SortedCounts:
+    """Sorted blocks of (x, w) and their index, at most MOST_BLOCKS entries and one more per partition."""
+    size = max(BLOCK, -(-distinct // MOST_BLOCKS))
+    cloudpickle.register_pickle_by_value(peerwatch)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        x, w = np.empty(0), np.empty(0)
+
+        def emit(x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            sums = [float(v) for v in (w.sum(), (w * x).sum(), (w * x * x).sum())]
+            lists = [pa.array([v], pa.list_(pa.float64())) for v in (x, w)]
+            columns = [pa.array([(part << 32) + number]), pa.array([float(x[0])]), *[pa.array([v]) for v in sums], *lists]
+            return pa.RecordBatch.from_arrays(columns, ["id", "low", "w", "wx", "wxx", "xs", "ws"])
+
+        for batch in batches:
+            x = np.concatenate((x, batch.column(0).to_numpy(zero_copy_only=False)))
+            w = np.concatenate((w, batch.column(1).to_numpy(zero_copy_only=False)))
+            while len(x) >= size:
+                yield emit(x[:size], w[:size])
+                x, w, number = x[size:], w[size:], number + 1
+        if len(x):
+            yield emit(x, w)
+
+    shape = "id bigint, low double, w double, wx double, wxx double, xs array<double>, ws array<double>"
+    ordered = counts.select("x", F.col("w").cast("double")).repartitionByRange("x").sortWithinPartitions("x")
+    blocks = stage(ordered.mapInArrow(cut, shape), "blocks")
+    index = blocks.select("id", "low", "w", "wx", "wxx").orderBy("low").toArrow()
+    sums = np.column_stack([index[c].to_numpy() for c in ("w", "wx", "wxx")])
+    return SortedCounts(blocks.select("id", "xs", "ws"), index["id"].to_numpy(), index["low"].to_numpy(), np.cumsum(sums, axis=0) - sums)
 
 
 def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dict[int, list[float]]:
@@ -148,53 +221,36 @@ def _seed_centres(hist: DataFrame, ks: list[int], n_init: int, seed: int) -> dic
     return {r: sorted(c) for r, c in centres.items()}
 
 
-def _step(hist: DataFrame, runs: dict[int, list[float]]) -> dict[int, tuple[list[float], float]]:
-    """One Lloyd iteration of every run: new centres and the cost at the old ones."""
-    held = {r: np.array(c) for r, c in runs.items()}
+def _between(sums: SortedCounts, edges: list[np.ndarray]) -> list[np.ndarray]:
+    """Per list of ascending edges: count, sum and sum of squares of the values up to each edge, between edges, and beyond the last."""
+    upto = sums.upto(np.concatenate([np.append(e, np.inf) for e in edges]))
+    ends = np.cumsum([len(e) + 1 for e in edges])[:-1]
+    return [np.diff(part, axis=0, prepend=0.0) for part in np.split(upto, ends)]
 
-    def sums(x: np.ndarray, w: np.ndarray) -> list[tuple]:
-        rows = []
-        for run, centres in held.items():
-            at = np.searchsorted((centres[:-1] + centres[1:]) / 2.0, x, side="left")
-            parts = [np.bincount(at, values, len(centres)) for values in (w, x * w, w * (x - centres[at]) ** 2)]
-            rows += [(run, i, *map(float, values)) for i, values in enumerate(zip(*parts))]
-        return rows
-
-    total = {r: np.zeros((len(c), 3)) for r, c in runs.items()}
-    for row in _partials(hist, sums, "run bigint, centre bigint, w double, wx double, cost double", _add, 2):
-        total[row["run"]][row["centre"]] += (row["w"], row["wx"], row["cost"])
-    # A centre that lost all its values stays where it is.
-    return {
-        r: (sorted(t[1] / t[0] if t[0] else c for c, t in zip(runs[r], sums_)), float(sums_[:, 2].sum()))
-        for r, sums_ in total.items()
-    }
-
-
-def band_scatter(counts: DataFrame, cuts: dict[int, list[float]]) -> list[tuple]:
-    """(k, group, centre, n, summed absolute and squared distance to the centre) of bands of value counts."""
-
-    def sums(weights: Callable) -> dict[tuple, float]:
-        def task(x: np.ndarray, w: np.ndarray) -> list[tuple]:
-            rows = []
-            for k, edges in cuts.items():
-                at = np.searchsorted(edges, x, side="left")
-                parts = [np.bincount(at, v, len(edges) + 1) for v in weights(k, at, x, w)]
-                rows += [(k, g, float(a), float(b)) for g, (a, b) in enumerate(zip(*parts))]
-            return rows
-
-        total: dict[tuple, np.ndarray] = {}
-        for row in _partials(counts, task, "k bigint, g bigint, a double, b double", _add, 2):
-            key = row["k"], row["g"]
-            total[key] = total.get(key, np.zeros(2)) + (row["a"], row["b"])
-        return total
 
-    first = sums(lambda k, at, x, w: (w, x * w))
-    centres = {k: np.array([first[k, g][1] / (first[k, g][0] or 1.0) for g in range(len(edges) + 1)]) for k, edges in cuts.items()}
-    second = sums(lambda k, at, x, w: (w * np.abs(x - centres[k][at]), w * (x - centres[k][at]) ** 2))
-    return [
-        (k, g, float(centres[k][g]), int(n), float(second[k, g][0]), float(second[k, g][1]))
-        for (k, g), (n, _) in first.items() if n
-    ]
+def _step(hist: Histogram, runs: dict[int, list[float]]) -> dict[int, tuple[list[float], float]]:
+    """One Lloyd iteration of every run: new centres and the cost at the old ones."""
+    held = {r: np.array(c) for r, c in runs.items()}
+    out = {}
+    for (run, c), group in zip(held.items(), _between(hist.sums, [(c[:-1] + c[1:]) / 2.0 for c in held.values()])):
+        w, wx, wxx = group.T
+        # A centre that lost all its values stays where it is.
+        new = sorted(float(b / a) if a else float(old) for a, b, old in zip(w, wx, c))
+        out[run] = new, float(np.maximum(wxx - 2.0 * c * wx + c * c * w, 0.0).sum())
+    return out
+
+
+def band_scatter(hist: Histogram, cuts: dict[int, list[float]]) -> list[tuple]:
+    """(k, group, centre, n, summed absolute and squared distance to the centre) of bands of the standardised values."""
+    out = []
+    for (k, edges), group in zip(cuts.items(), _between(hist.sums, [np.array(e, float) for e in cuts.values()])):
+        some = np.nonzero(group[:, 0])[0]
+        centres = group[some, 1] / group[some, 0]
+        below = hist.sums.upto(centres) - np.concatenate((np.zeros((1, 3)), hist.sums.upto(edges)))[some]
+        for g, c, (n, x, xx), (n_low, x_low, _) in zip(some.tolist(), centres.tolist(), group[some].tolist(), below.tolist()):
+            apart = (c * n_low - x_low) + ((x - x_low) - c * (n - n_low))
+            out.append((k, g, c, int(n), apart, max(xx - 2.0 * c * x + c * c * n, 0.0)))
+    return out
 
 
 def fit_many(
@@ -215,14 +271,14 @@ def fit_many(
     for _ in range(max_iterations):
         if not active:
             break
-        for r, (new, _) in _step(hist.counts, {r: centres[r] for r in sorted(active)}).items():
+        for r, (new, _) in _step(hist, {r: centres[r] for r in sorted(active)}).items():
             shift = sum((a - b) ** 2 for a, b in zip(centres[r], new))
             centres[r] = new
             if shift <= tolerance:
                 active.discard(r)
     if active:
         raise RuntimeError(f"{len(active)} of {len(centres)} restarts have not settled after {max_iterations} iterations")
-    cost = {r: c for r, (_, c) in _step(hist.counts, centres).items()}
+    cost = {r: c for r, (_, c) in _step(hist, centres).items()}
     models = {}
     for i, k in enumerate(ks):
         runs = range(i * n_init, (i + 1) * n_init)
@@ -247,8 +303,8 @@ def fit_lloyd(df: DataFrame, column: str = "log_total", k: int = labels.PEER_COU
     if len(centres) < k:
         raise ValueError(f"the quantiles of {column} give {len(centres)} starting points, too few for {k} groups")
     for _ in range(iterations):
-        centres = _step(hist.counts, {0: centres})[0][0]
-    return PeerModel(column, hist.mean, hist.std, centres, _step(hist.counts, {0: centres})[0][1])
+        centres = _step(hist, {0: centres})[0][0]
+    return PeerModel(column, hist.mean, hist.std, centres, _step(hist, {0: centres})[0][1])
 
 
 def quantile_bands(df: DataFrame, column: str = "total", probs=(0.25, 0.5, 0.75), out: str = "peer_group") -> DataFrame:

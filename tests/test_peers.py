@@ -156,3 +156,51 @@ def test_a_task_sends_its_sums_once(spark, volumes, monkeypatch):
     assert max(map(len, sent)) <= tasks * 3 * (2 + 4)
     for k in (2, 4):
         np.testing.assert_allclose(small[k].centres, whole[k].centres, rtol=1e-9)
+
+
+def test_running_sums_against_all_values(spark, volumes, monkeypatch):
+    """Any edge, on a value, between values, between blocks, and beyond all."""
+    monkeypatch.setattr(peers, "BLOCK", 8)
+    hist = peers.histogram(frame(spark, volumes), "log_total")
+    x = (volumes - hist.mean) / hist.std
+    edges = np.concatenate((np.sort(x)[::37], np.linspace(-4, 4, 50), [-np.inf, np.inf]))
+    want = [(len(v), v.sum(), (v * v).sum()) for v in (x[x <= e + 1e-13] for e in edges)]
+    np.testing.assert_allclose(hist.sums.upto(edges + 1e-13), want, rtol=1e-9, atol=1e-9)
+    assert len(hist.sums.ids) > 50 and (np.diff(hist.sums.low) > 0).all()
+
+
+def test_scatter_of_bands_against_all_values(spark, volumes):
+    hist = peers.histogram(frame(spark, volumes), "log_total")
+    x = (volumes - hist.mean) / hist.std
+    cuts = {2: [0.1], 4: [-0.9, -0.9, 1.3]}  # two equal cuts leave a band empty
+    for k, g, centre, n, apart, squares in peers.band_scatter(hist, cuts):
+        v = x[np.searchsorted(cuts[k], x, side="left") == g]
+        assert n == len(v) and centre == pytest.approx(v.mean())
+        assert apart == pytest.approx(np.abs(v - v.mean()).sum()) and squares == pytest.approx(((v - v.mean()) ** 2).sum())
+    assert len(peers.band_scatter(hist, cuts)) == 5
+
+
+@pytest.mark.parametrize("distinct", [2_000, 200_000])
+def test_values_read_do_not_grow_with_distinct_values(spark, monkeypatch, distinct):
+    """An iteration opens at most a block per border; the bound is the same for a hundred times the values."""
+    monkeypatch.setattr(peers, "BLOCK", 64)
+    hist = peers.histogram(spark.range(distinct).selectExpr(f"sqrt(id / {distinct}) AS v"), "v")
+    assert hist.distinct == distinct and len(hist.sums.ids) >= distinct // 64
+    sizes = []
+    real = peers.SortedCounts._open
+    monkeypatch.setattr(peers.SortedCounts, "_open", lambda self, wanted: sizes.append(len(wanted)) or real(self, wanted))
+    models = peers.fit_many(None, "v", [2, 4], n_init=3, hist=hist)
+    borders = 3 * (2 + 4)
+    assert len(sizes) > 5 and max(sizes) <= borders
+    assert sum(len(x) for x, _ in hist.sums.held.values()) <= 64 * len(hist.sums.held) and max(map(len, (x for x, _ in hist.sums.held.values()))) <= 64
+    assert models[4].inertia < models[2].inertia
+
+
+def test_opened_blocks_are_bounded(spark, volumes, monkeypatch):
+    monkeypatch.setattr(peers, "BLOCK", 4)
+    monkeypatch.setattr(peers, "BLOCKS_HELD", 6)
+    hist = peers.histogram(frame(spark, volumes), "log_total")
+    model = peers.fit_many(None, "log_total", [4], n_init=3, hist=hist)[4]
+    want = peers.fit_peers(frame(spark, volumes), n_init=3)
+    np.testing.assert_allclose(model.centres, want.centres, rtol=1e-9)
+    assert len(hist.sums.held) <= 3 * 4
