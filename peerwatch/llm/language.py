@@ -34,6 +34,8 @@ GRAMS = (1, 2, 3, 4)
 SAMPLE = 1000
 #: Characters of a text that are hashed at a time.
 STRETCH = 1 << 20
+#: Texts whose counts are handed over together.
+HASHED_ROWS = 256
 #: Penalty of a margin missed, passes over a pair's texts at most, and the change of a weight that ends them.
 COST, PASSES, SETTLED = 10.0, 40, 1e-3
 UNKNOWN = "und"
@@ -217,13 +219,17 @@ def fit(
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(slots)
         for batch in batches:
-            rows = [grams.counts(t.as_py()) for t in batch.column(1)]
-            has = [i for i, c in enumerate(rows) if c is not None]
-            at = [np.nonzero(rows[i])[0].astype(np.int32) for i in has]
-            counts = [rows[i][a] for i, a in zip(has, at)]
-            kept = batch.take(pa.array(has, pa.int64()))
-            columns = [kept.column(0), kept.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "at", "x"])
+            for a in range(0, len(batch), HASHED_ROWS):
+                part, has, at, counts = batch.slice(a, HASHED_ROWS), [], [], []
+                for i, t in enumerate(part.column(1)):
+                    held = grams.counts(t.as_py())
+                    if held is not None:
+                        has.append(i)
+                        at.append(np.nonzero(held)[0].astype(np.int32))
+                        counts.append(held[at[-1]])
+                kept = part.take(pa.array(has, pa.int64()))
+                columns = [kept.column(0), kept.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "at", "x"])
 
     order = Window.partitionBy("lang").orderBy("h", "text")
     chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
