@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from peerwatch import labels
@@ -118,9 +118,8 @@ def validation_report(
     missing = [name for name in required if name not in df.columns]
     present = [name for name in required if name in df.columns]
     usable = [name for name in numeric if name in df.columns]
-    broken = [F.col(n).cast("double").isin(float("inf"), float("-inf")) for n in usable]
     nulls = sum((F.count_if(F.col(n).isNull()) for n in present), F.lit(0))
-    infinite = sum((F.count_if(b) for b in broken), F.lit(0))
+    infinite = sum((F.count_if(_infinite(n)) for n in usable), F.lit(0))
     by = [k for k in keys if k in df.columns] + ([group] if group else [])
     per_key = df.groupBy(*dict.fromkeys(by)).agg(
         F.count(F.lit(1)).alias("n"), nulls.alias("nulls"), infinite.alias("infinite")
@@ -149,10 +148,57 @@ def validation_report(
 def validate(df: DataFrame, required, numeric, keys, group=None, min_rows: int = labels.MIN_PEER_ROWS) -> DataFrame:
     """The input itself when every gate passes, else an error naming the failed ones."""
     report = validation_report(df, list(required), list(numeric), list(keys), group, min_rows)
-    failed = [f"{row.rule} ({row.violations})" for row in report.collect() if not row.passed]
+    _raise_failed((row.rule, row.violations) for row in report.collect())
+    return df
+
+
+class Gate:
+    """The same gates around the write of a stage.
+
+    Nulls, infinite values and rows are counted while the stage is written
+    (`watch`); only the uniqueness of keys and the sizes of groups take an
+    aggregation of their own, over the key columns of what was written (`verify`).
+    """
+
+    def __init__(self, required, numeric, keys, group: str | None = None, min_rows: int = labels.MIN_PEER_ROWS):
+        self.required, self.numeric, self.keys = list(required), list(numeric), list(keys)
+        self.group, self.min_rows = group, min_rows
+        self.seen = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        """The table to write."""
+        self.missing = [name for name in self.required if name not in df.columns]
+        present = [name for name in self.required if name in df.columns]
+        usable = [name for name in self.numeric if name in df.columns]
+        nulls = sum((F.count_if(F.col(n).isNull()) for n in present), F.lit(0))
+        infinite = sum((F.count_if(_infinite(n)) for n in usable), F.lit(0))
+        return df.observe(self.seen, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls"), infinite.alias("infinite"))
+
+    def verify(self, written: DataFrame) -> DataFrame:
+        """The table as written when every gate passes, else an error naming the failed ones."""
+        counts = self.seen.get
+        found = {
+            "missing_columns": len(self.missing), "empty": int(not counts["rows"]), "nulls": counts["nulls"], "infinite": counts["infinite"]
+        }
+        keys = [k for k in self.keys if k in written.columns]
+        distinct = written.groupBy(*keys).agg(F.lit(1).alias("one"))
+        checks = distinct.agg((F.lit(counts["rows"]) - F.count("one")).alias("duplicate_keys"))
+        if self.group:
+            sizes = written.groupBy(self.group).agg(F.count(F.lit(1)).alias("size"))
+            checks = checks.withColumn("small_groups", sizes.agg(F.count_if(F.col("size") < self.min_rows)).scalar())
+        found |= checks.first().asDict()
+        _raise_failed(found.items())
+        return written
+
+
+def _infinite(column: str) -> Column:
+    return F.col(column).cast("double").isin(float("inf"), float("-inf"))
+
+
+def _raise_failed(found) -> None:
+    failed = [f"{rule} ({violations})" for rule, violations in found if violations]
     if failed:
         raise ValueError("validation failed: " + ", ".join(failed))
-    return df
 
 
 def quality_report(raw: DataFrame, start, end) -> DataFrame:

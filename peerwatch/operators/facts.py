@@ -91,3 +91,8 @@ def label_groups(df: DataFrame, mapping: dict, column: str = "peer_group", out:
 def present(df: DataFrame, headings: dict[str, str]) -> DataFrame:
     """Published column names in published order."""
     return df.select(*[F.col(name).alias(title) for name, title in headings.items()])
+
+
+def in_order(df: DataFrame, schema) -> DataFrame:
+    """The columns of a declared schema, in its order and types."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

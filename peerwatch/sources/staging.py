@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -93,13 +94,24 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType)
 
 
 def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Many-to-one join of statistics to rows.
+    """Many-to-one join of statistics to rows; a key that the statistics hold twice raises when any of them is read.
 
-    Statistics come from a group-by on the join keys, so no row is duplicated.
-    No hint: adaptive execution broadcasts the side on its measured bytes, or
-    joins by shuffle and splits hot keys.
+    The check is an aggregation of the small side on the join keys. Statistics
+    that come from a group-by on these keys are partitioned so already, and no
+    job is added. No hint: adaptive execution broadcasts the side on its measured
+    bytes, or joins by shuffle and splits hot keys.
     """
-    return df.join(stats, on=on, how=how)
+    return df.join(one_per_key(stats, on), on=on, how=how)
+
+
+def one_per_key(stats: DataFrame, on: list[str]) -> DataFrame:
+    """The table itself, with an assertion in its plan that each key occurs once; NULL keys, which match nothing, may repeat."""
+    others = [c for c in stats.columns if c not in on]
+    counted = stats.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows_of_key"), *[F.any_value(c).alias(c) for c in others])
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in on])
+    message = F.concat(F.lit(f"several rows of statistics for one key ({', '.join(on)}): "), shown)
+    single = F.when(F.col("_rows_of_key") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return counted.where(single).select(*stats.columns)
 
 
 def drop_stages(spark: SparkSession) -> None:

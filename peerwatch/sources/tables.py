@@ -58,6 +58,18 @@ def read_stage(
     return df.select(*typed)
 
 
+def require_types(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The table itself if it has the declared columns in the declared types; it may have others."""
+    require_columns(df, schema.fieldNames())
+    wrong = [
+        f"{f.name} is {df.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}"
+        for f in schema.fields if df.schema[f.name].dataType != f.dataType
+    ]
+    if wrong:
+        raise ValueError("columns of another type: " + ", ".join(wrong))
+    return df
+
+
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace a staged table."""
     writer = df.write.mode("overwrite")

@@ -94,6 +94,50 @@ def test_validation_names_every_failed_gate(spark, raw):
     assert audit.validate(clean, schemas.KEY, ["total"], schemas.KEY, "peer_group", min_rows=1) is clean
 
 
+def gated(spark, df, path, *args, **options):
+    gate = audit.Gate(*args, **options)
+    gate.watch(df).write.mode("overwrite").parquet(path)
+    return gate.verify(spark.read.parquet(path))
+
+
+def test_gates_on_a_write_name_every_failed_one(spark, raw, scratch):
+    clean = raw.dropna().withColumn("peer_group", F.lit(0))
+    for df, args, options, message in (
+        (raw, ([*schemas.KEY, "rate"], ["total"], schemas.KEY), {}, r"missing_columns \(1\), nulls \(2\)"),
+        (clean, (schemas.KEY, ["total"], schemas.KEY, "peer_group"), {}, r"small_groups \(1\)"),
+        (clean.where("total < 0"), (schemas.KEY, ["total"], schemas.KEY), {}, r"empty \(1\)"),
+        (clean.withColumn("rate", F.lit(float("inf"))), (schemas.KEY, ["rate"], schemas.KEY), {}, r"infinite \(7\)"),
+        (clean.union(clean.limit(2)), (schemas.KEY, [], schemas.KEY), {}, r"duplicate_keys \(2\)"),
+        (clean.union(clean.withColumn("peer_group", F.lit(1))), (schemas.KEY, [], schemas.KEY, "peer_group"), {"min_rows": 1}, r"duplicate_keys \(7\)"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            gated(spark, df, f"{scratch}/t", *args, **options)
+    kept = gated(spark, clean, f"{scratch}/t", schemas.KEY, ["total"], schemas.KEY, "peer_group", min_rows=1)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, clean.collect()))
+
+
+def test_gates_on_a_write_take_fewer_jobs(spark, raw, scratch):
+    """The counts of nulls, infinities and rows add no job to the write; keys and groups are counted over their columns alone."""
+    raw.dropna().withColumn("peer_group", F.lit(0)).write.parquet(f"{scratch}/in")
+    clean = spark.read.parquet(f"{scratch}/in")
+    args = ([*schemas.KEY, "total"], ["total"], schemas.KEY, "peer_group", 1)
+
+    def jobs(name, make):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            make()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    plain = jobs("plain", lambda: clean.write.parquet(f"{scratch}/plain"))
+    gate = audit.Gate(*args)
+    assert jobs("watched", lambda: gate.watch(clean).write.parquet(f"{scratch}/watched")) == plain
+    verified = jobs("verified", lambda: gate.verify(spark.read.parquet(f"{scratch}/watched")))
+    apart = jobs("apart", lambda: audit.validate(clean, *args))
+    assert verified < apart
+
+
 def test_duplicates_count_across_groups(spark):
     df = months(spark, [(1, "2020-01", 1, 0), (1, "2020-01", 1, 0)]).withColumn("peer_group", F.monotonically_increasing_id())
     report = {r["rule"]: r["violations"] for r in audit.validation_report(df, schemas.KEY, [], schemas.KEY, "peer_group").collect()}

@@ -56,10 +56,32 @@ def test_cut_reaches_the_scan_with_few_columns(spark, sf_dir):
 
 
 def test_peer_join_does_not_shuffle_rows(spark, sf_dir):
+    """Statistics are grouped and broadcast; the rows stay where they are."""
     from peerwatch.plans import catalog
 
     plan = catalog.scored(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    tree = plan[: plan.index("\n\n")] if "\n\n" in plan else plan
+    rows = next(i for i, line in enumerate(tree.splitlines()) if "features-" in line or "not_cancelled_n" in line and "FileScan" in line)
+    lines = tree.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, level = [], depth(lines[rows])
+    for line in reversed(lines[:rows]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert any("BroadcastHashJoin" in line for line in above) and not any("Exchange" in line for line in above)
+
+
+def test_statistics_that_hold_a_key_twice_raise(spark):
+    rows = spark.createDataFrame([(1, 10.0), (2, 20.0), (None, 5.0)], "g int, v double")
+    single = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "g int, name string")
+    assert sorted((r["v"], r["name"]) for r in staging.attach(rows, single, ["g"]).collect()) == [(5.0, None), (10.0, "a"), (20.0, "b")]
+    for twice in ([(1, "a"), (1, "a")], [(1, "a"), (1, "b"), (2, "c")], [(2, "b"), (1, "a"), (1, None)]):
+        stats = spark.createDataFrame(twice, "g int, name string")
+        with pytest.raises(Exception, match="several rows of statistics for one key"):
+            staging.attach(rows, stats, ["g"]).collect()
+        with pytest.raises(Exception, match="several rows of statistics for one key"):
+            staging.attach(rows, stats, ["g"]).agg(F.sum("v"), F.count("name")).collect()
 
 
 def test_stability_shares_the_entity_shuffle(spark, sf_dir):
