@@ -148,8 +148,9 @@ def percentile_rule(
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and rho from average ranks.
 
-    Equal pairs are counted first, then ranks are read off the value counts, so
-    ties of any size stay single rows.  The mean rank is (n + 1) / 2 exactly.
+    Equal pairs are counted first.  The pairs are then sorted by one column and by
+    the other, each time over ranges that split ties, and take their ranks where
+    they lie.  The mean rank is (n + 1) / 2 exactly.
     """
     pairs = stage(
         df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -157,7 +158,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("w")),
         "pairs",
     )
-    ranked = pairs.join(average_ranks(pairs, "a", "ra", "w"), "a").join(average_ranks(pairs, "b", "rb", "w"), "b")
+    ranked = average_ranks(average_ranks(pairs, "a", "ra", "w").drop("a"), "b", "rb", "w")
     mean = (pairs.agg(F.sum("w")).scalar() + 1) / 2.0
     centred = ranked.select("w", (F.col("ra") - mean).alias("x"), (F.col("rb") - mean).alias("y"))
     sums = centred.agg(

@@ -16,12 +16,44 @@ def test_positions_follow_the_total_order_with_hot_ties(spark):
     assert got["id"].tolist() == want["id"].tolist()
 
 
+def ranked(spark, values, weights=None, parts=5):
+    weighed = weights if weights is not None else np.ones(len(values), int)
+    rows = list(zip(range(len(values)), values.tolist(), weighed.tolist()))  # from pandas, NaN would become NULL
+    df = spark.createDataFrame(rows, "id long, v double, w long").repartition(parts)
+    return {r["id"]: r["r"] for r in ordering.average_ranks(df, "v", "r", "w" if weights is not None else None).collect()}
+
+
 def test_average_ranks_match_pandas(spark):
     values = np.random.default_rng(6).integers(0, 40, 500).astype(float)
-    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5)
-    got = dict(map(tuple, ordering.average_ranks(df, "v", "r").collect()))
-    want = dict(zip(values, pd.Series(values).rank()))
-    assert got == want
+    assert ranked(spark, values) == dict(enumerate(pd.Series(values).rank()))
+
+
+def test_ranks_of_hot_ties_over_many_partitions(spark):
+    """Values that fill several partitions, small Arrow batches, weights, infinities and NaN."""
+    rng = np.random.default_rng(7)
+    values = np.concatenate([np.full(1500, 2.0), np.full(700, 5.0), rng.normal(3, 2, 800), [np.inf, -np.inf, np.nan, np.nan, -0.0, 0.0]])
+    weights = rng.integers(1, 5, len(values))
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        plain, weighted = ranked(spark, values), ranked(spark, values, weights)
+        df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(values)), "v": values}))
+        held = ordering.average_ranks(df, "v", "r").where("v = 2").select(F.input_file_name()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = np.where(np.isnan(values), 1e308, np.where(np.isposinf(values), 1e307, values))
+    assert plain == dict(enumerate(pd.Series(key).rank())) and held >= 4
+    every = pd.Series(np.repeat(key, weights)).rank().to_numpy()
+    assert weighted == dict(enumerate(every[np.cumsum(weights) - 1]))
+
+
+def test_ranks_of_few_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, 4.0)], "id long, v double")
+    assert [tuple(r) for r in ordering.average_ranks(df, "v", "r").collect()] == [(4.0, 2, 1.0)]
+    assert ordering.average_ranks(df.limit(0), "v", "r").collect() == []
 
 
 def keyed(spark, n):
