@@ -21,20 +21,15 @@ def peer_stats(
     std_floor: float = labels.RATE_STD_FLOOR,
 ) -> DataFrame:
     """Size, mean, median, deviation and 90th percentile per peer group, from one pass of counts over both columns."""
-    found = summarise(df, [rate, total], [group], around([0.5, 0.9]))
-
-    def of(variable: int, value: Column) -> Column:
-        return F.max(F.when(F.col("variable") == variable, value))
-
-    return found.groupBy("g0").agg(
-        F.max("rows").alias("group_n"),
-        of(0, F.col("mean")).alias("rate_mean"),
-        of(0, at_share(0.5)).alias("rate_median"),
-        of(0, F.greatest(F.coalesce(deviation(), F.lit(0.0)), F.lit(std_floor))).alias("rate_std"),
-        of(0, at_share(0.9)).alias("rate_p90"),
-        of(1, F.col("mean")).alias("total_mean"),
-        of(1, at_share(0.5)).alias("total_median"),
-    ).withColumnRenamed("g0", group)
+    found = summarise(df, [rate, total], [group], around([0.5, 0.9]), moments=True)
+    spread = f"greatest(coalesce({deviation()}, 0D), {float(std_floor)!r}D)"
+    stats = [
+        ("rate_mean", 0, "mean"), ("rate_median", 0, at_share(0.5)), ("rate_std", 0, spread), ("rate_p90", 0, at_share(0.9)),
+        ("total_mean", 1, "mean"), ("total_median", 1, at_share(0.5)),
+    ]
+    return found.groupBy(F.col("g0").alias(group)).agg(
+        F.expr("max(rows) AS group_n"), *[F.expr(f"max({value}) FILTER (WHERE variable = {i}) AS {name}") for name, i, value in stats]
+    )
 
 
 def peer_gap(df: DataFrame, rate: str = "rate", mean: str = "rate_mean") -> DataFrame:

@@ -16,10 +16,10 @@ groups and a hundred thousand entities take the same path.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from peerwatch.sources.staging import stage
@@ -34,8 +34,8 @@ _RATIO = f"""CASE WHEN v IS NULL OR isnan(v) THEN NULL WHEN v = 0 THEN 0 ELSE CA
 _WIDTH = f"least(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {CELLS}), {CELLS - 1}) AS cell"
 
 
-#: Ranks (counted from 0) to look up among n numbers.
-Ranks = Callable[[Column], Column]
+#: SQL for the array of ranks (counted from 0) to look up among `numbers_n` numbers.
+Ranks = str
 
 
 def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -47,95 +47,88 @@ def _long(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 def _counted(rows: DataFrame, keys: Sequence[str], cell: str, *more: Column) -> DataFrame:
     """Per key the cells: rows with lo, hi, n and what `more` adds; NULL bounds for what is no number."""
-    return rows.select(*keys, "v", *[c for c in rows.columns if c not in {*keys, "v"}], F.expr(cell)).groupBy(*keys, "cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"),
-        F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"),
-        *more,
+    return rows.selectExpr("*", cell).groupBy(*keys, "cell").agg(
+        F.expr("count(1) AS n"), F.expr("min(v) FILTER (WHERE NOT isnan(v)) AS lo"), F.expr("max(v) FILTER (WHERE NOT isnan(v)) AS hi"), *more
     )
 
 
-def _located(cells: DataFrame, within: Sequence[str], below: Column, hits: Column) -> DataFrame:
-    """Cells with the rows below them and the wanted ranks inside, in the order of their values.
+def _over(within: Sequence[str], upto: str = "UNBOUNDED FOLLOWING") -> str:
+    """A window over the cells of what `within` names, a bounded number whatever the rows; all share one sort."""
+    return f"OVER (PARTITION BY {', '.join(within)} ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
 
-    `within` names what the cells belong to; a window there meets cells, a bounded number whatever the rows.
-    """
-    order = Window.partitionBy(*within).orderBy("lo")
-    numbers = F.when(F.col("lo").isNotNull(), F.col("n")).otherwise(F.lit(0))
-    upto = below + F.sum(numbers).over(order)
-    placed = cells.withColumns({"upto": upto, "below": upto - numbers, "wanted": hits})
-    return placed.withColumn(
-        "hits", F.when(F.col("lo").isNotNull(), F.expr("filter(wanted, r -> r >= below AND r < upto)")).otherwise(F.expr("slice(wanted, 1, 0)"))
-    ).drop("upto", "wanted", "cell")
+
+_NUMBERS = "CASE WHEN lo IS NOT NULL THEN n ELSE 0 END"
+#: Wanted ranks inside a cell.
+_HITS = f"CASE WHEN lo IS NOT NULL THEN filter(wanted, r -> r >= upto - {_NUMBERS} AND r < upto) ELSE slice(wanted, 1, 0) END AS hits"
 
 
 def _stage_pass(cells: DataFrame) -> tuple[DataFrame, int]:
     """The cells written, and how many are still open; the count rides on the write."""
     seen = Observation()
-    is_open = (F.size("hits") > 0) & (F.col("lo") < F.col("hi"))
-    held = stage(cells.observe(seen, F.coalesce(F.sum(is_open.cast("long")), F.lit(0)).alias("open")), "cells")
+    held = stage(cells.observe(seen, F.expr("count_if(size(hits) > 0 AND lo < hi) AS open")), "cells")
     return held, seen.get["open"]
 
 
-def summarise(df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Ranks) -> DataFrame:
+def summarise(df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Ranks, moments: bool = False) -> DataFrame:
     """(g0, g1, ..., variable, rows, n, mean, squares, at) per group and column.
 
-    Rows, numbers among them, mean and sum of squared deviations of these, and
-    the values at the wanted ranks as a map.  NULL groups stand for themselves.
+    Rows, numbers among them, the values at the wanted ranks as a map and, with
+    `moments`, mean and sum of squared deviations.  NULL groups stand for themselves.
     """
     long = _long(df, values, by)
     keys = [f"g{i}" for i in range(len(by))] + ["variable"]
-    group = Window.partitionBy(*keys)
-    numbers = F.when(F.col("lo").isNotNull(), F.col("n"))
-    cells = _counted(long, keys, _RATIO, F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    facts = cells.withColumns({
-        "rows_n": F.sum("n").over(group),
-        "numbers_n": F.coalesce(F.sum(numbers).over(group), F.lit(0)),
-        "mean": F.sum(numbers * F.col("m")).over(group) / F.sum(numbers).over(group),
-    }).withColumns({
-        "squares": F.sum(numbers * (F.col("s") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))).over(group),
-        "first": F.row_number().over(group.orderBy("lo")) == 1,  # a group without numbers keeps a row
-    })
-    found = _located(facts, keys, F.lit(0).cast("long"), ranks(F.col("numbers_n"))).drop("m", "s")
-    now, still = _stage_pass(found.where(F.col("first") | (F.size("hits") > 0)))
+    whole = _over(keys)
+    cells = _counted(long, keys, _RATIO, *([F.expr("avg(v) AS m"), F.expr("var_pop(v) AS s")] if moments else []))
+    counts = [f"sum(n) {whole} AS rows_n", f"sum({_NUMBERS}) {whole} AS numbers_n", f"sum({_NUMBERS}) {_over(keys, 'CURRENT ROW')} AS upto"]
+    # A group without numbers keeps its first cell.
+    placed = cells.selectExpr("*", *counts, f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY lo) = 1 AS first")
+    facts = ["rows_n", "numbers_n"]
+    if moments:
+        facts += ["mean", "squares"]
+        placed = placed.selectExpr("*", f"sum({_NUMBERS} * m) {whole} / nullif(numbers_n, 0) AS mean")
+        placed = placed.selectExpr("*", f"sum({_NUMBERS} * (s + (m - mean) * (m - mean))) {whole} AS squares")
+    found = placed.selectExpr(*keys, *facts, "lo", "hi", "n", "first", "upto", f"{ranks} AS wanted").selectExpr(
+        *keys, *facts, "first", "lo", "hi", f"upto - {_NUMBERS} AS below", _HITS
+    )
+    now, still = _stage_pass(found.where("first OR size(hits) > 0"))
     passes = [now]
     while still:
-        open_cells = now.where((F.size("hits") > 0) & (F.col("lo") < F.col("hi")))
-        spans = open_cells.select(*[F.col(k).alias(f"k_{k}") for k in keys], "lo", "hi", "below", F.col("hits").alias("sought"))
-        same = reduce(lambda x, y: x & y, [long[k].eqNullSafe(spans[f"k_{k}"]) for k in keys])
-        inside = long.join(spans, same & F.col("v").between(F.col("lo"), F.col("hi"))).drop(*[f"k_{k}" for k in keys])
+        spans = now.where("size(hits) > 0 AND lo < hi").selectExpr(
+            *[f"{k} AS k_{k}" for k in keys], "lo AS low", "hi AS high", "below AS under", "hits AS sought"
+        )
+        same = " AND ".join(f"{k} <=> k_{k}" for k in keys)
         # No hint: the open cells are few and their written size decides. A row lies in one of them at most.
-        finer = _counted(inside, [*keys, "below"], _WIDTH, F.any_value("sought").alias("sought")).withColumnRenamed("below", "under")
-        found = _located(finer, [*keys, "under"], F.col("under"), F.col("sought")).drop("under", "sought")
-        now, still = _stage_pass(found.where(F.size("hits") > 0))
+        inside = long.join(spans, F.expr(f"{same} AND v BETWEEN low AND high")).selectExpr(*keys, "v", "under", "low AS lo", "high AS hi", "sought")
+        finer = _counted(inside, [*keys, "under"], _WIDTH, F.expr("any_value(sought) AS wanted"))
+        found = finer.selectExpr("*", f"under + sum({_NUMBERS}) {_over([*keys, 'under'], 'CURRENT ROW')} AS upto").selectExpr(
+            *keys, "lo", "hi", f"upto - {_NUMBERS} AS below", _HITS
+        )
+        now, still = _stage_pass(found.where("size(hits) > 0"))
         passes.append(now)
-    settled = F.when(F.col("lo") == F.col("hi"), F.col("hits"))
-    facts_of = ("rows_n", "numbers_n", "mean", "squares")
-    each = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [
-        p.select(*keys, *[c for c in facts_of if c in p.columns], "lo", F.explode_outer(settled).alias("rank")) for p in passes
-    ])
-    entry = F.when(F.col("rank").isNotNull(), F.struct("rank", "lo"))
+    each = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), passes)
+    names = {"rows_n": "rows", "numbers_n": "n"}
+    settled = "flatten(collect_list(CASE WHEN lo = hi THEN transform(hits, r -> struct(r, lo)) END))"
     return each.groupBy(*keys).agg(
-        F.max("rows_n").alias("rows"), F.max("numbers_n").alias("n"), F.max("mean").alias("mean"), F.max("squares").alias("squares"),
-        F.map_from_entries(F.collect_list(entry)).alias("at"),
+        *[F.expr(f"max({f}) AS {names.get(f, f)}") for f in facts], F.expr(f"map_from_entries({settled}) AS at")
     )
 
 
 def around(probs: Sequence[float]) -> Ranks:
-    """Ranks that interpolate the probabilities among n numbers."""
-    return lambda n: F.array_distinct(F.array(*[f((n - 1) * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    """Ranks that interpolate the probabilities."""
+    places = [f"CAST({f}((numbers_n - 1) * {float(p)!r}D) AS BIGINT)" for p in probs for f in ("floor", "ceil")]
+    return f"array_distinct(array({', '.join(places)}))"
 
 
-def at_share(p: float) -> Column:
-    """The interpolated quantile of a group of `summarise`; NULL without numbers."""
-    place = (F.col("n") - 1) * F.lit(float(p))
-    lo, hi = (F.try_element_at("at", f(place).cast("long")) for f in (F.floor, F.ceil))
-    return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place)))
+def at_share(p: float) -> str:
+    """SQL for the interpolated quantile of a group of `summarise`; NULL without numbers."""
+    place = f"((n - 1) * {float(p)!r}D)"
+    lo, hi = (f"try_element_at(at, CAST({f}({place}) AS BIGINT))" for f in ("floor", "ceil"))
+    return f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({place} - floor({place})) END"
 
 
-def deviation() -> Column:
-    """Sample deviation of a group of `summarise`; NULL below two numbers."""
-    return F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+def deviation() -> str:
+    """SQL for the sample deviation of a group of `summarise`; NULL below two numbers."""
+    return "CASE WHEN n > 1 THEN sqrt(squares / (n - 1)) END"
 
 
 def named(values: Sequence[str]) -> Column:
@@ -153,17 +146,18 @@ def group_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
 
     `q` is an array in the order of `probs`; NULL and NaN do not count.
     """
-    found = summarise(df, values, by, around(probs)).where(F.col("n") > 0)
-    return found.select(*keyed(by), named(values).alias("variable"), "n", F.array(*[at_share(p) for p in probs]).alias("q"))
+    found = summarise(df, values, by, around(probs)).where("n > 0")
+    shares = F.expr(f"array({', '.join(map(at_share, probs))}) AS q")
+    return found.select(*keyed(by), named(values).alias("variable"), "n", shares)
 
 
 def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with named quantiles: {"rate_median": ("rate", 0.5), ...}; groups without any number are left out."""
     values = sorted({name for name, _ in wanted.values()})
-    found = summarise(df, values, by, around(sorted({p for _, p in wanted.values()}))).where(F.col("n") > 0)
-    wide = found.groupBy(*[f"g{i}" for i in range(len(by))]).agg(
-        F.count(F.lit(1)).alias("held"), *[F.max(F.when(F.col("variable") == values.index(name), at_share(p))).alias(out) for out, (name, p) in wanted.items()]
-    )
+    found = summarise(df, values, by, around(sorted({p for _, p in wanted.values()}))).where("n > 0")
+    wide = found.groupBy(*[f"g{i}" for i in range(len(by))]).agg(F.expr("count(1) AS held"), *[
+        F.expr(f"max({at_share(p)}) FILTER (WHERE variable = {values.index(name)}) AS `{out}`") for out, (name, p) in wanted.items()
+    ])
     return wide.where("held > 0").select(*keyed(by), *wanted)
 
 
@@ -175,6 +169,6 @@ def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> list[
 
 def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
     """The n-th smallest value of a column, counted from 1; the greatest where there are fewer."""
-    found = summarise(df, [column], (), lambda rows: F.array(F.least(F.lit(n).cast("long"), rows) - 1))
+    found = summarise(df, [column], (), f"array(least({int(n)}L, numbers_n) - 1)")
     row = found.select(F.map_values("at").alias("v")).first()
     return row["v"][0] if row and row["v"] else None

@@ -28,7 +28,7 @@ from peerwatch.operators import (
 )
 from peerwatch.sources import datasets as D
 from peerwatch.sources import tables
-from peerwatch.sources.staging import folder, stage, stage_once
+from peerwatch.sources.staging import folder, stage_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,16 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_once(spark, ("features", sf_dir), lambda: facts.features(D.shipping_kept(spark, sf_dir)), "features")
 
 
+def once(name: str):
+    """The frame is written once per folder of tables and session, and read by every query that uses it."""
+
+    def wrap(make: Query) -> Query:
+        return lambda spark, sf_dir: stage_once(spark, (name, sf_dir), lambda: make(spark, sf_dir), name)
+
+    return wrap
+
+
+@once("base")
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept months with features, and peer groups cut at the volume quartiles."""
     return peers.quantile_bands(featured(spark, sf_dir))
@@ -64,28 +74,28 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.score_against_peers(base(spark, sf_dir))
 
 
-def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, written once per folder of tables."""
-    return stage_once(spark, ("peer_scores", sf_dir), lambda: scored(spark, sf_dir), "peer_scores")
+scored_once = once("peer_scores")(scored)
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.classify(outliers.flag_z(isolation.detect(scored_once(spark, sf_dir))))
+@once("forest_scores")
+def forest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peer scores and forest score of every row."""
+    rows = scored_once(spark, sf_dir)
+    return isolation.score(rows, isolation.fit(rows))
 
 
-def forest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z and forest score of every row, written once."""
-    rows = scored_once(spark, sf_dir).select("entity_id", "month", "log_total", "rate", "z")
-    return stage(isolation.score(rows, isolation.fit(rows)), "scored")
+@once("classified")
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.classify(outliers.flag_z(isolation.apply_threshold(forest_scored(spark, sf_dir))))
 
 
 def study_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest score and the z of the contamination study, where a constant group scores 0."""
-    rows = base(spark, sf_dir).select("entity_id", "month", "peer_group", "log_total", "rate")
-    scores = stage(isolation.score(rows, isolation.fit(rows)), "scored")
+    scores = forest_scored(spark, sf_dir).select("entity_id", "month", "peer_group", "log_total", "rate", "score")
     return outliers.zscore(scores, "rate", zero_std="null_to_zero")
 
 
+@once("compared")
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.compare_scores(base(spark, sf_dir))
 

@@ -106,12 +106,12 @@ def attach(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") ->
 
 def one_per_key(stats: DataFrame, on: list[str]) -> DataFrame:
     """The table itself, with an assertion in its plan that each key occurs once; NULL keys, which match nothing, may repeat."""
-    others = [c for c in stats.columns if c not in on]
-    counted = stats.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows_of_key"), *[F.any_value(c).alias(c) for c in others])
-    shown = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in on])
-    message = F.concat(F.lit(f"several rows of statistics for one key ({', '.join(on)}): "), shown)
-    single = F.when(F.col("_rows_of_key") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return counted.where(single).select(*stats.columns)
+    keys = [f"`{c}`" for c in on]
+    others = [F.expr(f"any_value(`{c}`) AS `{c}`") for c in stats.columns if c not in on]
+    shown = ", ".join(f"coalesce(CAST({k} AS STRING), 'NULL')" for k in keys)
+    told = f"raise_error(concat('several rows of statistics for one key ({', '.join(on)}): ', concat_ws(', ', {shown})))"
+    counted = stats.groupBy(*on).agg(F.expr("count(1) AS _rows_of_key"), *others)
+    return counted.where(f"CASE WHEN _rows_of_key > 1 THEN CAST({told} AS BOOLEAN) ELSE true END").select(*stats.columns)
 
 
 def drop_stages(spark: SparkSession) -> None:
