@@ -42,18 +42,20 @@ def folder(spark: SparkSession) -> str:
     return owned[-1] if owned else f"{shared_root(spark)}/{app}"
 
 
-def stage(df: DataFrame, name: str = "stage", into: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", into: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Write a table once as Parquet in the shared folder (or in `into`) and go on from the files.
 
+    With `by`, rows lie in a folder per value of these columns, so a filter on them reads those folders alone.
+
     Later passes read only the columns they need, nothing upstream is computed
     twice, and a lost executor costs no recomputation of earlier steps.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, into))
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, into, by))
 
 
-def _written(df: DataFrame, name: str, into: str | None = None) -> str:
+def _written(df: DataFrame, name: str, into: str | None = None, by: Sequence[str] = ()) -> str:
     path = f"{into or folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return path
 
 
