@@ -71,13 +71,67 @@ def test_links_connect_as_all_pairs(spark, shard):
     assert got == wanted
 
 
-def test_tree_follows_only_edges_within_the_radius():
-    draw = np.random.default_rng(1)
-    values = np.unique(draw.integers(0, 1 << 63, 600).astype(np.uint64) & np.uint64(0xFFFF))
-    tree = simhash.BKTree(values, leaf=4)
-    got = {(a, b) for left, right in tree.pairs(values, 2) for a, b in zip(left.tolist(), right.tolist())}
+def near_pairs(values, radius=2):
     far = np.bitwise_count(values[:, None] ^ values[None, :])
-    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= 2))))
+    return set(zip(*(x.tolist() for x in np.nonzero(far <= radius))))
+
+
+@pytest.mark.parametrize("n, mask", [(600, 0xFFFF), (1, 1), (2, 3), (900, (1 << 63) - 1)])
+def test_tree_finds_all_within_the_radius(n, mask):
+    draw = np.random.default_rng(1)
+    values = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) & np.uint64(mask))
+    tree = simhash.BKTree.from_bytes(simhash.BKTree.grow(values).to_bytes())
+    assert sorted(tree.values.tolist()) == values.tolist()
+    for i in range(1, len(values)):  # every node hangs at its distance to its parent, once
+        assert tree.edge[i] == int(tree.values[i] ^ tree.values[tree.parent[i]]).bit_count()
+    hung = list(zip(tree.parent[1:].tolist(), tree.edge[1:].tolist()))
+    assert hung == sorted(hung) and len(set(hung)) == len(hung)
+    query, node = tree.search(values, 2)
+    at = np.searchsorted(values, tree.values[node])
+    assert set(zip(query.tolist(), at.tolist())) == near_pairs(values) and len(query) == len(near_pairs(values))
+
+
+def test_search_follows_few_edges(spark, sf_dir):
+    """On the given documents: a tree has levels, and a query meets a small share of it."""
+    rows = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect()
+    values = np.unique(np.array([simhash.fingerprint((r["text"] or "").encode()) for r in rows], np.uint64))
+    tree = simhash.BKTree.grow(values)
+    query, node = tree.search(values, simhash.RADIUS)
+    assert len(values) > 500 and tree.depth() >= 3
+    assert tree.visited < 0.35 * len(values) ** 2
+    assert len(query) == len(near_pairs(values))
+
+
+def test_shards_are_near_their_size(spark):
+    """Only as many bits of a band as needed; one shard where all fit."""
+    assert list(simhash._cuts(0, 2, 1000, 1024)) == list(simhash._cuts(0, 2, 0, 1024)) == [0]
+    cuts = simhash._cuts(0, 2, 10_000, 1024)
+    assert [bin(m).count("1") for m in cuts] == [4, 4, 4] and sum(cuts.values()) == (1 << 64) - 1
+    assert all(m & band == m for m, band in cuts.items())
+
+
+def test_bundles_stay_within_their_bytes(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    values = np.unique(draw.integers(0, 1 << 63, 1000))
+    values = np.unique(np.concatenate([values, values[:400] ^ 1, values[:100] ^ 6]))
+    frame = spark.createDataFrame([(v,) for v in values.tolist()], "fp bigint")
+    sent = []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, held: sent.append(sum(map(len, held.values()))) or real(self, held))
+    links = simhash.fingerprint_links(frame, shard=64, bundle_bytes=16384)
+    got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    assert len(sent) > 3 and max(sent) <= 16384
+    groups = {}
+    for p, root in brute_components([int(v) for v in values]).items():
+        groups.setdefault(root, []).append(p)
+    assert got == {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
+
+
+def test_dense_groups_tell_one_link_per_member():
+    values = np.unique(np.array([1 << a | 1 << b for a in range(30) for b in range(a)], np.uint64))
+    a, b = simhash.tree_links(simhash.BKTree.grow(values), values)
+    assert len(a) == len(values) - 1 and len(set(b.tolist())) == 1
 
 
 def test_groups_of_documents(docs_of):
