@@ -9,8 +9,10 @@ sequence, not random:
 - uniformity: Pearson's chi-squared against equal symbol counts; a small p-value
   says it is lower than a run with the divergence of text would give;
 - runs: changes between letter cases and digits; a small p-value says that there
-  are more than text has. Letters of one case: changes between vowels and
-  consonants, of which text has more than random letters;
+  are more than text has, a fixed part of those that random symbols of the
+  alphabet have. Digits: changes between the lower and the upper five. Letters of
+  one case: changes between vowels and consonants, of which text has more than
+  random letters;
 - serial correlation at lag one; a small p-value says it is nearer to zero than
   in a run whose neighbours resemble each other.
 
@@ -25,8 +27,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +55,20 @@ CLASSES = (20, 24, 32, 48, 96)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
 #: Alphabets by size: symbols in order of value, divergence of text per symbol.
 ALPHABETS = (
+    ("0123456789", 1.0),
     ("0123456789abcdef", 1.5),
     ("0123456789ABCDEF", 1.5),
     ("abcdefghijklmnopqrstuvwxyz", 1.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.0),
-    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
+    ("0123456789abcdefghijklmnopqrstuvwxyz", 1.4),
+    ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.4),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.5),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.5),
 )
 _SYMBOLS = [frozenset(symbols) for symbols, _ in ALPHABETS]
-#: Under the null, the share of neighbours of different kind, and the correlation of neighbours.
-TEXT_CHANGES = 0.2
+#: Under the null, changes of class as a part of those among random symbols of the alphabet, and the correlation of neighbours.
+TEXT_CHANGES = 0.3
 #: Share of neighbours of which one is a vowel, in text; letters of one case are tested by these.
 TEXT_VOWEL_CHANGES = 0.6
 VOWELS = frozenset("aeiouAEIOU")
@@ -87,22 +94,34 @@ def _kind(char: str) -> int:
     return 0 if char.isdigit() else 1 if char.islower() else 2 if char.isupper() else 3
 
 
+def _class_of(symbols: str) -> dict[str, int]:
+    """What the runs test tells apart in an alphabet."""
+    if symbols.isdigit():
+        return {c: c >= "5" for c in symbols}
+    if symbols.isalpha() and (symbols.islower() or symbols.isupper()):
+        return {c: c in VOWELS for c in symbols}
+    return {c: _kind(c) for c in symbols}
+
+
+_CLASS_OF = [_class_of(symbols) for symbols, _ in ALPHABETS]
+#: Share of neighbours of different class among random symbols.
+_CHANGES = [1 - sum(k * k for k in Counter(kinds.values()).values()) / len(kinds) ** 2 for kinds in _CLASS_OF]
+
+
 def randomness(run: str) -> float:
-    """p-value of the battery for one run; 1 where no alphabet holds it, or digits only."""
-    kinds = [_kind(c) for c in run]
-    letters = len(set(kinds)) == 1 and kinds[0] in (1, 2)
-    if len(set(kinds)) < 2 and not letters:
-        return 1.0
+    """p-value of the battery for one run; 1 where no alphabet holds it."""
     held = set(run)
-    fitting = next(((symbols, text) for symbols, text in ALPHABETS if held <= set(symbols)), None)
-    if fitting is None:
+    number = next((i for i, symbols in enumerate(_SYMBOLS) if held <= symbols), None)
+    if number is None:
         return 1.0
-    symbols, text = fitting
+    symbols, text = ALPHABETS[number]
     n, size = len(run), len(symbols)
-    if letters:
-        kinds = [c in VOWELS for c in run]
+    kinds = [_CLASS_OF[number][c] for c in run]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    p_runs = _at_least(n - 1 - changes, n - 1, 1 - TEXT_VOWEL_CHANGES) if letters else _at_least(changes, n - 1, TEXT_CHANGES)
+    if size == 26:
+        p_runs = _at_least(n - 1 - changes, n - 1, 1 - TEXT_VOWEL_CHANGES)
+    else:
+        p_runs = _at_least(changes, n - 1, TEXT_CHANGES * _CHANGES[number])
     if p_runs > 0.5:
         return 1.0
     expected = n / size
@@ -153,8 +172,10 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
             step = min(LAST_STEP, int(math.floor(-math.log10(max(p, 1e-300)) * STEPS)))
             tested.append((a + start, a + stop, _class(stop - start), step))
     spans.sort(key=lambda s: (s[1], s[0]))
-    free = [c for c in tested if not any(a < c[1] and c[0] < b for _, a, b in spans)]
-    return spans, free
+    starts, farthest = [a for _, a, _ in spans], list(accumulate((b for _, _, b in spans), max))
+    # The farthest end of the spans that begin before a run ends decides whether one touches it.
+    before = [bisect_left(starts, c[1]) for c in tested]
+    return spans, [c for c, k in zip(tested, before) if not k or farthest[k - 1] <= c[0]]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +224,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `base` holds the pattern spans, `spans` these and the runs found random. One
     row per row; a NULL or empty text has none. Pattern kinds may overlap each
     other; a run that touches a pattern span is not tested. Rows repeated under
-    one id each get a row and each count in the discovery control.
+    one id each get a row and each count in the discovery control. Texts of any
+    length are scanned whole, in time that grows with their length; an empty
+    table gives no rows and other columns are ignored.
     """
     scanned = stage(scan(docs, id_col, text_col), "scanned")
     least = F.array(*[F.lit(step) for step in discovery_steps(scanned, share)])

@@ -98,3 +98,44 @@ def test_keys_behind_paths_and_in_one_case_are_found(docs_of):
         assert sum(secrets.randomness("".join(draw.choice(letters) for _ in range(96))) < 1e-3 for _ in range(100)) > 80
     for word in ("internationalisation", "donaudampfschifffahrtsgesellschaft", "ELECTROENCEPHALOGRAPHICALLY", "anticonstitutionnellement"):
         assert secrets.randomness(word) > 1e-2, word
+
+
+ENCODINGS = {
+    "base64": string.ascii_letters + string.digits + "+/", "base16": "0123456789abcdef", "base36": string.ascii_lowercase + string.digits,
+    "base32": string.ascii_uppercase + "234567", "digits": string.digits, "one case": string.ascii_lowercase,
+}
+#: Least share of keys found by length where the false share is controlled at one percent; shorter keys are often missed.
+POWER = {("base64", 32): 0.85, ("base16", 31): 0.7, ("base36", 40): 0.75, ("base36", 64): 0.95, ("base32", 64): 0.85, ("digits", 48): 0.85, ("one case", 64): 0.85}
+
+
+def test_power_by_encoding_and_length(docs_of, spark, sf_dir):
+    """Keys planted one to a document among the given documents."""
+    draw = random.Random(31)
+    given = [(r["doc_id"], r["text"], "en", "s") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    planted = [(10_000 + i, f"see {''.join(draw.choice(ENCODINGS[kind[0]]) for _ in range(kind[1]))} there", kind) for i, kind in enumerate(list(POWER) * 80)]
+    docs = docs_of(given + [(i, text, "en", "s") for i, text, _ in planted])
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    found = {kind: sum(bool(got[i]) for i, _, k in planted if k == kind) / 80 for kind in POWER}  # digits of 32 or more are hex, too
+    assert [kind for kind, least in POWER.items() if found[kind] < least] == []
+    assert sum(s["kind"] == 3 for i, *_ in given for s in got[i]) == 0
+
+
+def test_many_spans_in_one_text_take_even_time():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"password=abcdefgh1 {'x1Y' * 8}" for _ in range(n))
+        start = time.perf_counter()
+        spans, free = secrets.scan_text(text)
+        assert len(spans) == len(free) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 40 * seconds(1_000) + 1
+
+
+def test_runs_that_touch_a_pattern_are_not_tested():
+    """Also one that only reaches into an earlier, longer span."""
+    key = "aB3xY9kQ2mN7pL5vR8tW1zC4"
+    spans, free = secrets.scan_text(f"token=/{key}/x {key} AKIA{'A' * 12}")
+    assert [s[0] for s in spans] == [0, 1] and [(a, b) for a, b, *_ in free] == [(10 + len(key), 10 + 2 * len(key))]
