@@ -62,10 +62,14 @@ _NUMBERS = "CASE WHEN lo IS NOT NULL THEN n ELSE 0 END"
 _HITS = f"CASE WHEN lo IS NOT NULL THEN filter(wanted, r -> r >= upto - {_NUMBERS} AND r < upto) ELSE slice(wanted, 1, 0) END AS hits"
 
 
-def _stage_pass(cells: DataFrame) -> tuple[DataFrame, int]:
-    """The cells written, and how many are still open; the count rides on the write."""
+_SETTLED = "flatten(collect_list(CASE WHEN lo = hi THEN transform(hits, r -> struct(r, lo)) END)) AS settled"
+_STILL = "collect_list(CASE WHEN size(hits) > 0 AND lo < hi THEN struct(lo, hi, below, hits) END) AS open"
+
+
+def _stage_pass(groups: DataFrame) -> tuple[DataFrame, int]:
+    """The groups with their settled ranks and open cells, written, and how many cells are open; the count rides on the write."""
     seen = Observation()
-    held = stage(cells.observe(seen, F.expr("count_if(size(hits) > 0 AND lo < hi) AS open")), "cells")
+    held = stage(groups.observe(seen, F.expr("coalesce(sum(size(open)), 0) AS open")), "cells")
     return held, seen.get["open"]
 
 
@@ -80,21 +84,20 @@ def summarise(df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Ra
     whole = _over(keys)
     cells = _counted(long, keys, _RATIO, *([F.expr("avg(v) AS m"), F.expr("var_pop(v) AS s")] if moments else []))
     counts = [f"sum(n) {whole} AS rows_n", f"sum({_NUMBERS}) {whole} AS numbers_n", f"sum({_NUMBERS}) {_over(keys, 'CURRENT ROW')} AS upto"]
-    # A group without numbers keeps its first cell.
-    placed = cells.selectExpr("*", *counts, f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY lo) = 1 AS first")
-    facts = ["rows_n", "numbers_n"]
+    placed = cells.selectExpr("*", *counts)
+    facts = {"rows_n": "rows", "numbers_n": "n"}
     if moments:
-        facts += ["mean", "squares"]
+        facts |= {"mean": "mean", "squares": "squares"}
         placed = placed.selectExpr("*", f"sum({_NUMBERS} * m) {whole} / nullif(numbers_n, 0) AS mean")
         placed = placed.selectExpr("*", f"sum({_NUMBERS} * (s + (m - mean) * (m - mean))) {whole} AS squares")
-    found = placed.selectExpr(*keys, *facts, "lo", "hi", "n", "first", "upto", f"{ranks} AS wanted").selectExpr(
-        *keys, *facts, "first", "lo", "hi", f"upto - {_NUMBERS} AS below", _HITS
-    )
-    now, still = _stage_pass(found.where("first OR size(hits) > 0"))
-    passes = [now]
+    found = placed.selectExpr("*", f"{ranks} AS wanted").selectExpr(*keys, *facts, "lo", "hi", f"upto - {_NUMBERS} AS below", _HITS)
+    # The cells of a group lie together already, so this adds no shuffle.
+    now, still = _stage_pass(found.groupBy(*keys).agg(*[F.expr(f"max({f}) AS {name}") for f, name in facts.items()], F.expr(_SETTLED), F.expr(_STILL)))
+    names = list(facts.values())
+    passes = [now.select(*keys, *names, "settled")]
     while still:
-        spans = now.where("size(hits) > 0 AND lo < hi").selectExpr(
-            *[f"{k} AS k_{k}" for k in keys], "lo AS low", "hi AS high", "below AS under", "hits AS sought"
+        spans = now.selectExpr(*[f"{k} AS k_{k}" for k in keys], "inline(open)").selectExpr(
+            *[f"k_{k}" for k in keys], "lo AS low", "hi AS high", "below AS under", "hits AS sought"
         )
         same = " AND ".join(f"{k} <=> k_{k}" for k in keys)
         # No hint: the open cells are few and their written size decides. A row lies in one of them at most.
@@ -103,14 +106,12 @@ def summarise(df: DataFrame, values: Sequence[str], by: Sequence[str], ranks: Ra
         found = finer.selectExpr("*", f"under + sum({_NUMBERS}) {_over([*keys, 'under'], 'CURRENT ROW')} AS upto").selectExpr(
             *keys, "lo", "hi", f"upto - {_NUMBERS} AS below", _HITS
         )
-        now, still = _stage_pass(found.where("size(hits) > 0"))
-        passes.append(now)
+        now, still = _stage_pass(found.groupBy(*keys).agg(F.expr(_SETTLED), F.expr(_STILL)))
+        passes.append(now.select(*keys, "settled"))
+    if len(passes) == 1:
+        return passes[0].selectExpr(*keys, *names, "map_from_entries(settled) AS at")
     each = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), passes)
-    names = {"rows_n": "rows", "numbers_n": "n"}
-    settled = "flatten(collect_list(CASE WHEN lo = hi THEN transform(hits, r -> struct(r, lo)) END))"
-    return each.groupBy(*keys).agg(
-        *[F.expr(f"max({f}) AS {names.get(f, f)}") for f in facts], F.expr(f"map_from_entries({settled}) AS at")
-    )
+    return each.groupBy(*keys).agg(*[F.expr(f"max({f}) AS {f}") for f in names], F.expr("map_from_entries(flatten(collect_list(settled))) AS at"))
 
 
 def around(probs: Sequence[float]) -> Ranks:

@@ -41,9 +41,12 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name, most", [("zscore_peer", 9), ("ranked_alerts", 25), ("k_sweep", 30)])
+@pytest.mark.parametrize("name, most", [("zscore_peer", 14), ("ranked_alerts", 34), ("k_sweep", 30)])
 def test_queries_take_few_jobs(spark, sf_dir, name, most):
-    """From the raw table; adaptive execution counts every shuffle as a job."""
+    """From the raw table; adaptive execution counts every shuffle as a job.
+
+    A pass of quantiles is two shuffles and a write, as its cells stay a table; gathered on the driver it was one job less each time.
+    """
     with run_folder(spark):
         spark.sparkContext.setJobGroup(f"count-{name}", name)
         try:
