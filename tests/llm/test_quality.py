@@ -69,3 +69,58 @@ def test_without_examples(docs_of, spark):
 def test_fold_is_the_crc_of_the_id(spark):
     got = spark.range(50).select("id", quality.fold(F.col("id")).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in got)
+
+
+def plain_ftrl(examples, slots, epochs):
+    """FTRL-proximal as published, one coordinate at a time on plain numbers."""
+    import math
+
+    z, n = [0.0] * slots, [0.0] * slots
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * quality.L1) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for at, values, label in examples:
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, values))))
+            for i, v in zip(at, values):
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(slots)]
+
+
+def test_weights_and_scores_equal_a_plain_form(docs_of, spark, monkeypatch):
+    """One learner over a small table: the same weights and scores as by hand, from text to score."""
+    import math
+
+    import numpy as np
+
+    slots, rows = 512, [r for r in made(60)] + [(100, "", "en", "s"), (101, None, "en", "s")]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels, learners=1, slots=slots)
+
+    def plain_example(text):
+        counts = {}
+        found = quality.grams(text or "", quality._Slots(), slots).tolist()
+        for slot in found:
+            counts[slot] = counts.get(slot, 0) + 1
+        at = [0, *sorted(counts)]
+        return at, [1.0] + [float(np.float32(counts[i] / math.sqrt(len(found)))) for i in at[1:]]
+
+    # Spark's hash of a long, to deal the rows in the operator's order.
+    order = {r["k"]: r["h"] for r in spark.createDataFrame([(i,) for i, *_ in rows], "k bigint").select("k", F.xxhash64("k").alias("h")).collect()}
+    taught = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1), key=lambda r: order[r[0]])
+    weights = plain_ftrl([(*plain_example(t), i % 2) for i, t, *_ in taught], slots, quality.EPOCHS)
+    np.testing.assert_allclose(model.weights, weights, rtol=1e-9, atol=1e-12)
+    got = {r["doc_id"]: r["score"] for r in model.scores(docs).collect()}
+    for i, text, *_ in rows:
+        at, values = plain_example(text)
+        margin = sum(weights[a] * v for a, v in zip(at, values))
+        assert abs(got[i] - 1 / (1 + math.exp(-margin))) < 1e-6
