@@ -181,7 +181,9 @@ def turn_records(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     Ties of a turn number fall in order of role and text; repeated rows are
     repeated turns. The rows of a conversation meet in one row, as the formatted
-    text that is made of them must.
+    text that is made of them must, so a conversation has to fit in memory; texts
+    of any length are kept whole. Needs the columns turn, role and text; others are
+    ignored. An empty table gives no records.
     """
     held = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     grouped = rows.select(F.col(id_col).alias("id"), "turn", "role", "text").groupBy("id").agg(held.alias("held"))

@@ -174,7 +174,9 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest k found in a staged index, by Euclidean distance.
 
-    A row under the query's own id is no candidate. Ties go to the smaller id.
+    A row under the query's own id is no candidate. Ties go to the smaller id; rows
+    repeated under another id are candidates each, so an id can fill several ranks.
+    Other columns are ignored; an empty table gives no rows.
     Queries without a valid vector or id get no rows; of several query rows under
     one id one is asked. `kind` is the component type the index was built from.
     """

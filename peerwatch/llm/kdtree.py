@@ -188,8 +188,9 @@ def kd_shards(
     The size is the text's UTF-8 bytes plus 8. Give the number of shards, or the
     bytes of one. Shards are near equal in size; a single document cannot be cut.
     Slots number a shard's rows from 0 without gaps. NULL texts are empty, NULL
-    metadata counts as 0 or as an empty name; repeated rows share a shard. An
-    empty table gives no rows.
+    metadata counts as 0 or as an empty name; repeated rows share a shard. Very
+    long texts are one row of their size. An empty table gives no rows; other
+    columns are ignored.
     """
     dims = document_dims(text_col) if dims is None else dims
     rows = stage(_metadata(docs, id_col, text_col, dims), "metadata")

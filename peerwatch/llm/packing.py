@@ -257,7 +257,9 @@ def pack(staged: DataFrame, window: int = WINDOW) -> DataFrame:
     """Staged pieces, without (part, nth), with their (sequence_id, offset).
 
     Offsets are gapless from 0 in every sequence. Needs the columns length, part
-    and nth of `pieces`; others pass through. No rows give no rows.
+    and nth of `pieces`; others pass through, but for rank, base, sequence_id and
+    offset, which may not be there. Documents repeated under one id are packed
+    each; texts of any length are cut whole. No rows give no rows.
     """
     counts = stage(staged.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = np.zeros(window + 1, np.int64)

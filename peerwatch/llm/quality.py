@@ -111,7 +111,11 @@ class Quality:
             yield batch, np.fromiter((self.score_text(t.as_py() or "", known) for t in texts), float, len(texts))
 
     def scores(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, score), one row per row. A NULL or empty text gets the score of the constant."""
+        """(doc_id, score), one row per row. A NULL or empty text gets the score of the constant.
+
+        Rows without an id or repeated under one get their own row; very long
+        texts count whole; other columns are ignored.
+        """
         ship()
 
         def run(batches):
@@ -147,7 +151,8 @@ def fit(
 
     The sample bounds the chosen ids, so they may be broadcast to the scan of the
     texts. Labels without a document, NULL labels and NULL ids teach nothing;
-    several labels of one id count by their largest. Without any example all weights are zero and
+    several labels of one id count by their largest; several
+    documents under one labelled id all teach (the bound is on ids). Without any example all weights are zero and
     every score is 0.5. Only texts and labels enter the model.
     """
     ship()

@@ -90,3 +90,11 @@ def test_segments_make_the_text(spark, turns):
 def test_main_path_runs_no_python(spark, sf_dir):
     plan = chat.op8_chat_format(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_records_of_an_empty_table_and_other_columns(spark):
+    rows = [(1, 0, "user", "x" * 300_000, "note"), (1, 1, "assistant", None, "note")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, held string")
+    got = chat.turn_records(df).collect()
+    assert [[(t["role"], len(t["text"] or "")) for t in r["turns"]] for r in got] == [[("user", 300_000), ("assistant", 0)]]
+    assert chat.turn_records(df.limit(0)).collect() == []

@@ -102,3 +102,13 @@ def test_one_chunk_is_held_at_a_time(spark, clusters, monkeypatch):
     got = found(spark, clusters, queries, chunk=5)
     assert len(got) == len(queries) and sum(events[::2]) == len(queries)
     assert len(events) >= 8 and set(events[1::2]) == {"gone"}
+
+
+def test_candidates_repeated_under_one_id_fill_ranks(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (1, [1.0, 0.2], 3), (2, [0.0, 1.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    index = forest.stage(forest.build_index(df), "index")
+    got = forest.search(index, df.where("vec_id = 0"), "double", k=3).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 1), (3, 2)]
+    none = forest.stage(forest.build_index(df.limit(0)), "index")
+    assert forest.search(none, df.limit(0), "double").collect() == []
