@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 import peerwatch
 from peerwatch import labels
 from peerwatch.functions import columns as C
-from peerwatch.functions.columns import fold32_int, uniform
+from peerwatch.functions.columns import fold32_array, fold32_int, uniform
 from peerwatch.functions.special import average_path
 from peerwatch.operators.quantiles import quantile_values
 from peerwatch.sources.staging import stage
@@ -82,10 +82,19 @@ def ship() -> None:
 
 def draw_places(tree: int, psi: int, total: int, seed: int) -> list[int]:
     """psi distinct places among `total` rows (Floyd's sampling; the choices are hashes)."""
+    return _floyd([fold32_int(tree, i, seed, 3) for i in range(psi)], total)
+
+
+def draw_all(trees: int, psi: int, total: int, seed: int) -> np.ndarray:
+    """The places of every tree, a row each."""
+    hashes = np.array([fold32_array(np.arange(trees), i, seed, 3) for i in range(psi)]).T
+    return np.array([_floyd(row, total) for row in hashes.tolist()])
+
+
+def _floyd(choices: list[int], total: int) -> list[int]:
     places: set[int] = set()
-    for i in range(psi):
-        last = total - psi + i
-        place = fold32_int(tree, i, seed, 3) % (last + 1)
+    for last, choice in enumerate(choices, total - len(choices)):
+        place = choice % (last + 1)
         places.add(last if place in places else place)
     return sorted(places)
 
@@ -105,15 +114,17 @@ def _census(hashed: DataFrame, columns) -> tuple[list[tuple[int, int]], dict[str
     rows = hashed.groupBy(_bucket(BUCKET_BITS).alias("_bucket")).agg(
         F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("count", F.count), ("mean", F.avg), ("spread", F.var_pop))],
-    ).collect()
+    ).toArrow()
     scale = {}
     for c in columns:
-        parts = [(r[f"{c}_count"], r[f"{c}_mean"], r[f"{c}_spread"]) for r in rows if r[f"{c}_count"]]
-        n = sum(k for k, _, _ in parts)
-        mean = sum(k * m for k, m, _ in parts) / n if n else 0.0
-        spread = sum(k * (s + (m - mean) * (m - mean)) for k, m, s in parts) / n if n else 0.0
+        k = rows[f"{c}_count"].to_numpy()
+        has = k > 0
+        k, m, s = k[has], rows[f"{c}_mean"].to_numpy()[has].astype(float), rows[f"{c}_spread"].to_numpy()[has].astype(float)
+        n = int(k.sum())
+        mean = float((k * m).sum()) / n if n else 0.0
+        spread = float((k * (s + (m - mean) * (m - mean))).sum()) / n if n else 0.0
         scale[c] = mean, math.sqrt(spread) or 1.0
-    return sorted((r["_bucket"], r["n"]) for r in rows if r["_bucket"] is not None), scale
+    return sorted((b, n) for b, n in zip(rows["_bucket"].to_pylist(), rows["n"].to_pylist()) if b is not None), scale
 
 
 @dataclass
@@ -163,7 +174,7 @@ def training_rows(
         raise ValueError("no rows to fit on")
     total = int(ends[-1])
     psi = min(psi, total)
-    places = np.array([draw_places(tree, psi, total, seed) for tree in range(trees)])
+    places = draw_all(trees, psi, total, seed)
     distinct, back = np.unique(places, return_inverse=True)
     at = np.searchsorted(ends, distinct, side="right")
     drawn = _Drawn(BUCKET_BITS, np.array([b for b, _ in counts], dtype=np.int64)[at], distinct - (ends - n)[at], n[at])

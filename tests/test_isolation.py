@@ -140,6 +140,11 @@ def test_places_are_even_over_all_rows():
     assert abs(counts - 2000).max() < 200
 
 
+def test_all_trees_draw_as_each_does():
+    every = isolation.draw_all(7, 20, 500, 42)
+    assert every.tolist() == [isolation.draw_places(tree, 20, 500, 42) for tree in range(7)]
+
+
 def test_rows_without_a_key_are_not_drawn(spark):
     df = frame(spark, 30, outlier=False)
     df = df.unionByName(df.limit(5).withColumns({"month": F.lit(None).cast("date"), "rate": F.lit(9.0)}))
