@@ -1,14 +1,17 @@
 """Packing tokenised documents into windows of fixed length by non-negative least squares.
 
-A document is cut into full windows and one rest shorter than a window. All
-that decides the packing is the histogram of rest lengths, `window` numbers
-whatever the data: combinations of two and three lengths that fill a window
-exactly are enumerated, their repeat counts solved against the histogram by
-non-negative least squares, rounded down and held to what is there, and the
-residual is packed greedily, again by counts. The plan is a list of
-(combination, repeats). Each rest then finds its place from its rank among the
-rests of its length, a rank made of per-task counts: no window over a length,
-however common, and no group in one task.
+A document is cut into full windows and one rest shorter than a window. A task
+takes its pieces in groups of bounded number and bytes. All that decides a
+group's packing is the histogram of its lengths, `window` numbers: combinations
+of two and three lengths that fill a window exactly are enumerated, their repeat
+counts solved against the histogram by non-negative least squares, rounded down
+and held to what is there, and the residual is packed greedily, again by counts.
+Each piece then finds its place from its rank among the pieces of its length.
+
+Only full sequences are closed there. The pieces of the others, few of a large
+group, are dealt evenly over a second round of groups and packed the same way.
+So nothing but these few crosses a shuffle, nothing is sent to all tasks, and
+nothing that grows with the data reaches the driver or one task.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peerwatch.llm.common import ship, table
+from peerwatch.llm.common import fresh, ship, table
 from peerwatch.sources.staging import stage
 
 WINDOW = 1024
@@ -36,7 +39,14 @@ REMEMBERED = 300_000
 BATCH_BYTES = 16 << 20
 #: A stretch longer than this goes to the tokenizer whose time grows evenly with length.
 LONG = 400
-SWEEPS = 8
+#: Pieces that a task packs together, and bytes of a task's columns that it holds at most, but for one batch.
+GROUP = 1 << 15
+GROUP_BYTES = 64 << 20
+#: Repeat counts are settled when none would move by this much, or by a thousandth of the largest count of a length;
+#: they are rounded down to whole ones, and what they leave is packed greedily.
+SETTLED = 0.5
+#: Combinations whose steps are looked at together.
+STRIDE = 256
 
 #: White space other than the space and the line feed, by Unicode.
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -103,17 +113,14 @@ def pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID,
     vocabulary: str | None = None, ranks: str | None = None,
 ) -> DataFrame:
-    """Documents tokenised, ended by `end_id` and cut: (doc_id, start, length, ids, doc_tokens, part, nth).
+    """Documents tokenised, ended by `end_id` and cut: (doc_id, start, length, ids, doc_tokens).
 
-    `nth` counts the pieces of one length within the task `part`. A NULL or
-    empty text is the end id alone. Stage the result before it is read twice.
+    A NULL or empty text is the end id alone. Stage the result before it is read twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary, ranks)
         end = array("I", [end_id]).tobytes()
-        counts = [0] * (window + 1)
-        part = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -122,60 +129,59 @@ def pieces(
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     cut = ids[4 * start : 4 * (start + window)]
-                    size = len(cut) // 4
-                    rows.append((at, start, size, cut, total, counts[size]))
-                    counts[size] += 1
+                    rows.append((at, start, len(cut) // 4, cut, total))
                 held += len(ids)
                 if held >= BATCH_BYTES:
-                    yield pack(batch.column(0), rows, part)
+                    yield pack(batch.column(0), rows)
                     rows, held = [], 0
             if rows:
-                yield pack(batch.column(0), rows, part)
+                yield pack(batch.column(0), rows)
 
-    def pack(ids: pa.Array, rows: list[tuple], part: int) -> pa.RecordBatch:
-        at, start, size, cut, total, nth = zip(*rows)
+    def pack(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, start, size, cut, total = zip(*rows)
         columns = [
             ids.take(pa.array(at)), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(cut, pa.binary()),
-            pa.array(total, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(nth, pa.int64()),
+            pa.array(total, pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     ship()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, part int, nth bigint"
+    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint"
     return rows.mapInArrow(run, schema)
 
 
-def fit_repeats(histogram: np.ndarray, combinations: list[tuple[int, ...]], sweeps: int = SWEEPS) -> np.ndarray:
+def fit_repeats(histogram: np.ndarray, combinations: list[tuple[int, ...]], settled: float = SETTLED) -> np.ndarray:
     """Repeat counts x >= 0 that bring the combinations' lengths nearest to the histogram, in least squares.
 
     Coordinate descent: each step is the exact minimum along one combination,
-    held at zero; `sweeps` rounds over all of them.
+    held at zero, and is taken if it moves the count by `settled` or more. It ends
+    when no step does; each one lowers the squared distance by at least
+    2 * settled**2, so it always ends.
     """
-    left = histogram.astype(float).tolist()
-    x = [0.0] * len(combinations)
-    weights = []
-    for lengths in combinations:
-        times: dict[int, int] = {}
-        for length in lengths:
-            times[length] = times.get(length, 0) + 1
-        weights.append((list(times.items()), sum(n * n for n in times.values())))
-    for _ in range(sweeps):
-        moved = 0.0
-        for i, (times, norm) in enumerate(weights):
-            step = 0.0
-            for length, n in times:
-                step += n * left[length]
-            step = max(-x[i], step / norm)
-            if step:
-                x[i] += step
-                moved = max(moved, abs(step))
-                for length, n in times:
-                    left[length] -= n * step
-        if moved < 0.5:
-            break
-    return np.array(x)
+    x = np.zeros(len(combinations))
+    if not combinations:
+        return x
+    left = histogram.astype(float)  # nothing has length 0, which fills up shorter combinations below
+    deepest = max(map(len, combinations))
+    members = np.array([c + (0,) * (deepest - len(c)) for c in combinations])
+    norms = np.array([sum(c.count(length) for length in c) for c in combinations], float)
+    moved = True
+    while moved:
+        moved = False
+        for at in range(0, len(x), STRIDE):
+            near = slice(at, at + STRIDE)
+            steps = np.maximum(left[members[near]].sum(axis=1) / norms[near], -x[near])
+            for i in (at + np.nonzero(np.abs(steps) >= settled)[0]).tolist():
+                lengths = combinations[i]
+                step = max(-x[i], sum(left[length] for length in lengths) / norms[i])
+                if abs(step) >= settled:
+                    moved = True
+                    x[i] += step
+                    for length in lengths:
+                        left[length] -= step
+    return x
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -207,8 +213,9 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, .
 
     take((window,), int(left[window])) if left[window] else None
     options = combinations(left, window)
-    for lengths, times in zip(options, np.floor(fit_repeats(left, options) + 1e-6)):
-        take(lengths, int(times))
+    repeats = np.floor(fit_repeats(left, options, max(SETTLED, left.max() / 1000)) + 1e-6).astype(np.int64)
+    for i in np.nonzero(repeats)[0].tolist():
+        take(options[i], int(repeats[i]))
     while left.any():
         free, lengths, rest = window, [], left.copy()
         while free:
@@ -253,49 +260,86 @@ class Places:
         return self.first[run] + past // each, self.offsets[self.at[run] + past % each]
 
 
-def pack(staged: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Staged pieces, without (part, nth), with their (sequence_id, offset).
+def assign(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence number, offset, and whether the sequence is full, of every piece of a group."""
+    histogram = np.bincount(lengths, minlength=window + 1)
+    order = np.argsort(lengths, kind="stable")
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths)) - (np.cumsum(histogram) - histogram)[lengths[order]]
+    sequence, offset = Places(plan(histogram, window), window)(lengths, rank)
+    return sequence, offset, np.bincount(sequence, lengths)[sequence] == window
 
-    Offsets are gapless from 0 in every sequence. Needs the columns length, part
-    and nth of `pieces`; others pass through, but for rank, base, sequence_id and
-    offset, which may not be there. Documents repeated under one id are packed
-    each; texts of any length are cut whole. No rows give no rows.
+
+def _place(pieces: DataFrame, window: int, last: bool, mark: str) -> DataFrame:
+    """Pieces with sequence_id, offset and, in `mark`, whether their sequence stays open; in the last round none does.
+
+    A task's sequence ids are its own: its number, the sequence's number within it, and the round.
     """
-    counts = stage(staged.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = np.zeros(window + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
-        histogram[row["length"]] = row["n"]
-    places = Places(plan(histogram, window), window)
-    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stage(counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
-
-    names = [c for c in staged.columns if c not in ("part", "nth")]
-    ranked = staged.join(bases, ["length", "part"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
+    names = pieces.columns
     at = names.index("length")
 
+    def settle(held: list[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+        lengths = np.concatenate([b.column(at).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+        sequence, offset, full = assign(lengths, window)
+        unsettled = pa.array(np.zeros(len(full), bool) if last else ~full)
+        ids = pa.array((first + sequence) << 1 | last)
+        begin = 0
+        for batch in held:
+            end = begin + len(batch)
+            columns = [*batch.columns, *(c.slice(begin, len(batch)) for c in (ids, pa.array(offset), unsettled))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset", mark])
+            begin = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 34
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
         for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (at, len(names)))
-            sequence, offset = places(length.astype(np.int64), rank.astype(np.int64))
-            columns = [*batch.columns[:-1], pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
+            if len(batch):
+                held.append(batch)
+                rows += len(batch)
+                size += batch.nbytes
+            if held and not last and (rows >= GROUP or size >= GROUP_BYTES):
+                yield from settle(held, first)
+                first += rows  # more than the sequences made of them
+                held, rows, size = [], 0, 0
+        if held:
+            yield from settle(held, first)
 
     ship()
-    schema = ranked.drop("rank").schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
-    return ranked.mapInArrow(run, schema)
+    schema = T.StructType([*pieces.schema.fields])
+    for name, kind in (("sequence_id", T.LongType()), ("offset", T.LongType()), (mark, T.BooleanType())):
+        schema = schema.add(name, kind)
+    return pieces.mapInArrow(run, schema)
+
+
+def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Pieces with their (sequence_id, offset), written in the shared folder and read back.
+
+    Offsets are gapless from 0 in every sequence; sequence ids are unique, not
+    gapless. Needs the column length, from 1 to `window`, as `pieces` gives it;
+    others pass through, but for sequence_id and offset, which may not be there.
+    Documents repeated under one id are packed each; texts of any length are cut
+    whole. No rows give no rows.
+    """
+    mark = fresh([*pieces.columns, "sequence_id", "offset"], "open")
+    first = stage(_place(pieces, window, False, mark), "first", by=[mark])
+    names = [*pieces.columns, "sequence_id", "offset"]
+    left = first.where(F.col(mark)).select(*pieces.columns)
+    groups = max(1, -(-left.count() // GROUP))
+    second = stage(_place(left.repartition(groups), window, True, mark), "second")  # dealt evenly: no key, no hot group
+    return first.where(~F.col(mark)).select(*names).unionByName(second.select(*names))
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     """The packed pieces with their ids: (doc_id, start, length, ids, doc_tokens, sequence_id, offset)."""
-    return pack(stage(pieces(docs, window=window, **how), "pieces"), window)
+    return pack(pieces(docs, window=window, **how), window)
 
 
 def pack_digests(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     """As `pack_documents`, with the CRC-32 of a piece's ids in place of the ids."""
     cut = pieces(docs, window=window, **how).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(stage(cut, "pieces"), window).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
-    )
+    return pack(cut, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_pack_nnls(spark, sf_dir: str) -> DataFrame:

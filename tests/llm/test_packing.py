@@ -62,6 +62,29 @@ def test_documents_packed(docs_of, reference):
     assert held(got, ids_of, 1024) < 0.02
 
 
+def test_small_groups_meet_again(docs_of, reference, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    draw = np.random.default_rng(5)
+    rows = [(i, "word " * int(n), "en", "s") for i, n in enumerate(draw.integers(0, 1500, 600))]
+    rows += [(1000 + i, "the hot one " * 100, "en", "s") for i in range(300)]
+    ids_of = {i: [*reference.encode(t, add_special_tokens=False).ids, 0] for i, t, _, _ in rows}
+    got = packing.pack_digests(docs_of(rows).repartition(7))
+    assert held(got.collect(), ids_of, 1024) < 0.08
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_only_open_sequences_are_shuffled(spark, monkeypatch):
+    lengths = [3, 5] * 200 + [7, 7, 6]
+    table = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "nth int, length bigint, open string").coalesce(1)
+    dealt = []
+    place = packing._place
+    monkeypatch.setattr(packing, "_place", lambda pieces, *how: dealt.append(pieces.count()) or place(pieces, *how))
+    got = packing.pack(table, 8).collect()
+    assert dealt == [403, 3] and {r["open"] for r in got} == {"x"}
+    assert sorted(r["nth"] for r in got) == list(range(403)) and len({r["sequence_id"] for r in got}) == 203
+
+
 def test_ids_come_with_the_pieces(docs_of, reference):
     got = packing.pack_documents(docs_of([(1, "one two", "en", "s"), (None, "three", "en", "s"), (1, "one two", "en", "s")])).collect()
     assert sorted((r["doc_id"] or 0, tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == sorted(
@@ -98,7 +121,21 @@ def test_plan_takes_every_piece_once(seed):
 def test_repeats_solve_least_squares():
     options = [(3, 1), (2, 2), (2, 1, 1)]
     histogram = np.array([0, 50_000, 40_000, 30_000, 0])
-    x = packing.fit_repeats(histogram, options, sweeps=500)
+    x = packing.fit_repeats(histogram, options)
     a = np.array([[1, 0, 2], [0, 2, 1], [1, 0, 0]], float)
     gradient = a.T @ (a @ x - histogram[1:4])
     assert (x >= 0).all() and (np.abs(gradient[x > 1e-9]) < 10).all() and (gradient[x <= 1e-9] > -10).all()
+
+
+def test_repeats_settle_with_a_hot_length():
+    draw = np.random.default_rng(1)
+    histogram = np.bincount(np.where(np.arange(9000) % 3, draw.integers(1, 256, 9000), 180), minlength=257)
+    options = packing.combinations(histogram, 256)
+    x = packing.fit_repeats(histogram, options)
+    left = histogram.astype(float)
+    for c, n in zip(options, x):
+        for length in c:
+            left[length] -= n
+    steps = [max(-n, sum(left[length] for length in c) / sum(c.count(length) for length in c)) for c, n in zip(options, x)]
+    assert (x >= 0).all() and max(map(abs, steps)) < 0.5 + 1e-6
+    assert packing.fit_repeats(histogram, []).tolist() == []
