@@ -7,11 +7,20 @@ then all trees ascend together, one bit at a time, until the slices hold enough
 candidates, whose distances are computed exactly.
 
 The index is a table of blocks: a bounded number of vectors with the sorted
-arrays of all trees. Queries are taken in bounded chunks, one after the other; a
-chunk is broadcast, meets every block once, and a block answers with its nearest
-k, so what is merged per query is k rows per block. The chunk's answers are
-written and its broadcast is destroyed before the next chunk is read. Each block contributes candidates of its
-own, so neither a dense region nor near-copies of one vector crowd a task.
+arrays of all trees. The array of a tree is the union of its blocks' arrays, so
+the entries under a prefix are the sum of the blocks' slices: one pass counts
+them for every prefix length, the ascent ends at these sums over the whole
+table, and a second pass lets the blocks that a query's prefix reaches answer
+with their nearest k. Neither a dense region nor near-copies of one vector crowd
+a task, and a prefix that singles out few vectors costs a block without them
+nothing but its look-ups.
+
+How many entries are enough is measured: for a bounded sample of the queries the
+true neighbours are found by brute force, and the least number of entries at
+which the forest holds `TARGET` of them is wanted for all queries.
+
+Queries are taken in bounded chunks, one after the other. The chunk's answers are
+written and its broadcast is destroyed before the next chunk is read.
 """
 
 from __future__ import annotations
@@ -32,8 +41,10 @@ SEED = 42
 #: Vectors of a block at most, and their bytes.
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
-#: Share of a block, and number of vectors at least, that a query's slices must hold together (repeats counted).
-SHARE, LEAST = 1.2, 256
+#: Entries that a query's slices must hold together at least, over all trees (repeats counted).
+LEAST = 256
+#: Queries per length of vector that are held against brute force, and the share of their neighbours that must be found.
+SAMPLE, TARGET = 64, 0.96
 #: Queries of a chunk, about.
 CHUNK = 20_000
 K = 10
@@ -66,19 +77,44 @@ def slices(trees: np.ndarray, strings: np.ndarray, length: np.ndarray) -> tuple[
     return first, last
 
 
-def descend_and_ascend(trees: np.ndarray, strings: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slices of the longest prefix, the same in all trees, at which they hold `wanted` entries together.
+def entries(trees: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """(queries, BITS + 1) entries of all trees together that share a prefix of each length."""
+    found = np.zeros((strings.shape[1], BITS + 1), np.int64)
+    live = np.arange(strings.shape[1])
+    for length in range(BITS + 1):
+        first, last = slices(trees, strings[:, live], np.full(len(live), length))
+        found[live, length] = (last - first).sum(axis=0)
+        live = live[found[live, length] > 0]
+        if not len(live):
+            break
+    return found
+
+
+def ascend(found: np.ndarray, wanted: int) -> np.ndarray:
+    """The longest prefix, the same in all trees, whose slices hold `wanted` entries together; 0 if none does."""
+    return np.maximum((found >= wanted).sum(axis=1) - 1, 0)
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that two strings have in common before the first that differs."""
+    differ = a ^ b
+    top = (differ & ~(differ >> np.uint64(1))).astype(np.float64)  # no carry when rounded
+    return np.where(differ == 0, BITS, BITS - np.frexp(top)[1])
 
-    The count only grows as the prefix shortens, so the bit at which the ascent
-    ends is found by halving.
+
+def calibrate(found: np.ndarray, prefixes: np.ndarray, target: float = TARGET) -> int:
+    """The least number of wanted entries at which the sample's true neighbours are found at the target share.
+
+    `prefixes` holds, per query, the longest prefix that each true neighbour shares in any tree; -1 where there is none.
     """
-    low, high = np.zeros(strings.shape[1], np.int64), np.full(strings.shape[1], BITS, np.int64)
-    while (low < high).any():
-        middle = (low + high + 1) // 2
-        first, last = slices(trees, strings, middle)
-        enough = (last - first).sum(axis=0) >= wanted
-        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
-    return slices(trees, strings, low)
+    there = prefixes >= 0
+    options = np.unique(found)
+    low, high = 0, len(options) - 1  # wanting everything finds everything
+    while low < high:
+        middle = (low + high) // 2
+        held = (prefixes >= ascend(found, options[middle])[:, None])[there]
+        low, high = (low, middle) if not len(held) or held.mean() >= target else (middle + 1, high)
+    return int(options[low])
 
 
 def valid(column: str):
@@ -140,37 +176,145 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return sound.mapInArrow(run, "dim int, ids binary, vectors binary, strings binary, order binary")
 
 
-def _nearest(block: tuple, trees: int, exact, queries: dict, k: int, share: float, least: int) -> Iterator[tuple]:
-    """(query ids, ids, distances) of each query's nearest k candidates in one block."""
+def _opened(block: tuple, trees: int, exact) -> tuple:
     dim, ids, vectors, strings, order = block
-    if dim not in queries:
-        return
-    own, asked, asked_strings = queries[dim]
-    ids = np.frombuffer(ids, np.int64)
-    vectors = np.frombuffer(vectors, exact).reshape(-1, dim).astype(np.float64)
-    strings = np.frombuffer(strings, np.uint64).reshape(trees, -1)
-    order = np.frombuffer(order, np.uint32).reshape(trees, -1)
-    first, last = descend_and_ascend(strings, asked_strings, max(least, int(share * len(ids))))
+    return (
+        dim, np.frombuffer(ids, np.int64), np.frombuffer(vectors, exact).reshape(-1, dim),
+        np.frombuffer(strings, np.uint64).reshape(trees, -1), np.frombuffer(order, np.uint32).reshape(trees, -1),
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], trees: int, exact) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield _opened(tuple(batch.column(c)[i].as_py() for c in range(5)), trees, exact)
+
+
+def _by_row(strings: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A block's strings in the order of its rows."""
+    rows = np.empty_like(strings)
+    np.put_along_axis(rows, order.astype(np.int64), strings, 1)
+    return rows
+
+
+def _reached(block: tuple, asked: tuple) -> np.ndarray:
+    """Entries of a block by query and prefix length; rows under the query's own id do not count."""
+    _, ids, _, strings, order = block
+    own, _, asked_strings = asked
+    found = entries(strings, asked_strings)
+    at = np.nonzero(np.isin(ids, own))[0]
+    if len(at):
+        by_row = _by_row(strings, order)
+        place = {key: q for q, key in enumerate(own.tolist())}
+        for row in at.tolist():
+            q = place[int(ids[row])]
+            for length in common_prefix(by_row[:, row], asked_strings[:, q]).tolist():
+                found[q, : length + 1] -= 1
+    return found
+
+
+def _nearest(block: tuple, asked: tuple, lengths: np.ndarray, k: int) -> Iterator[tuple]:
+    """(query, ids, distances, rows) of each query's nearest k in a block, among the rows that share `lengths` bits in some tree."""
+    _, ids, vectors, strings, order = block
+    own, wanted, asked_strings = asked
+    first, last = slices(strings, asked_strings, lengths)
+    vectors = vectors.astype(np.float64)
     seen = np.zeros(len(ids), bool)
-    for q in range(len(own)):
+    for q in np.nonzero((last > first).any(axis=0))[0].tolist():
         seen[:] = False
-        for t in range(trees):
+        for t in range(len(strings)):
             seen[order[t, first[t, q] : last[t, q]]] = True
         rows = np.nonzero(seen & (ids != own[q]))[0]
         if not len(rows):
             continue
-        far = np.sqrt(((vectors[rows] - asked[q]) ** 2).sum(axis=1))
+        far = np.sqrt(((vectors[rows] - wanted[q]) ** 2).sum(axis=1))
         if len(rows) > k:
             edge = np.partition(far, k - 1)[k - 1]
             close = far <= edge
             rows, far = rows[close], far[close]
         best = np.lexsort((ids[rows], far))[:k]
-        yield np.full(len(best), own[q]), ids[rows[best]], far[best]
+        yield q, ids[rows[best]], far[best], rows[best]
+
+
+def _asked(rows: pa.Table, trees: int) -> dict[int, tuple]:
+    """Length of vector -> (ids, vectors, hash strings) of collected queries."""
+    by_dim: dict[int, list] = {}
+    for key, v in zip(rows["id"].to_pylist(), rows["v"]):
+        by_dim.setdefault(len(v), []).append((key, np.array(v.as_py(), np.float64)))
+    held = {}
+    for dim, pairs in by_dim.items():
+        vectors = np.stack([v for _, v in pairs])
+        held[dim] = (np.array([i for i, _ in pairs]), vectors, hash_strings(vectors, projections(dim, trees)))
+    return held
+
+
+def _count(index: DataFrame, asked, trees: int, exact) -> DataFrame:
+    """(query_id, dim, c0 to c64): entries of the whole index by prefix length, one row per query that its blocks know.
+
+    `asked` gives the queries within a task. A task adds up its blocks before it hands anything over.
+    """
+    names = [f"c{length}" for length in range(BITS + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        queries = asked()
+        for block in _blocks(batches, trees, exact):
+            if block[0] in queries:
+                sums[block[0]] = sums.get(block[0], 0) + _reached(block, queries[block[0]])
+        for dim, found in sums.items():
+            columns = [pa.array(queries[dim][0]), pa.array(np.full(len(found), dim, np.int32)), *map(pa.array, found.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "dim", *names])
+
+    ship()
+    counted = index.mapInArrow(run, "query_id bigint, dim int, " + ", ".join(f"{c} bigint" for c in names))
+    return counted.groupBy("query_id", "dim").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _counts(counted: DataFrame, dim: int, own: np.ndarray) -> np.ndarray:
+    rows = counted.where(F.col("dim") == dim).drop("dim").toArrow()  # as many as queries
+    held = dict(zip(rows["query_id"].to_pylist(), np.stack([rows[f"c{n}"].to_numpy() for n in range(BITS + 1)], axis=1)))
+    return np.stack([held.get(key, np.zeros(BITS + 1, np.int64)) for key in own.tolist()])
+
+
+def budgets(
+    index: DataFrame, asked: DataFrame, exact, k: int = K, trees: int = TREES, sample: int = SAMPLE, target: float = TARGET, least: int = LEAST
+) -> dict[int, int]:
+    """Entries wanted by length of vector, from at most `sample` staged queries (id, v) of each length held against brute force."""
+    drawn = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id")
+    some = asked.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= sample).drop("n").toArrow()
+    queries = _asked(some, trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, trees, exact):
+            dim, _, _, strings, order = block
+            if dim not in queries:
+                continue
+            own, _, asked_strings = queries[dim]
+            by_row = _by_row(strings, order)
+            for q, ids, far, rows in _nearest(block, queries[dim], np.zeros(len(own), np.int64), k):
+                shared = common_prefix(by_row[:, rows], asked_strings[:, q, None]).max(axis=0)
+                columns = [pa.array(np.full(len(ids), own[q])), pa.array(ids), pa.array(far), pa.array(shared.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "prefix"])
+
+    ship()
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = index.mapInArrow(run, "query_id bigint, vec_id bigint, score double, prefix int")
+    true = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).collect()  # k per query of the sample
+    counted = stage(_count(index, lambda: queries, trees, exact), "sample")
+    wanted = {}
+    for dim, (own, _, _) in queries.items():
+        place = {key: q for q, key in enumerate(own.tolist())}
+        prefixes = np.full((len(own), k), -1)
+        for r in true:
+            if r["query_id"] in place:
+                prefixes[place[r["query_id"]], r["rank"] - 1] = r["prefix"]
+        wanted[dim] = max(least, 2 * trees * k, calibrate(_counts(counted, dim, own), prefixes, target))
+    return wanted
 
 
 def search(
     index: DataFrame, queries: DataFrame, kind: str, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
-    trees: int = TREES, share: float = SHARE, least: int = LEAST, chunk: int = CHUNK,
+    trees: int = TREES, target: float = TARGET, least: int = LEAST, chunk: int = CHUNK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest k found in a staged index, by Euclidean distance.
 
@@ -179,6 +323,7 @@ def search(
     Other columns are ignored; an empty table gives no rows.
     Queries without a valid vector or id get no rows; of several query rows under
     one id one is asked. `kind` is the component type the index was built from.
+    `target` is the share of true neighbours to find, as measured on a sample.
     """
     exact = np.float32 if kind == "float" else np.float64
     sound = queries.where(valid(vec_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(
@@ -187,29 +332,30 @@ def search(
     asked = stage(sound, "queries")
     spark = index.sparkSession
     chunks = max(1, -(-asked.count() // chunk))
+    wanted = budgets(index, asked, exact, k, trees, target=target, least=least)
     found = None
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ship()
     for number in range(chunks):
-        table_ = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == number).orderBy("id").toArrow()  # about `chunk` rows
-        by_dim: dict[int, list] = {}
-        for key, v in zip(table_["id"].to_pylist(), table_["v"]):
-            by_dim.setdefault(len(v), []).append((key, np.array(v.as_py())))
-        held = {}
-        for dim, rows in by_dim.items():
-            vectors = np.stack([v for _, v in rows])
-            held[dim] = (np.array([i for i, _ in rows]), vectors, hash_strings(vectors, projections(dim, trees)))
+        held = _asked(asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == number).orderBy("id").toArrow(), trees)  # about `chunk` rows
         shared = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(len(batch)):
-                    block = tuple(batch.column(c)[i].as_py() for c in range(5))
-                    parts = list(_nearest(block, trees, exact, shared.value, k, share, least))
-                    if parts:
-                        columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-                        yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
-
+        counted = stage(_count(index, lambda shared=shared: shared.value, trees, exact), "counted")
+        lengths = {dim: ascend(_counts(counted, dim, own), wanted[dim]).astype(np.int8) for dim, (own, _, _) in held.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, lengths=lengths) -> Iterator[pa.RecordBatch]:
+            for block in _blocks(batches, trees, exact):
+                dim = block[0]
+                if dim not in lengths:
+                    continue
+                asked = shared.value[dim]
+                parts = [
+                    (np.full(len(ids), asked[0][q]), ids, far)
+                    for q, ids, far, _ in _nearest(block, asked, lengths[dim].astype(np.int64), k)
+                ]
+                if parts:
+                    columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+        ship()
         near = index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         best = stage(best, "nearest")  # all of a query's candidates are in its chunk

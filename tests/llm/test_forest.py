@@ -82,15 +82,44 @@ def test_slices_are_longest_common_prefixes():
     def prefix(a, b):
         return 64 - int(a ^ b).bit_length()
 
-    first, last = forest.descend_and_ascend(trees, asked, 30)
+    first, last = forest.slices(trees, asked, forest.ascend(forest.entries(trees, asked), 30))
     for q in range(20):
         for length in range(64, -1, -1):
             held = [[i for i in range(200) if prefix(int(trees[t, i]), int(asked[t, q])) >= length] for t in range(3)]
             if sum(map(len, held)) >= 30:
                 break
+        assert forest.common_prefix(trees[0], asked[0, q]).tolist() == [prefix(int(s), int(asked[0, q])) for s in trees[0]]
         assert [list(range(first[t, q], last[t, q])) for t in range(3)] == held
 
 
+def test_entries_add_up_over_blocks(spark, clusters):
+    queries = [r for r in clusters if r[0] % 100 == 0]
+    asked = forest._asked(frame(spark, queries).selectExpr("vec_id id", "cast(embedding as array<double>) v").toArrow(), 12)
+    counts = []
+    for block in (170, 4096):
+        index = forest.stage(forest.build_index(frame(spark, clusters), block=block), "index")
+        counts.append(forest._counts(forest._count(index, lambda: asked, 12, np.float32), 32, asked[32][0]))
+    assert (counts[0] == counts[1]).all() and (counts[0][:, 0] == 12 * (len(clusters) - 1)).all()
+
+
+def test_share_falls_as_a_clustered_table_grows(spark):
+    draw = np.random.default_rng(8)
+    shares = []
+    for size in (2_000, 16_000):
+        centres = draw.normal(size=(size // 25, 24))
+        v = (np.repeat(centres, 25, axis=0) + 0.05 * draw.normal(size=(size, 24))).astype(np.float32)
+        rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+        index = forest.stage(forest.build_index(frame(spark, rows), block=1000), "index")
+        asked = frame(spark, rows[:: size // 40]).selectExpr("vec_id id", "cast(embedding as array<double>) v")
+        shares.append(forest.budgets(index, asked, np.float32)[24] / (forest.TREES * size))
+        got = {}
+        for r in forest.search(index, frame(spark, rows[:: size // 40]), "float").collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = sum(len({i for _, i in brute(rows, key, vector)} & got[key]) for key, vector, _ in rows[:: size // 40])
+        assert hits >= 0.9 * 10 * len(got) and len(got) == 40
+    assert shares[1] < shares[0] / 4
+
+
 def test_one_chunk_is_held_at_a_time(spark, clusters, monkeypatch):
     from pyspark import Broadcast, SparkContext
 
