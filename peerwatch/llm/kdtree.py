@@ -5,8 +5,9 @@ its bytes as its shards are divided, until every leaf is one shard. The place is
 found without sorting: bytes are summed per cell of the node's key range, the
 cell that holds the place is looked into again, until what is left in it is
 small. A key is the dimension's value, then a hash of the text, then one of the
-row, so equal texts stay side by side and are cut only where they weigh more than
-the tolerance.
+row, so equal texts stay side by side. A cut that falls into them goes to the
+nearer border of the group; they are cut only where they outweigh a shard or both
+borders lie further from the place than a fiftieth of one.
 
 All nodes of a level share each pass; a pass brings at most nodes x `CELLS`
 sums to the driver, whatever the data.
@@ -27,8 +28,9 @@ from peerwatch.sources.staging import stage
 
 SHARDS = 24
 CELLS = 512
-#: A cut may miss its place by this share of a shard.
+#: A cut may miss its place by this share of a shard; by more, if that spares a group of equal texts.
 TOLERANCE = 0.002
+WHOLE = 0.02
 OVERHEAD = 8
 _UNIT = (1 << 30) - 1
 
@@ -99,11 +101,12 @@ def _by_node(values: dict[int, object], kind: str) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("node"))
 
 
-def _narrow(rows: DataFrame, key: Column, wanted: dict[int, int], low: dict[int, int], high: dict[int, int], slack: int) -> dict[int, tuple]:
+def _narrow(rows: DataFrame, key: Column, wanted: dict[int, int], low: dict[int, int], high: dict[int, int], slack: int, whole: int = 0, shard: int = 0) -> dict[int, tuple]:
     """Per node the first key above the cut, or the one key that the cut lies in.
 
-    `wanted` is the weight that belongs below the cut. Returns node -> (key, weight
-    below it, whether the cut lies inside that key).
+    `wanted` is the weight that belongs below the cut; it may be missed by `slack`, or
+    by `whole` beside a single key that holds the place and weighs `shard` at most. Returns node -> (key, weight
+    below it, whether the cut lies inside that key, whether its upper border is nearer).
     """
     done: dict[int, tuple] = {}
     below = dict.fromkeys(wanted, 0)
@@ -123,7 +126,8 @@ def _narrow(rows: DataFrame, key: Column, wanted: dict[int, int], low: dict[int,
             for r in cells:
                 if upto + r["weight"] > wanted[n] or r is cells[-1]:
                     under, over = wanted[n] - upto, upto + r["weight"] - wanted[n]
-                    if min(abs(under), abs(over)) <= slack:
+                    spared = r["least"] == r["most"] and r["weight"] <= shard
+                    if min(abs(under), abs(over)) <= (max(slack, whole) if spared else slack):
                         near_low = abs(under) <= abs(over)
                         done[n] = (r["least"], upto, False, False) if near_low else (r["most"] + 1, upto + r["weight"], False, False)
                     elif r["least"] == r["most"]:
@@ -135,7 +139,7 @@ def _narrow(rows: DataFrame, key: Column, wanted: dict[int, int], low: dict[int,
     return done
 
 
-def grow(rows: DataFrame, dims: int, shards: int, tolerance: float = TOLERANCE) -> Node:
+def grow(rows: DataFrame, dims: int, shards: int, tolerance: float = TOLERANCE, kept_whole: float = WHOLE) -> Node:
     """The tree over staged metadata, level by level."""
     root = Node(shards, 0)
     level = [root]
@@ -158,7 +162,8 @@ def grow(rows: DataFrame, dims: int, shards: int, tolerance: float = TOLERANCE)
             key = F.lit(None).cast("long")
             for d in range(dims):
                 key = F.when(F.col("node").isin([i for i in wanted if level[i].dim == d] or [-2]), F.col(f"k{d}")).otherwise(key)
-            cuts = _narrow(placed, key, wanted, low, high, min(slack.values()))
+            shard = min(level[i].weight // level[i].shards for i in wanted)
+            cuts = _narrow(placed, key, wanted, low, high, min(slack.values()), int(shard * kept_whole), shard)
             heavy = {i: c for i, c in cuts.items() if c[2]}
             for i, (at, *_) in cuts.items():
                 level[i].cut = (at, 0)
